@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,15 @@ def added(df: DataFrame, **columns) -> DataFrame:
     names = {name.lower() for name in columns}
     kept = [f"`{c}`" for c in df.columns if c.lower() not in names]
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
+
+
+def slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that a task holds in parts at once; a longer text is a run of its own."""
+    lo, chars = 0, 0
+    for i, text in enumerate(texts):
+        if chars and chars + len(text or "") > most_chars:
+            yield lo, i
+            lo, chars = i, 0
+        chars += len(text or "")
+    if texts:
+        yield lo, len(texts)

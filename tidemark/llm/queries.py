@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, secret_scan, url_filter
+from tidemark.llm import bpe, chat, media, packing, secret_scan, topk, toxicity, url_filter
 from tidemark.llm.common import literal_table
 
 # The rules of op1.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+# Fixed value: from this score on a text counts as toxic.
+TOXIC = 0.3
 # Fixed value: both turns of conversation -1.
 HARD_TURN = "<|im_end|><|im_start|>assistant ok"
 
@@ -44,10 +47,46 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(documents, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_media(spark: SparkSession, folder: str) -> DataFrame:
+    stored = media.store_media(_table(spark, folder, "documents").select("doc_id", "text"))
+    return media.read_media(stored, tensors=False)
+
+
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("id")))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.fit_sample(documents.join(labels.filter(~held_out), "doc_id"))
+    scored = toxicity.score_documents(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_bpe": op3_bpe,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_secret_scans": op5_secret_scans,
+    "op6_packing": op6_packing,
+    "op7_media": op7_media,
+    "op9_topk": op9_topk,
+    "op10_toxicity": op10_toxicity,
 }
 
 _HARD = HARD_TURN
@@ -91,3 +130,9 @@ select doc_id, {', '.join(f"len(list_filter(spans, lambda s: s.k = '{r.kind}'))
 
 
 ORACLES["op5_secret_scans"] = _secret_sql()
+ORACLES["op9_topk"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
