@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +57,8 @@ def features(counts: Counter) -> Counter:
     return found
 
 
-def swapped(counts: Counter) -> Counter | None:
-    """The counts of the text with its group terms swapped; None if it has none."""
-    if not any(w in SWAP for w in counts):
-        return None
+def swapped(counts: Counter) -> Counter:
+    """The counts of the text with its group terms swapped."""
     other = Counter()
     for word, n in counts.items():
         other[SWAP.get(word, word)] += n
@@ -89,24 +89,28 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return Model(math.log(share / (1 - share)), {})
-    counts = [words(t) for t in texts]
-    bags = [features(c) for c in counts]
-    seen = Counter(f for b in bags for f in b)
+    seen, toxic, swaps = Counter(), Counter(), []
+    for row, (text, label) in enumerate(zip(texts, labels)):
+        counts = words(text)
+        found = features(counts)
+        seen.update(found.keys())
+        if label:
+            toxic.update(found.keys())
+        if any(w in SWAP for w in counts):
+            swaps.append(row)
     # a feature as wide-spread among clean as among toxic texts tells nothing: the most telling ones are kept
-    toxic = Counter(f for b, label in zip(bags, labels) if label for f in b)
     share = float(y.mean())
     telling = sorted((f for f, n in seen.items() if n >= LEAST_DOCUMENTS), key=lambda f: (-abs(toxic[f] - share * seen[f]) / math.sqrt(seen[f]), f))[:MOST_FEATURES]
     place = {f: i for i, f in enumerate(telling)}
-    pairs = [(i, other) for i, c in enumerate(counts) if (other := swapped(c))]
-    rows, columns, values = [], [], []
-    for row, bag in enumerate([*bags, *(features(o) for _, o in pairs)]):
-        for f, n in bag.items():
+    rows, columns, values = array("q"), array("q"), array("d")
+    for row, counts in enumerate(chain((words(t) for t in texts), (swapped(words(texts[i])) for i in swaps))):
+        for f, n in features(counts).items():
             if f in place:
                 rows.append(row)
                 columns.append(place[f])
                 values.append(math.log1p(n))
-    rows, columns, values = np.array(rows, np.int64), np.array(columns, np.int64), np.array(values)
-    total, here, there = len(bags) + len(pairs), np.array([i for i, _ in pairs], np.int64), len(bags) + np.arange(len(pairs))
+    rows, columns, values = np.frombuffer(rows, np.int64), np.frombuffer(columns, np.int64), np.frombuffer(values)
+    total, here, there = len(y) + len(swaps), np.array(swaps, np.int64), len(y) + np.arange(len(swaps))
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # both classes count alike
     w, bias = np.zeros(len(place)), math.log(share / (1 - share))
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
@@ -115,8 +119,8 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = np.zeros(total)
         g[: len(y)] = weight * (p[: len(y)] - y) / len(y)
-        if len(pairs):
-            change = 2 * counterfactual * (p[here] - p[there]) / len(pairs)
+        if swaps:
+            change = 2 * counterfactual * (p[here] - p[there]) / len(swaps)
             np.add.at(g, here, change * p[here] * (1 - p[here]))
             g[there] -= change * p[there] * (1 - p[there])
         gradient = np.append(np.bincount(columns, values * g[rows], len(place)) + l2 * w, g.sum())
