@@ -1,8 +1,54 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: reject toxic documents, keep one of each near-duplicate group, mask secrets, pack into sequences.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes to the shared folder and reads again for the next.
+All but the last keep the columns of `documents`. Documents without an id pass the first three stages as they are judged by their text;
+as near duplicates they are never dropped. An empty table runs through.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import neardup, packing, secret_scan, toxicity
+from tidemark.llm.common import written
+from tidemark.shipping import ship
+
+REJECTED = 0.4  # toxicity score from which a document goes: a little over the point where predictions turn, so that clean ones stay
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit_sample(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score_documents(docs, model).filter(F.col("score") < REJECTED).drop("score")
+
+
+def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept and id is not null").select(F.col("id").alias("doc_id"))
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def secrets_are_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(docs)
+    masked = found.withColumn("text", F.when(F.size("secrets") > 0, secret_scan.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text")))
+    return masked.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+STAGES = [("toxicity", toxic_documents_go), ("near_duplicates", one_of_each_group_stays), ("secrets", secrets_are_masked), ("packing", sequences)]
+ORACLE_SQL = None  # a trained model, components and merges are beyond SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

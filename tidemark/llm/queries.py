@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, media, packing, secret_scan, topk, toxicity, url_filter
+from tidemark.llm import bpe, chat, license_scan, media, neardup, packing, secret_scan, topk, toxicity, url_filter
 from tidemark.llm.common import literal_table
 
 # The rules of op1.
@@ -47,6 +47,11 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
@@ -64,6 +69,16 @@ def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.read_media(stored, tensors=False)
 
 
+def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as the files of one tree: source / hundreds / tens; each tenth is the licence file of its folder, each hundredth and thousandth of those above."""
+    hundreds, tens = F.floor(F.col("doc_id") / 100), F.floor(F.col("doc_id") / 10)
+    place = (
+        F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", "source", F.lit("LICENSE"))).when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", hundreds, F.lit("LICENSE")))
+        .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", "source", hundreds, tens, F.lit("LICENSE"))).otherwise(F.concat_ws("/", "source", hundreds, tens, F.concat("doc_id", F.lit(".txt"))))
+    )
+    return license_scan.find_licences(_table(spark, folder, "documents").select(place.alias("path"), "text"))
+
+
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
     found = topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("id")))
@@ -80,11 +95,13 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_bpe": op3_bpe,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_secret_scans": op5_secret_scans,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
+    "op8_license_scans": op8_license_scans,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
@@ -136,3 +153,32 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
 s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
+def _license_sql() -> str:
+    templates = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    directory = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
+    return f"""
+with d as (select case when doc_id % 1000 = 0 then source || '/LICENSE' when doc_id % 100 = 0 then source || '/' || doc_id // 100 || '/LICENSE'
+  when doc_id % 10 = 0 then source || '/' || doc_id // 100 || '/' || doc_id // 10 || '/LICENSE' else source || '/' || doc_id // 100 || '/' || doc_id // 10 || '/' || doc_id || '.txt' end as path,
+  lower(coalesce(text, '')) as text from documents),
+t as (select * from (values {templates}) t(template, name, text)),
+tt as (select template, term, count(*) as n from (select template, unnest(regexp_extract_all(text, '[a-z0-9]+')) as term from t) group by all),
+df as (select term, count(*) as n from (select unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) as term from d) group by term),
+w as (select term, ln((1 + (select count(*) from d))::double / (1 + coalesce(df.n, 0))) + 1 as weight from (select distinct term from tt) left join df using (term)),
+tn as (select template, sqrt(sum((n * weight) ** 2)) as norm from tt join w using (term) group by template),
+l as (select distinct path, unnest(string_split(regexp_replace(text, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10))) as passage from d),
+v as (select passage, term, count(*) * coalesce(any_value(weight), 1.0) as x from (select passage, unnest(regexp_extract_all(passage, '[a-z0-9]+')) as term from (select distinct passage from l)) left join w using (term) group by passage, term),
+n as (select passage, sqrt(sum(x * x)) as norm from v group by passage),
+s as (select passage, template, round(sum(x * tt.n * weight) / any_value(tn.norm) / any_value(n.norm), 6) as score from v join tt using (term) join w using (term) join tn using (template) join n using (passage) group by passage, template),
+b as (select passage, arg_max(template, (score, -template)) as template, max(score) as score from s where score >= {license_scan.LEAST_COSINE} group by passage),
+o as (select path, (select name from t where t.template = x.template) as licence, score from (select path, arg_max(template, (score, -template)) as template, max(score) as score from l left join b using (passage) group by path) x),
+g as (select {directory} as above, arg_min(licence, (-score, path)) as licence, arg_min(score, (-score, path)) as score, arg_min(path, (-score, path)) as path from o
+  where licence is not null and regexp_matches(path, '{license_scan.LICENCE_FILE}') group by 1),
+f as (select o.path, arg_max(g.licence, length(g.above)) as licence, arg_max(g.score, length(g.above)) as score, arg_max(g.path, length(g.above)) as licence_path
+  from o join g on {directory.replace("path", "o.path")} = g.above or prefix({directory.replace("path", "o.path")}, g.above || '/') where o.licence is null group by o.path)
+select o.path, coalesce(o.licence, f.licence) as licence, coalesce(o.score, f.score) as score, case when o.licence is not null then 'own' when f.licence is not null then 'inherited' end as origin,
+ case when o.licence is not null then o.path else f.licence_path end as licence_path from o left join f using (path)"""
+
+
+ORACLES["op8_license_scans"] = _license_sql()
