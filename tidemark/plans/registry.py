@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation, market, trading
+from tidemark.plans import data, evaluation, market, trading
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (evaluation, market, trading):
+for module in (evaluation, market, trading, data):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
