@@ -21,7 +21,7 @@ REJECTED = 0.4  # toxicity score from which a document goes: a little over the p
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit_sample(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit_sample(docs, labels)
     return toxicity.score_documents(docs, model).filter(F.col("score") < REJECTED).drop("score")
 
 

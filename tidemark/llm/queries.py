@@ -88,7 +88,7 @@ def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels").select("doc_id", "toxic")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = toxicity.fit_sample(documents.join(labels.filter(~held_out), "doc_id"))
+    model = toxicity.fit_sample(documents, labels.filter(~held_out))
     scored = toxicity.score_documents(documents, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
 

@@ -134,16 +134,22 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
     return Model(float(bias), {f: round(x, 9) for f, x in weights.items() if abs(x) > 1e-6})
 
 
-def fit_sample(labelled: DataFrame, text: str = "text", label: str = "toxic", order: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on at most `rows` labelled rows and `chars` characters of them: those first by a hash of the order column."""
-    known = labelled.filter(F.col(label).isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(order)).alias("h"), F.col(order).alias("o"))
-    sample = known.orderBy("h", "o", "text").limit(rows).collect()
-    texts, used = [], 0
-    for row in sample:
-        used += len(row.text or "")
-        if used > chars and texts:
+def fit_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
+    """Fits on at most `rows` labelled rows and `chars` characters of their documents: those first by a hash of the key.
+
+    The sample is drawn from the labels; only its keys, `rows` at most, go to the documents, so that no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
+    sample = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h")).orderBy("h", "key", "label").limit(rows)
+    own = documents.select(F.col(f"`{key}`").alias("key"), F.coalesce(f"`{text}`", F.lit("")).alias("text")).join(F.broadcast(sample), "key")
+    used, chosen = 0, []
+    for row in sorted(own.select("h", "key", F.length("text").alias("n")).collect()):
+        used += row.n
+        if used > chars and chosen:
             break
-        texts.append(row)
+        chosen.append(row.key)
+    table = F.broadcast(documents.sparkSession.createDataFrame([(k,) for k in sorted(set(chosen))], documents.select(F.col(f"`{key}`").alias("key")).schema))
+    texts = sorted(own.join(table, "key", "left_semi").select("h", "key", "label", "text").collect())
     return fit([r.text for r in texts], [r.label for r in texts])
 
 
