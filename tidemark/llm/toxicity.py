@@ -47,12 +47,12 @@ def words(text: str | None) -> Counter:
 
 
 def features(counts: Counter) -> Counter:
-    """Words and word beginnings (marked by a blank) with their counts."""
+    """Words and word beginnings (marked by a blank; not of group terms) with their counts."""
     found = Counter()
     for word, n in counts.items():
         found[word] += n
         for size in STARTS:
-            if len(word) >= size:
+            if len(word) >= size and word not in SWAP:
                 found[" " + word[:size]] += n
     return found
 
@@ -77,7 +77,7 @@ class Model:
             if word in weights:
                 total[word] += n
             for size in STARTS:
-                if len(word) >= size and (start := " " + word[:size]) in weights:
+                if len(word) >= size and word not in SWAP and (start := " " + word[:size]) in weights:
                     total[start] += n
         z = self.bias + sum(weights[f] * math.log1p(n) for f, n in sorted(total.items()))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
