@@ -50,7 +50,7 @@ def with_implied_quantity(bars: DataFrame) -> DataFrame:
 def clock_threshold(ticks: DataFrame, bars_a_day: int = 50, least: int = 1000, default: int = 50_000) -> DataFrame:
     """The median daily volume over the wanted bars a day, whole and `least` or more; the default without data."""
     middle = F.floor(F.median("volume") / bars_a_day)
-    return daily_stats(ticks).agg(F.coalesce(F.greatest(middle, F.lit(least)), F.lit(default)).cast("long").alias("threshold"))
+    return daily_stats(ticks).agg(F.when(middle.isNull(), F.lit(default)).otherwise(F.greatest(middle, F.lit(least))).cast("long").alias("threshold"))
 
 
 def bucketed(ticks: DataFrame, threshold: float) -> DataFrame:
@@ -85,6 +85,7 @@ def window_length(series: DataFrame, lags: int = 150, level: float = 0.05, least
     """The median over symbols (series longer than `lags`) of the first lag whose autocorrelation is within the level, `least` or more."""
     long = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("_n") > lags).drop("_n")
     first = autocorrelation(long, lags=lags).filter("lag >= 1").groupBy("symbol").agg(F.coalesce(F.min(F.when(F.abs("acf") < level, F.col("lag"))), F.lit(lags)).alias("drop"))
-    return first.agg(F.coalesce(F.greatest(F.floor(F.median("drop")), F.lit(least)), F.lit(default)).cast("long").alias("window"))
+    middle = F.floor(F.median("drop"))
+    return first.agg(F.when(middle.isNull(), F.lit(default)).otherwise(F.greatest(middle, F.lit(least))).cast("long").alias("window"))
 
 

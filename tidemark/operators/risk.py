@@ -51,7 +51,7 @@ def trade_stats(trades: DataFrame, pnl: str = "pnl_bp") -> DataFrame:
 def break_even(trades: DataFrame, cost: float = 25.0, most: int = 100, gross: str = "capped_bp") -> DataFrame:
     """The smallest whole cost from `cost` on at which the sum of gross less cost is not positive, else `most`: in closed form from sum and count."""
     sums = trades.agg(F.sum(gross).alias("s"), F.count(gross).alias("n"))
-    at = F.greatest(F.ceil(F.col("s") / F.nullif("n", F.lit(0))), F.lit(int(cost)))
+    at = F.when(F.col("n") > 0, F.greatest(F.ceil(F.col("s") / F.nullif("n", F.lit(0))), F.lit(int(cost))))
     return sums.select(F.coalesce(F.least(at, F.lit(most)), F.lit(most)).cast("long").alias("break_even"))
 
 

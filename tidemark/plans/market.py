@@ -57,17 +57,15 @@ def _sample_keys(t: DataFrame) -> DataFrame:
 
 def _features(t: DataFrame) -> DataFrame:
     bids, asks = book.side_depth("bid_v"), book.side_depth("ask_v")
+    day = Window.partitionBy("symbol", "date").orderBy("seq")
     mid = book.mid_price(F.col("bid_p1"), F.col("ask_p1"))
     return t.select(
         "symbol", "seq", book.imbalance(bids, asks).alias("imbalance"), book.micro_price(F.col("bid_p1"), F.col("ask_p1"), bids, asks).alias("micro"), book.log_depth(bids, asks).alias("depth"),
         book.deviation_bp(F.col("bid_p1"), mid).alias("bid_bp"), book.log_volume(F.col("vol_tick")).alias("log_vol"), book.symlog(F.col("price") - 1500).alias("symlog"),
-        book.log_return(F.col("price"), F.first("price").over(_first)).alias("log_ret"), book.is_locked(F.col("bid_p1"), F.col("ask_p1")).alias("locked"), book.daily_limit_bp(F.col("symbol")).alias("limit_bp"),
+        book.log_return(F.col("price"), F.first("price").over(day)).alias("log_ret"), book.is_locked(F.col("bid_p1"), F.col("ask_p1")).alias("locked"), book.daily_limit_bp(F.col("symbol")).alias("limit_bp"),
     )
 
 
-_first = Window.partitionBy("symbol", "date").orderBy("seq")
-
-
 def _implied(t: DataFrame) -> DataFrame:
     macro = _macro(t)
     bars = _bars(t).join(macro.select("symbol", "date", "v_d", "sigma_d"), ["symbol", "date"])
