@@ -1,44 +1,15 @@
-"""Shared folder, written tables and literal tables."""
+"""Literal tables, replaced columns and slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import dropped, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; where it is unset, one of our own.
-
-    Only a local session may use a temporary folder of this machine; elsewhere the warehouse, which all machines share, holds it.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-        spark.conf.set("tidemark.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._tidemark_path = path
-    return table
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of `written` that nothing reads any more."""
-    for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._tidemark_path)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["added", "dropped", "literal_table", "slices", "written"]
 
 
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
