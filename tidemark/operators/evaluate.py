@@ -16,6 +16,7 @@ from tidemark.functions.stats import average_rank, safe_corr
 
 DECILE_SHARES = [i / 10 for i in range(1, 10)]
 INFINITE = float("inf")
+TIE = 1e-9  # means that differ by less are equal: their sums vary with the partitioning
 
 
 def _both(predictions: DataFrame, pred: str, target: str) -> DataFrame:
@@ -78,7 +79,7 @@ def decile_table(predictions: DataFrame, cost: float = 25.0, pred: str = "pred_b
 def decile_spread(table: DataFrame) -> DataFrame:
     """From a decile table: top and bottom mean, long-short spread, number of rises among the nine steps, and a verdict on the top decile's net mean."""
     by = Window.orderBy("decile")  # ten rows
-    steps = table.withColumn("rises", (F.lead("mean_actual").over(by) > F.col("mean_actual")).cast("int"))
+    steps = table.withColumn("rises", (F.lead("mean_actual").over(by) - F.col("mean_actual") > TIE).cast("int"))
     top, bottom = F.max(F.when(F.col("decile") == 10, F.col("mean_actual"))), F.max(F.when(F.col("decile") == 1, F.col("mean_actual")))
     net = F.max(F.when(F.col("decile") == 10, F.col("mean_net")))
     return steps.agg(top.alias("top"), bottom.alias("bottom"), (top - bottom).alias("spread"), F.sum("rises").alias("rises"), net.alias("net")).withColumn(
@@ -140,7 +141,7 @@ def daily_cross_section(predictions: DataFrame, min_rows: int = 50, parts: int =
     rows = _both(predictions, pred, target).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("_n") >= min_rows)
     buckets = cut_by_date(rows, pred, parts=parts).groupBy("date", "decile").agg(F.avg(target).alias("mean"))
     along = Window.partitionBy("date").orderBy("decile")
-    steps = buckets.withColumn("rise", (F.lead("mean").over(along) > F.col("mean")).cast("double"))
+    steps = buckets.withColumn("rise", (F.lead("mean").over(along) - F.col("mean") > TIE).cast("double"))
     shape = steps.groupBy("date").agg((F.max_by("mean", "decile") - F.min_by("mean", "decile")).alias("spread"), F.avg("rise").alias("monotonicity"))
     return daily_ic(rows, min_rows, pred, target).join(shape, "date")
 

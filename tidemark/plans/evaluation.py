@@ -92,7 +92,7 @@ _EDGE = " union all ".join(["select 1 as d, *, x <= e[1] as inside from q", *[f"
 _DECILES = f"q as (select *, (select quantile_cont(x, {SHARES}) from p) as e from p), dec as (select * from ({_EDGE}) where inside)"
 _TABLE = """tab as (select d::int as decile, count(*) as n, avg(x) as mean_pred, avg(y) as mean_actual, avg((y > 0)::int) as hit_rate, coalesce(avg(y) filter (y > 0), 0) as mean_win,
  coalesce(avg(-y) filter (y < 0), 0) as mean_loss from dec group by d)"""
-_SPREAD = "spr as (select max(mean_actual) filter (decile = 10) as top, max(mean_actual) filter (decile = 1) as bottom, sum((nxt > mean_actual)::int) as rises from (select *, lead(mean_actual) over (order by decile) as nxt from tab))"
+_SPREAD = "spr as (select max(mean_actual) filter (decile = 10) as top, max(mean_actual) filter (decile = 1) as bottom, sum((nxt - mean_actual > 1e-9)::int) as rises from (select *, lead(mean_actual) over (order by decile) as nxt from tab))"
 
 
 def _cut(column: str, parts: int = 10, rows: str = "p", name: str = "decile") -> str:
@@ -107,7 +107,7 @@ ed as (select date, list_sort(list_distinct(quantile_cont(x, {shares}))) as e fr
 cut as (select big.*, len(list_filter(e[2:len(e) - 1], lambda v: v < x)) as decile from big join ed using (date)),
 dm as (select date, decile, avg(y) as m from cut group by date, decile),
 st as (select *, lead(m) over (partition by date order by decile) as nx from dm),
-shape as (select date, arg_max(m, decile) - arg_min(m, decile) as spread, avg((nx > m)::int) as monotonicity from st group by date)"""
+shape as (select date, arg_max(m, decile) - arg_min(m, decile) as spread, avg((nx - m > 1e-9)::int) as monotonicity from st group by date)"""
 
 
 def _report(by: str) -> str:
