@@ -18,7 +18,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -77,7 +77,7 @@ def build_lexicon(documents: DataFrame, vocabulary: str, words: int = LEXICON_WO
     return name
 
 
-@cache
+@lru_cache(maxsize=1)  # a worker that serves several lexicons keeps the last
 def _encoder(name: str, vocabulary: str) -> Encoder:
     return Encoder(_model(vocabulary), normalized_words, Lexicon(SparkFiles.get(name)).get)
 
