@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
+from tidemark.operators.labels import daily_bars
 
 GRID, LAYERS = 20, 3
 SCHEMA = "hurst double, triggered boolean, landscape array<double>"
@@ -106,3 +107,11 @@ def gate_statistics(found: DataFrame) -> DataFrame:
     rates = found.agg(F.count(F.lit(1)).alias("windows"), F.avg(F.col("triggered").cast("double")).alias("trigger_rate"))
     cells = found.filter("triggered").select(F.explode("landscape").alias("x"))
     return rates.crossJoin(cells.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most")))  # one row with one row
+
+
+def daily_features(ticks: DataFrame, topology: DataFrame, least: int = 50, cells: int = LAYERS * GRID) -> DataFrame:
+    """Per symbol and date of `least` ticks or more: open and close price, triggered windows and tda, zeros where no window was triggered. topology: of `daily_topology`."""
+    bars = daily_bars(ticks).filter(F.col("ticks") >= least)
+    joined = bars.join(topology.select("symbol", "date", "triggered_windows", "tda"), ["symbol", "date"], "left")
+    zeros = F.array_repeat(F.lit(0.0), cells)
+    return joined.select("symbol", "date", "open_price", "close_price", F.coalesce("triggered_windows", F.lit(0)).alias("triggered_windows"), F.coalesce("tda", zeros).alias("tda"))

@@ -55,6 +55,11 @@ def _landscapes(t: DataFrame, velocity: float | None = None) -> DataFrame:
     return topology.daily_topology(found, ["symbol", "date"]).select("symbol", "date", "windows", "triggered_windows", F.round(F.array_max("tda"), 6).alias("peak"))
 
 
+def _daily_features(t: DataFrame) -> DataFrame:
+    found = topology.daily_topology(topology.window_landscapes(_points(t), ["symbol", "date", "window"]), ["symbol", "date"])
+    return topology.daily_features(t, found, 5).select("symbol", "date", "open_price", "close_price", "triggered_windows", F.size("tda").alias("cells"), F.array_max("tda").alias("peak"))
+
+
 def _scored(t: DataFrame) -> DataFrame:
     vwaps = clock.windows(market._bars(t), ["vwap"], LENGTH, STRIDE, HORIZON)
     first = F.get("bars", F.lit(0))["vwap"]
@@ -89,7 +94,7 @@ TICK_OPERATORS = {
     "scored_windows": _scored,
     "tar_round_trip": _tar_round_trip,
 }
-BOOK_OPERATORS = {"landscapes": _landscapes, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(topology.window_landscapes(_points(t), ["symbol", "date", "window"]))}
+BOOK_OPERATORS = {"landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(topology.window_landscapes(_points(t), ["symbol", "date", "window"]))}
 PREDICTION_OPERATORS = {
     "check_predictions": quality.check_predictions,
     "batch_targets": partial(quality.batch_targets, key="shard_idx"),
