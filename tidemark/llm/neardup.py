@@ -116,9 +116,9 @@ def _sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
                 first.append(int(hashes.sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(_mixed(hashes + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                 if len(hashes):
-                    least = minima(hashes)
+                    least = minima(hashes).astype("<u2")
                     bands.append(_mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * c["row"]).sum(1, dtype=np.uint64) + c["band"]).view(np.int64))
-                    signatures.append(least.astype("<u2").tobytes())
+                    signatures.append(least.tobytes())
                 else:
                     bands.append(None)
                     signatures.append(None)
@@ -177,11 +177,15 @@ def _size_fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def _nearest(every: bool, least: float):
-    """Pairs of different components in a bucket's block, or block pair, by signature: the nearest for each member, or all."""
+    """Pairs of different components in a bucket's block, or block pair, by signature: the nearest for each member, or all.
+
+    A pair belongs to the first band that it shares, so that it is made in one bucket only.
+    """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sort_values("id")
         ids, part, n, block = (rows[c].to_numpy() for c in ("id", "component", "n", "block"))
+        band = rows["band"].iloc[0]
         signatures = np.stack([np.frombuffer(s, "<u2") for s in rows["signature"]])
         pairs = set()
         mixed = block.min() != block.max()
@@ -193,6 +197,9 @@ def _nearest(every: bool, least: float):
             if mixed:  # pairs within a block are made where the block stands alone
                 fits &= block[others] != block[i]
             at = np.flatnonzero(fits)
+            if len(at):
+                shared = (signatures[others][at] == signatures[i]).reshape(-1, BANDS, ROWS).all(2)
+                at = at[shared.argmax(1) == band]
             if len(at) and not every:
                 at = at[[agree[at].argmax()]]
             pairs.update((int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[others][at])
@@ -204,12 +211,12 @@ def _nearest(every: bool, least: float):
 def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, every: bool, least: float, block: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket; a < b."""
     part = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")) if labels is not None else members.withColumn("component", F.col("id"))
-    sizes = part.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("bucket", "members")
-    left = part.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = part.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "bucket", "members")
+    left = part.join(sizes, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = left.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    signed = spread.select("bucket", "lo", "hi", "block", "id", "component").join(sketches.select("id", "n", "signature"), "id")
-    return signed.groupBy("bucket", "lo", "hi").applyInPandas(_nearest(every, least), "a long, b long").distinct()
+    signed = spread.select("band", "bucket", "lo", "hi", "block", "id", "component").join(sketches.select("id", "n", "signature"), "id")
+    return signed.groupBy("band", "bucket", "lo", "hi").applyInPandas(_nearest(every, least), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR, least_agreement: float = LEAST_AGREEMENT, block: int = BLOCK) -> DataFrame:
@@ -218,10 +225,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     whole = F.col("id").isNotNull() & (F.col("n") > 0)
     classes = sketches.filter(whole).groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"))
     single = sketches.join(classes, ["id", "set_a", "set_b", "n"], "left_semi").select("id", "n", "bands", "signature")
-    buckets = single.select("id", F.explode("bands").alias("bucket"))
-    together = Window.partitionBy("bucket")
+    buckets = single.select("id", F.posexplode("bands").alias("band", "bucket"))
+    together = Window.partitionBy("band", "bucket")
     met = buckets.withColumn("least", F.min("id").over(together)).withColumn("most", F.max("id").over(together))
-    members = written(met.filter(F.col("least") != F.col("most")).select("bucket", "id", "least").distinct(), "members")
+    members = written(met.filter(F.col("least") != F.col("most")).select("band", "bucket", "id", "least").distinct(), "members")
     needed = members.select("id").distinct()
     near = written(single.select("id", "n", "signature").join(needed, "id", "left_semi"), "signatures")
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -233,7 +240,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = written(_confirmed(tried, sets, percent), "links")
     labels = connected_components(links)
     for every in (False, True):
-        pairs = _candidates(members.select("bucket", "id"), labels, near, every, least_agreement, block).join(tried, ["a", "b"], "left_anti")
+        pairs = _candidates(members.select("band", "bucket", "id"), labels, near, every, least_agreement, block).join(tried, ["a", "b"], "left_anti")
         new = written(pairs, "tried")
         found = written(_confirmed(new, sets, percent), "links")
         tried, links = tried.unionByName(new), links.unionByName(found)
