@@ -39,6 +39,7 @@ STARTS = (5, 7)
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 40_000_000
 LEAST_DOCUMENTS = 3
+DOUBTFUL = 4.0
 MOST_FEATURES = 60_000
 
 
@@ -84,7 +85,10 @@ class Model:
 
 
 def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfactual: float = 4.0, steps: int = 300, rate: float = 0.1) -> Model:
-    """Full-batch Adam on loss + l2 * |w|^2 / 2 + counterfactual * mean squared score change over swapped texts."""
+    """Full-batch Adam on loss + l2 * |w|^2 / 2 + counterfactual * mean squared score change over swapped texts.
+
+    A feature under DOUBTFUL standard deviations from chance has its l2 raised by the square of what it lacks.
+    """
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
@@ -98,9 +102,10 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
             toxic.update(found.keys())
         if any(w in SWAP for w in counts):
             swaps.append(row)
-    # a feature as wide-spread among clean as among toxic texts tells nothing: the most telling ones are kept
+    # the spread of a feature over toxic texts, in standard deviations from chance; what chance may give is regularised more
     share = float(y.mean())
-    telling = sorted((f for f, n in seen.items() if n >= LEAST_DOCUMENTS), key=lambda f: (-abs(toxic[f] - share * seen[f]) / math.sqrt(seen[f]), f))[:MOST_FEATURES]
+    odds = lambda f: abs(toxic[f] - share * seen[f]) / math.sqrt(seen[f] * share * (1 - share))
+    telling = sorted((f for f, n in seen.items() if n >= LEAST_DOCUMENTS), key=lambda f: (-odds(f), f))[:MOST_FEATURES]
     place = {f: i for i, f in enumerate(telling)}
     rows, columns, values = array("q"), array("q"), array("d")
     for row, counts in enumerate(chain((words(t) for t in texts), (swapped(words(texts[i])) for i in swaps))):
@@ -112,6 +117,7 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
     rows, columns, values = np.frombuffer(rows, np.int64), np.frombuffer(columns, np.int64), np.frombuffer(values)
     total, here, there = len(y) + len(swaps), np.array(swaps, np.int64), len(y) + np.arange(len(swaps))
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # both classes count alike
+    ridge = l2 * np.array([max(1.0, (DOUBTFUL / max(odds(f), 0.1)) ** 2) for f in telling])
     w, bias = np.zeros(len(place)), math.log(share / (1 - share))
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for step in range(1, steps + 1):
@@ -123,7 +129,7 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
             change = 2 * counterfactual * (p[here] - p[there]) / len(swaps)
             np.add.at(g, here, change * p[here] * (1 - p[here]))
             g[there] -= change * p[there] * (1 - p[there])
-        gradient = np.append(np.bincount(columns, values * g[rows], len(place)) + l2 * w, g.sum())
+        gradient = np.append(np.bincount(columns, values * g[rows], len(place)) + ridge * w, g.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
