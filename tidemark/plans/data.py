@@ -18,6 +18,7 @@ from tidemark.streaming.clock_stream import volume_bar_stream
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 SHARDS = 400
+STATE_PARTITIONS = 8
 STREAM = {"days": 5, "share": 0.5, "least": 20.0, "first_threshold": 100.0, "first_volume": 150.0}
 
 
@@ -135,8 +136,12 @@ def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
     for row in t.select("date").distinct().orderBy("date").collect():  # the replay: a file for each date, in order
         t.filter(F.col("date") == row.date).coalesce(1).write.mode("append").parquet(lake)
     source = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(lake)
-    query = volume_bar_stream(source, **STREAM).writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out)
-    query.awaitTermination()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)  # a stream keeps the number that it starts with
+    try:
+        volume_bar_stream(source, **STREAM).writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return common.rounded(spark.read.parquet(out), DIGITS)
 
 
