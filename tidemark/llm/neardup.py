@@ -176,33 +176,44 @@ def _size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _nearest(every: bool, least: float):
-    """Pairs of different components in a bucket's block, or block pair, by signature: the nearest for each member, or all.
+def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarray, signatures: np.ndarray, band: int, every: bool, least: float) -> set[tuple[int, int]]:
+    """Pairs of different components in one bucket's block, or pair of blocks, by signature: the nearest for each member, or all.
 
     A pair belongs to the first band that it shares, so that it is made in one bucket only.
     """
+    pairs = set()
+    mixed = block.min() != block.max()
+    for i in range(len(ids) - 1 if every else len(ids)):
+        others = slice(i + 1 if every else 0, None)
+        fits = (part[others] != part[i]) & (100 * np.minimum(n[others], n[i]) >= SIMILAR * np.maximum(n[others], n[i]))
+        if mixed:  # pairs within a block are made where the block stands alone
+            fits &= block[others] != block[i]
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        same = signatures[others][at] == signatures[i]
+        agree = same.mean(1)
+        ok = (agree >= least) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
+        at, agree = at[ok], agree[ok]
+        if len(at) and not every:
+            at = at[[agree.argmax()]]
+        pairs.update((int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[others][at])
+    return pairs
+
+
+def _compared(every: bool, least: float):
+    """`_pairs_of` for each of many small groups."""
+    group = ["band", "bucket", "lo", "hi"]
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id")
-        ids, part, n, block = (rows[c].to_numpy() for c in ("id", "component", "n", "block"))
-        band = rows["band"].iloc[0]
-        signatures = np.stack([np.frombuffer(s, "<u2") for s in rows["signature"]])
+        rows = rows.drop_duplicates([*group, "id", "signature"]).sort_values([*group, "id"])
+        keys = rows[group].to_numpy()
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(rows)]
+        columns = [rows[c].to_numpy() for c in ("id", "component", "n", "block")]
+        signatures = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), -1)
         pairs = set()
-        mixed = block.min() != block.max()
-        for i in range(len(ids) - 1 if every else len(ids)):
-            others = slice(i + 1 if every else 0, None)
-            agree = (signatures[others] == signatures[i]).mean(1)
-            lo, hi = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-            fits = (part[others] != part[i]) & (agree >= least) & (100 * lo >= SIMILAR * hi)
-            if mixed:  # pairs within a block are made where the block stands alone
-                fits &= block[others] != block[i]
-            at = np.flatnonzero(fits)
-            if len(at):
-                shared = (signatures[others][at] == signatures[i]).reshape(-1, BANDS, ROWS).all(2)
-                at = at[shared.argmax(1) == band]
-            if len(at) and not every:
-                at = at[[agree[at].argmax()]]
-            pairs.update((int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[others][at])
+        for lo, hi in zip(cuts, cuts[1:]):
+            pairs |= _pairs_of(*(c[lo:hi] for c in columns), signatures[lo:hi], keys[lo, 0], every, least)
         return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
 
     return compare
@@ -216,7 +227,9 @@ def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFram
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = left.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     signed = spread.select("band", "bucket", "lo", "hi", "block", "id", "component").join(sketches.select("id", "n", "signature"), "id")
-    return signed.groupBy("band", "bucket", "lo", "hi").applyInPandas(_nearest(every, least), "a long, b long").distinct()
+    chunks = max(1, members.count() // (2 * block))
+    chunked = signed.withColumn("chunk", F.pmod(F.xxhash64("band", "bucket", "lo", "hi"), F.lit(chunks)))
+    return chunked.groupBy("chunk").applyInPandas(_compared(every, least), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR, least_agreement: float = LEAST_AGREEMENT, block: int = BLOCK) -> DataFrame:
