@@ -16,6 +16,7 @@ from tidemark.llm.common import written
 from tidemark.shipping import ship
 
 REJECTED = 0.4  # toxicity score from which a document goes: a little over the point where predictions turn, so that clean ones stay
+SIMILAR = 80  # per cent of shared word shingles from which documents are near duplicates
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept and id is not null").select(F.col("id").alias("doc_id"))
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILAR).filter("kept and id is not null").select(F.col("id").alias("doc_id"))
     once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 

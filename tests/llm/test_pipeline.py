@@ -42,3 +42,13 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 100
+
+
+def test_near_copies_from_80_per_cent_go(spark):
+    words = [f"w{i}" for i in range(124)]  # 120 shingles; two changed words leave 110 of 130: 84.6 per cent
+    near = [*words[:20], "x", *words[21:60], "y", *words[61:]]
+    other = [*words[:20], "x", *words[21:60], "y", *words[61:90], "z", *words[91:110], "u", *words[111:]]  # of the first 100 of 140: 71 per cent, of the second 84.6
+    far = [*words[:60], *[f"v{i}" for i in range(64)]]
+    rows = [(1, words), (2, near), (3, far), (4, other), (5, words[:102])]  # the last: 98 of 120 shingles
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], COLUMNS)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group_stays(spark, docs, "").collect()) == [1, 3]

@@ -243,3 +243,21 @@ def test_splitter_paths_agree():
     split = byte_level()
     for text in ("plain words, 12!", "tab\tand  two", "ünïcode ٣ straße"):
         assert split.plain(text) == split.full(text)
+
+
+def test_banding():
+    assert neardup.banding(85) == (34, 7, 0.75)
+    for percent in range(50, 100):
+        bands, rows, least = neardup.banding(percent)
+        similar = percent / 100
+        assert (1 - similar**rows) ** bands <= 1 / 500_000
+        assert least <= similar - 4 * (similar * (1 - similar) / (bands * rows)) ** 0.5
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_candidates_by_percent(every):
+    """Sizes 100 and 82 may be 82 per cent similar."""
+    for percent, pairs in ((80, {(1, 2)}), (85, set())):
+        bands, rows, least = neardup.banding(percent)
+        signatures = np.zeros((2, bands * rows), np.uint16)
+        assert neardup._pairs_of(np.array([1, 2]), np.array([1, 2]), np.array([100, 82]), np.array([0, 0]), signatures, 0, every, least, percent) == pairs

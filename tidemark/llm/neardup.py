@@ -1,12 +1,14 @@
 """MinHash near-duplicates: banding, signature verification, confirmation on full sets, components by stars.
 
-1. Tasks hash the word shingles of each whole text to its set, and take `BANDS * ROWS` minima over universal hash functions (multiply-shift).
+1. Tasks hash the word shingles of each whole text to its set, and take minima over universal hash functions (multiply-shift).
    Texts with equal sets form a class, which its smallest id stands for from here on: copies never meet in pairs.
-2. Classes that share all minima of a band meet in a bucket. At 85 per cent similarity two sets miss all 34 bands of 7 once in 500 000 pairs.
+2. Classes that share all minima of a band meet in a bucket. `banding` takes as many bands as let two sets of the asked similarity miss all of
+   them once in 500 000 pairs: 34 of 7 minima at 85 per cent, 34 of 5 at 80.
 3. Three rounds of candidates, each confirmed on full sets and joined into components:
    a. every class with the smallest of its bucket;
    b. in buckets that still hold several components, every class with the one of another component whose signature is nearest;
-   c. in the buckets left, all pairs of different components whose signatures agree in `LEAST_AGREEMENT` of the minima or more.
+   c. in the buckets left, all pairs of different components whose signatures agree in so many minima as the asked similarity leads to, less
+      four standard deviations, or more.
    Pairs within a component are not made, however large its buckets are. A bucket of more than `BLOCK` members is compared in pairs of
    blocks, so that a task holds two blocks at most; no candidate is left out.
 4. Components come from alternating large-star and small-star passes over the confirmed links.
@@ -17,6 +19,7 @@ component null and kept. Ties: the smallest id is the one kept. An empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +33,8 @@ from tidemark.llm.common import dropped, written
 
 WORDS = 5
 SIMILAR = 85  # per cent
-BANDS, ROWS = 34, 7
-LEAST_AGREEMENT = 0.75
+HIT, MISS = 0.3, 1 / 500_000  # chance to share one band, at least, and to share none, at most, at the asked similarity
+DEVIATIONS = 4
 BLOCK = 1024
 SEED = 20240229
 
@@ -45,11 +48,26 @@ def _constants() -> dict[str, np.ndarray]:
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
     return {
-        "letters": letters, "space": space, "places": draw(WORDS) | np.uint64(1), "short": draw(WORDS), "multiply": draw(BANDS * ROWS) | np.uint64(1), "add": draw(BANDS * ROWS),
-        "row": draw(ROWS) | np.uint64(1), "band": draw(BANDS), "base": draw(1) | np.uint64(1),
+        "letters": letters, "space": space, "places": draw(WORDS) | np.uint64(1), "short": draw(WORDS), "base": draw(1) | np.uint64(1),
     }
 
 
+@cache
+def banding(percent: int) -> tuple[int, int, float]:
+    """Bands, minima a band, and the least agreement of signatures (two decimals, rounded down) for sets of this similarity or more."""
+    similar = min(max(percent, 1), 99) / 100
+    rows = max(1, math.floor(math.log(HIT) / math.log(similar)))
+    bands = math.ceil(math.log(MISS) / math.log1p(-(similar**rows)))
+    return bands, rows, max(0.0, math.floor(100 * (similar - DEVIATIONS * math.sqrt(similar * (1 - similar) / (bands * rows)))) / 100)
+
+
+@cache
+def _functions(bands: int, rows: int) -> dict[str, np.ndarray]:
+    random = np.random.default_rng([SEED, bands, rows])
+    draw = lambda n: random.integers(0, 1 << 64, n, np.uint64)
+    return {"multiply": draw(bands * rows) | np.uint64(1), "add": draw(bands * rows), "row": draw(rows) | np.uint64(1), "band": draw(bands)}
+
+
 class Powers:
     """Powers of the base and of its inverse modulo 2^64."""
 
@@ -94,20 +112,22 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The upper 32 bits of the least value of each universal hash function."""
-    c = _constants()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    c = _functions(bands, rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[None, i : i + 1024] * c["multiply"][:, None] + c["add"][:, None]).min(1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
+def _sketches(documents: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """id, n, set_a and set_b (128 bits of the set), bands and signature (16 bits of each minimum)."""
 
+    n_bands, n_rows, _ = banding(percent)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _constants()
+        c = _functions(n_bands, n_rows)
         for batch in batches:
             n, first, second, bands, signatures = [], [], [], [], []
             for value in batch.column(1):
@@ -116,8 +136,8 @@ def _sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
                 first.append(int(hashes.sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(_mixed(hashes + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                 if len(hashes):
-                    least = minima(hashes).astype("<u2")
-                    bands.append(_mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * c["row"]).sum(1, dtype=np.uint64) + c["band"]).view(np.int64))
+                    least = minima(hashes, n_bands, n_rows).astype("<u2")
+                    bands.append(_mixed((least.reshape(n_bands, n_rows).astype(np.uint64) * c["row"]).sum(1, dtype=np.uint64) + c["band"]).view(np.int64))
                     signatures.append(least.tobytes())
                 else:
                     bands.append(None)
@@ -176,16 +196,17 @@ def _size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarray, signatures: np.ndarray, band: int, every: bool, least: float) -> set[tuple[int, int]]:
+def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarray, signatures: np.ndarray, band: int, every: bool, least: float, percent: int) -> set[tuple[int, int]]:
     """Pairs of different components in one bucket's block, or pair of blocks, by signature: the nearest for each member, or all.
 
     A pair belongs to the first band that it shares, so that it is made in one bucket only.
     """
     pairs = set()
     mixed = block.min() != block.max()
+    n_bands, n_rows, _ = banding(percent)
     for i in range(len(ids) - 1 if every else len(ids)):
         others = slice(i + 1 if every else 0, None)
-        fits = (part[others] != part[i]) & (100 * np.minimum(n[others], n[i]) >= SIMILAR * np.maximum(n[others], n[i]))
+        fits = (part[others] != part[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
         if mixed:  # pairs within a block are made where the block stands alone
             fits &= block[others] != block[i]
         at = np.flatnonzero(fits)
@@ -193,7 +214,7 @@ def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarra
             continue
         same = signatures[others][at] == signatures[i]
         agree = same.mean(1)
-        ok = (agree >= least) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
+        ok = (agree >= least) & (same.reshape(-1, n_bands, n_rows).all(2).argmax(1) == band)
         at, agree = at[ok], agree[ok]
         if len(at) and not every:
             at = at[[agree.argmax()]]
@@ -201,7 +222,7 @@ def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarra
     return pairs
 
 
-def _compared(every: bool, least: float):
+def _compared(every: bool, least: float, percent: int):
     """`_pairs_of` for each of many small groups."""
     group = ["band", "bucket", "lo", "hi"]
 
@@ -213,13 +234,13 @@ def _compared(every: bool, least: float):
         signatures = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), -1)
         pairs = set()
         for lo, hi in zip(cuts, cuts[1:]):
-            pairs |= _pairs_of(*(c[lo:hi] for c in columns), signatures[lo:hi], keys[lo, 0], every, least)
+            pairs |= _pairs_of(*(c[lo:hi] for c in columns), signatures[lo:hi], keys[lo, 0], every, least, percent)
         return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
 
     return compare
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, every: bool, least: float, block: int) -> DataFrame:
+def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, every: bool, least: float, percent: int, block: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket; a < b."""
     part = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")) if labels is not None else members.withColumn("component", F.col("id"))
     sizes = part.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "bucket", "members")
@@ -229,12 +250,13 @@ def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFram
     signed = spread.select("band", "bucket", "lo", "hi", "block", "id", "component").join(sketches.select("id", "n", "signature"), "id")
     chunks = max(1, members.count() // (2 * block))
     chunked = signed.withColumn("chunk", F.pmod(F.xxhash64("band", "bucket", "lo", "hi"), F.lit(chunks)))
-    return chunked.groupBy("chunk").applyInPandas(_compared(every, least), "a long, b long").distinct()
+    return chunked.groupBy("chunk").applyInPandas(_compared(every, least, percent), "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR, least_agreement: float = LEAST_AGREEMENT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR, least_agreement: float | None = None, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component and kept (id = component) of every row."""
-    sketches = written(_sketches(documents, key, text), "sketches")
+    least_agreement = banding(percent)[2] if least_agreement is None else least_agreement
+    sketches = written(_sketches(documents, key, text, percent), "sketches")
     whole = F.col("id").isNotNull() & (F.col("n") > 0)
     classes = sketches.filter(whole).groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"))
     single = sketches.join(classes, ["id", "set_a", "set_b", "n"], "left_semi").select("id", "n", "bands", "signature")
@@ -253,7 +275,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = written(_confirmed(tried, sets, percent), "links")
     labels = connected_components(links)
     for every in (False, True):
-        pairs = _candidates(members.select("band", "bucket", "id"), labels, near, every, least_agreement, block).join(tried, ["a", "b"], "left_anti")
+        pairs = _candidates(members.select("band", "bucket", "id"), labels, near, every, least_agreement, percent, block).join(tried, ["a", "b"], "left_anti")
         new = written(pairs, "tried")
         found = written(_confirmed(new, sets, percent), "links")
         tried, links = tried.unionByName(new), links.unionByName(found)
