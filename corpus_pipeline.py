@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes to the shared folder and reads again for the next.
 All but the last keep the columns of `documents`. Documents without an id pass the first three stages as they are judged by their text;
-as near duplicates they are never dropped. An empty table runs through.
+as near duplicates they are never dropped. Rows that share an id but not the text are documents of their own to the near-duplicate stage;
+only a repeated row (id and text) goes. An empty table runs through.
 """
 
 from __future__ import annotations
@@ -28,8 +29,14 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    kept = neardup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILAR).filter("kept and id is not null").select(F.col("id").alias("doc_id"))
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("_hash", F.xxhash64("text"))
+    first = known.groupBy("doc_id").agg(F.min("_hash").alias("_first"), F.max("_hash").alias("_last")).filter("_first <> _last")
+    first = written(first.select("doc_id", "_first"), "first")
+    other = F.col("_first").isNotNull() & (F.col("_hash") != F.col("_first"))
+    far = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))  # over all common ids, so that these are the first
+    keyed = known.join(first, "doc_id", "left").withColumn("_key", F.when(other, far).otherwise(F.col("doc_id")))
+    kept = neardup.near_duplicates(keyed, "_key", percent=SIMILAR).filter("kept").select(F.col("id").alias("_key"))
+    once = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
     return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -52,3 +52,11 @@ def test_near_copies_from_80_per_cent_go(spark):
     rows = [(1, words), (2, near), (3, far), (4, other), (5, words[:102])]  # the last: 98 of 120 shingles
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], COLUMNS)
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group_stays(spark, docs, "").collect()) == [1, 3]
+
+
+def test_texts_of_one_id_stay(spark):
+    text = lambda letter: " ".join(f"{letter}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a")), (2, text("c")), (3, text("b")), (4, None), (4, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group_stays(spark, docs, "").collect()]
+    assert {t for _, t in kept} == {text(c) for c in "abcd"} | {None} and len(kept) == 5

@@ -261,3 +261,10 @@ def test_candidates_by_percent(every):
         bands, rows, least = neardup.banding(percent)
         signatures = np.zeros((2, bands * rows), np.uint16)
         assert neardup._pairs_of(np.array([1, 2]), np.array([1, 2]), np.array([100, 82]), np.array([0, 0]), signatures, 0, every, least, percent) == pairs
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    text = lambda letter: " ".join(f"{letter}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (2, text("a")), (3, text("b")), (7, text("c")), (7, text("d"))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.component) for r in out) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7), (7, 7)]

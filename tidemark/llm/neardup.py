@@ -13,7 +13,7 @@
    blocks, so that a task holds two blocks at most; no candidate is left out.
 4. Components come from alternating large-star and small-star passes over the confirmed links.
 
-Texts without words are linked with nothing. Null text: empty. Rows that repeat an id are one node; a row without an id stays alone, with
+Texts without words are linked with nothing. Null text: empty. Rows that repeat an id are one node: links join the classes of their texts. A row without an id stays alone, with
 component null and kept. Ties: the smallest id is the one kept. An empty table gives an empty result. Other columns are left out.
 """
 
@@ -253,6 +253,13 @@ def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFram
     return chunked.groupBy("chunk").applyInPandas(_compared(every, least, percent), "a long, b long").distinct()
 
 
+def _of_one_id(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of ids with several texts; a < b."""
+    several = sketches.select("id", "set_a", "set_b", "n").groupBy("id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi"), F.min("set_b").alias("lo_b"), F.max("set_b").alias("hi_b")).filter("lo <> hi or lo_b <> hi_b").select("id")
+    held = sketches.join(several, "id", "left_semi").join(classes.withColumnRenamed("id", "class"), ["set_a", "set_b", "n"]).groupBy("id").agg(F.collect_set("class").alias("held"))
+    return held.select(F.array_min("held").alias("a"), F.explode("held").alias("b")).filter("a < b").distinct()
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR, least_agreement: float | None = None, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component and kept (id = component) of every row."""
     least_agreement = banding(percent)[2] if least_agreement is None else least_agreement
@@ -272,7 +279,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     size = lambda x: near.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")).distinct()
     stars = members.filter(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     tried = written(stars.join(size("a"), "a").join(size("b"), "b").filter(_size_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "tried")
-    links = written(_confirmed(tried, sets, percent), "links")
+    links = written(_confirmed(tried, sets, percent).unionByName(_of_one_id(sketches.filter(whole), classes)), "links")
     labels = connected_components(links)
     for every in (False, True):
         pairs = _candidates(members.select("band", "bucket", "id"), labels, near, every, least_agreement, percent, block).join(tried, ["a", "b"], "left_anti")
