@@ -118,3 +118,8 @@ def test_hashes_of_hard_conversation(spark):
     (row,) = chat.format_conversations(rows).collect()
     assert hashlib.sha256(row.turns[1].text.encode()).hexdigest() == hashlib.sha256(hard.encode()).hexdigest()
     assert row.formatted.count("<|im_start|>") == 2
+
+
+def test_licence_between_underscores(spark):
+    files = spark.createDataFrame([("a.txt", "x\nreleased_under_the_mit_license\ny")], "path string, text string")
+    assert [(r.licence, r.score) for r in license_scan.find_licences(files).collect()] == [("MIT", 1.0)]

@@ -80,7 +80,7 @@ def find_licences(files: DataFrame, path: str = "path", text: str = "text", leas
     spark = files.sparkSession
     rows = files.select(F.col(f"`{path}`").alias("path"), F.coalesce(f"`{text}`", F.lit("")).alias("text"))
     weights = term_weights(rows)
-    wanted = r"\b(?:" + "|".join(sorted(anchors(weights, least))) + r")\b"
+    wanted = r"(?<![a-z0-9])(?:" + "|".join(sorted(anchors(weights, least))) + r")(?![a-z0-9])"
     held = F.filter(passages(F.lower("text")), lambda p: p.rlike(wanted))
     lines = written(rows.select("path", F.explode_outer(held).alias("passage")).distinct(), "passages")
 
