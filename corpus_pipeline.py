@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import neardup, packing, secret_scan, toxicity
 from tidemark.llm.common import written
+from tidemark.llm.queries import TOXIC
 from tidemark.shipping import ship
 
-REJECTED = 0.4  # toxicity score from which a document goes: a little over the point where predictions turn, so that clean ones stay
 SIMILAR = 80  # per cent of shared word shingles from which documents are near duplicates
 
 
@@ -24,7 +24,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit_sample(docs, labels)
-    return toxicity.score_documents(docs, model).filter(F.col("score") < REJECTED).drop("score")
+    return toxicity.score_documents(docs, model).filter(F.col("score") < TOXIC).drop("score")
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,3 +268,12 @@ def test_rows_of_one_id_are_one_node(spark):
     rows = [(5, text("a")), (5, text("b")), (2, text("a")), (3, text("b")), (7, text("c")), (7, text("d"))]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.id, r.component) for r in out) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7), (7, 7)]
+
+
+def test_sample_passes_over_long_texts(spark):
+    """A text over the limit, at any place of the order, leaves the others in."""
+    rows = [(i, ("idiot scum " if i % 2 else "stone river ") * 3) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + [(i, "cloud " * 400) for i in range(20, 30)], "doc_id long, text string")
+    alone = toxicity.fit_sample(docs.filter("doc_id < 20"), labels, chars=2000)
+    assert alone.weights and toxicity.fit_sample(docs, labels, chars=2000) == alone

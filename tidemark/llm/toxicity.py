@@ -143,17 +143,21 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
 def fit_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fits on at most `rows` labelled rows and `chars` characters of their documents: those first by a hash of the key.
 
+    A document that doesn't fit into what is left of the characters is passed over.
     The sample is drawn from the labels; only its keys, `rows` at most, go to the documents, so that no text is shuffled.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     sample = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h")).orderBy("h", "key", "label").limit(rows)
     own = documents.select(F.col(f"`{key}`").alias("key"), F.coalesce(f"`{text}`", F.lit("")).alias("text")).join(F.broadcast(sample), "key")
-    used, chosen = 0, []
-    for row in sorted(own.select("h", "key", F.length("text").alias("n")).collect()):
-        used += row.n
-        if used > chars and chosen:
-            break
-        chosen.append(row.key)
+    used, chosen, sizes = 0, [], Counter()
+    for row in own.select("h", "key", F.length("text").alias("n")).collect():
+        sizes[row.h, row.key] += row.n
+    for (_, k), n in sorted(sizes.items()):
+        if used + n <= chars:
+            used += n
+            chosen.append(k)
+    if sizes and not chosen:
+        chosen.append(min(sizes, key=lambda x: (sizes[x], x))[1])
     table = F.broadcast(documents.sparkSession.createDataFrame([(k,) for k in sorted(set(chosen))], documents.select(F.col(f"`{key}`").alias("key")).schema))
     texts = sorted(own.join(table, "key", "left_semi").select("h", "key", "label", "text").collect())
     return fit([r.text for r in texts], [r.label for r in texts])
