@@ -48,7 +48,7 @@ def secrets_are_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", toxic_documents_go), ("near_duplicates", one_of_each_group_stays), ("secrets", secrets_are_masked), ("packing", sequences)]

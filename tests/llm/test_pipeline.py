@@ -60,3 +60,9 @@ def test_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group_stays(spark, docs, "").collect()]
     assert {t for _, t in kept} == {text(c) for c in "abcd"} | {None} and len(kept) == 5
+
+
+def test_sequences_hold_tokens(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id in (1, 305)")
+    pieces = corpus_pipeline.sequences(spark, docs, folder).collect()
+    assert pieces and all(len(p.ids) == 4 * p.length for p in pieces)

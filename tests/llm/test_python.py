@@ -277,3 +277,16 @@ def test_sample_passes_over_long_texts(spark):
     docs = spark.createDataFrame(rows + [(i, "cloud " * 400) for i in range(20, 30)], "doc_id long, text string")
     alone = toxicity.fit_sample(docs.filter("doc_id < 20"), labels, chars=2000)
     assert alone.weights and toxicity.fit_sample(docs, labels, chars=2000) == alone
+
+
+def test_feature_of_stored_tensors(spark, monkeypatch):
+    monkeypatch.setattr(media, "TENSOR_BYTES", 1)
+    texts = [None, "", "x" * 700, "long text " * 300]
+    read = media.read_media(media.store_media(table(spark, texts, extra=False)))
+    rows = {r.doc_id: r for r in read.collect()}
+    assert all(len(r.rgb) == 3 * r.height * r.width for r in rows.values())
+    found = media.described(read)
+    assert not {"height", "width", "rgb"} & set(found.columns)
+    assert {r.doc_id: r.feature for r in found.collect()} == {i: r.feature for i, r in rows.items()}
+    changed = media.described(read.selectExpr("doc_id", "feature", "height", "width", "cast(repeat('a', height * width * 3) as binary) as rgb")).collect()
+    assert all(r.feature != rows[r.doc_id].feature for r in changed)

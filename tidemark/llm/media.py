@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 UNIT = 192
 PAD = b" "
 PER_BLOCK = 63
+TENSOR_BYTES = 16_000_000  # tensors that a task holds before it hands them on
 BANDS = {0: ((1, 5), (6, 63)), 1: ((1, 63),), 2: ((1, 63),)}
 
 
@@ -324,6 +325,29 @@ def store_media(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     return kept.mapInArrow(store, f"{_schema(kept, len(keep))}, n_bytes long, media binary")
 
 
+def _feature(rgb: np.ndarray) -> str:
+    sums = rgb.reshape(-1, 3).sum(0, dtype=np.int64)
+    squares = np.einsum("ij,ij->j", *[rgb.reshape(-1, 3).astype(np.float64)] * 2)
+    n = rgb.size // 3
+    means = [s / n for s in sums.tolist()]
+    spread = [math.sqrt(max(0.0, q / n - m * m)) for q, m in zip(squares.tolist(), means)]
+    return f"{rgb.shape[0]}x{rgb.shape[1]}:" + ",".join(f"{m:.3f}/{d:.3f}" for m, d in zip(means, spread)) + f":{zlib.crc32(rgb):08x}"
+
+
+def described(tensors: DataFrame) -> DataFrame:
+    """The table without height, width and rgb, its feature made anew from them."""
+    names = [c for c in tensors.columns if c not in ("height", "width", "rgb", "feature")]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist())
+            found = [_feature(np.frombuffer(rgb.as_buffer(), np.uint8).reshape(height, width, 3)) for rgb, height, width in shapes]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string())], [*names, "feature"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tensors.schema.fields if f.name in names)
+    return tensors.mapInArrow(describe, f"{schema}, feature string")
+
+
 def read_media(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), tensors: bool = True) -> DataFrame:
     """The columns of keep, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and, if asked for, height, width and rgb (the tensor's bytes).
 
@@ -333,20 +357,19 @@ def read_media(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"),
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in types]
-            for value in batch.column(len(keep)):
+            lo, held = 0, 0
+            for at, value in enumerate(batch.column(len(keep))):
                 media = value.as_py()
                 picture = read_coefficients(media)
                 payload, rgb = read_payload(picture), read_rgb(picture)
-                sums = rgb.reshape(-1, 3).sum(0, dtype=np.int64)
-                squares = np.einsum("ij,ij->j", *[rgb.reshape(-1, 3).astype(np.float64)] * 2)
-                n = rgb.size // 3
-                means = [s / n for s in sums.tolist()]
-                spread = [math.sqrt(max(0.0, q / n - m * m)) for q, m in zip(squares.tolist(), means)]
-                feature = f"{rgb.shape[0]}x{rgb.shape[1]}:" + ",".join(f"{m:.3f}/{d:.3f}" for m, d in zip(means, spread)) + f":{zlib.crc32(rgb):08x}"
+                feature = _feature(rgb)
                 row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, *((*rgb.shape[:2], rgb.tobytes()) if tensors else ()))
                 for column, x in zip(columns, row):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, t in zip(columns, types)]], [*keep, *names])
+                held += rgb.size * tensors
+                if held >= TENSOR_BYTES or at == batch.num_rows - 1:  # a batch may hold more tensors than a task
+                    yield pa.RecordBatch.from_arrays([*[c.slice(lo, at + 1 - lo) for c in batch.columns[: len(keep)]], *[pa.array(c, t) for c, t in zip(columns, types)]], [*keep, *names])
+                    columns, lo, held = [[] for _ in types], at + 1, 0
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["height", "width", "rgb"] * tensors
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.int32(), pa.int32(), pa.binary()] * tensors

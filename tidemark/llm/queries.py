@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, license_scan, media, neardup, packing, secret_scan, topk, toxicity, url_filter
-from tidemark.llm.common import literal_table
+from tidemark.llm.common import literal_table, written
 
 # The rules of op1.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -65,8 +65,9 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:
-    stored = media.store_media(_table(spark, folder, "documents").select("doc_id", "text"))
-    return media.read_media(stored, tensors=False)
+    stored = written(media.store_media(_table(spark, folder, "documents").select("doc_id", "text")), "media")
+    columns = media.read_media(stored, tensors=False).columns
+    return media.described(written(media.read_media(stored), "tensors")).select(columns)
 
 
 def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
