@@ -12,8 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, lexicon, media, merges, neardup, packing, topk, toxicity
-from tidemark.llm.wordsplit import byte_level
+from tidemark.llm import bpe, lexicon, media, merges, neardup, packing, topk, toxicity, wordsplit
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LETTERS = "aeiou bcdst'sSTELLrevLΣσς_²½Ⅷ٣é  \n\t\x1c\x1f\x85ñßİıſK漢字ﬁ🙂$%.,!?<|endoftext|>0123⑤-–…ªº"
@@ -239,10 +238,30 @@ def test_components_of_a_chain(spark):
     assert found == {**{i: 0 for i in range(1, n + 1)}, 101: 100}
 
 
-def test_splitter_paths_agree():
-    split = byte_level()
-    for text in ("plain words, 12!", "tab\tand  two", "ünïcode ٣ straße"):
-        assert split.plain(text) == split.full(text)
+def test_encoders_agree_with_the_library_on_every_letter():
+    """Also on characters that are newer than Python's tables."""
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    draw = random.Random(3)
+    texts = [f"a{c}1" for c in points] + [f"a {c}'s {c}A" for c in points[::7]] + ["".join(draw.choices(points, k=12)) for _ in range(2000)]
+    for path, byte_level, normal in ((BYTE, True, str), (WORD, False, bpe.normalized)):
+        wanted = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        for got, want in zip(merges.Encoder(merges.MergeModel(path), byte_level, normal)(texts), wanted):
+            assert memoryview(got).cast("I").tolist() == want.ids
+
+
+def test_words_that_meet_in_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(wordsplit, "MULTIPLY", np.uint64(0))
+    texts = [t for t in hard_texts(50) if t]
+    model = merges.MergeModel(BYTE)
+    library = Tokenizer.from_file(BYTE)
+    assert [memoryview(x).cast("I").tolist() for x in merges.Encoder(model, True)(texts)] == [library.encode(t).ids for t in texts]
+
+
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 2)], "word string, n long")
+    found = lambda words: sorted(bpe.most_frequent(counts, words))
+    assert found(4) == ["a", "b", "c", "d"] and found(3) == ["a", "b", "c"] and found(2) == found(1) == ["a"] and found(0) == []
+    assert bpe.most_frequent(counts.limit(0), 5) == []
 
 
 def test_banding():

@@ -25,7 +25,7 @@ def added(df: DataFrame, **columns) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
-def slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts that a task holds in parts at once; a longer text is a run of its own."""
     lo, chars = 0, 0
     for i, text in enumerate(texts):

@@ -8,15 +8,20 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 
 from tidemark.llm.common import slices
+from tidemark.llm.wordsplit import CUT, distinct_words, word_bounds
 
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
 NO_MERGE = np.int64(1 << 40)
+NOTHING = np.int64(0xFFFFF)  # fills up rows; no vocabulary has so many ids
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+WIDTHS = (3, 5, 7, 9, 11, 13, 16, 20, 26, 36, 64)  # bytes; words of like size are merged together
+ROWS = 50_000
 
 
 @cache
@@ -44,60 +49,103 @@ class MergeModel:
         self.inner = np.array([self.ids[letters[b]] for b in range(256)], np.int64)
         self.final = np.array([self.ids[letters[b] + end] for b in range(256)], np.int64)
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
-        keys = np.array([a << 20 | b for a, b in self.merges], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array([rank << 20 | new for rank, new in self.merges.values()], np.int64)[order]
+        self._store(np.array([a << 20 | b for a, b in self.merges], np.int64), np.array([rank << 20 | new for rank, new in self.merges.values()], np.int64))
+
+    def _store(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """The merges as a hash table of two arrays; a pair is at its own slot or at one of the next ones, up to the first empty slot."""
+        self.shift = np.uint64(64 - max(10, (4 * len(keys)).bit_length()))
+        self.slots = np.full((1 << 64 - int(self.shift)) + 64, -1, np.int64)
+        self.values = np.full(len(self.slots), NO_MERGE)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            left = left[np.argsort(at[left], kind="stable")]
+            free = (self.slots[at[left]] < 0) & np.append(True, at[left][1:] != at[left][:-1])
+            self.slots[at[left[free]]], self.values[at[left[free]]] = keys[left[free]], values[left[free]]
+            left = left[~free]
+            at[left] += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * MULTIPLY >> self.shift).view(np.int64)
 
     def _merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank << 20 | new id of each pair, or NO_MERGE."""
-        key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NO_MERGE)
+        key = (left << 20 | right).ravel()
+        at = self._slot(key)
+        here = self.slots[at]
+        found = np.where(here == key, self.values[at], NO_MERGE)
+        far = np.flatnonzero((here != key) & (here >= 0))
+        while len(far):
+            at[far] += 1
+            here = self.slots[at[far]]
+            met = here == key[far]
+            found[far[met]] = self.values[at[far[met]]]
+            far = far[~met & (here >= 0)]
+        return found.reshape(left.shape)
 
     def encode_many(self, words: Iterable[str]) -> dict[str, bytes]:
-        """word -> its ids as little-endian unsigned 32-bit integers.
-
-        Words of one byte length form a matrix; each step merges the leftmost pair of least rank in every row, so that all rows lose
-        one column. Rows without a pair are done.
+        """word -> its ids as little-endian unsigned 32-bit integers."""
+        words = list(words)
+        ids, sizes = self.encode_flat(words)
+        ends, data = np.cumsum(4 * sizes).tolist(), ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        blob = np.frombuffer(b"".join(data) or b"\0", np.uint8)
+        first, sizes, parts = np.cumsum(size) - size, np.zeros(len(data), np.int64), []
+        for over, upto in zip((0, *WIDTHS), WIDTHS):
+            rows = np.flatnonzero((size > over) & (size <= upto))
+            for i in range(0, len(rows), ROWS):
+                parts += self._encoded(rows[i : i + ROWS], blob, first, size, sizes, upto)
+        for row in np.flatnonzero(size > WIDTHS[-1]).tolist():
+            found = np.array([self.encode(data[row])], np.int64)
+            sizes[row] = found.shape[1]
+            parts.append((np.array([row]), found))
+        begin = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), "<u4")
+        for rows, found in parts:
+            inside = np.arange(found.shape[1]) < sizes[rows][:, None]
+            ids[(begin[rows][:, None] + np.arange(found.shape[1]))[inside]] = found[inside]
+        return ids, sizes
+
+    def _encoded(self, rows: np.ndarray, blob: np.ndarray, first: np.ndarray, size: np.ndarray, sizes: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words of `width` bytes at most, filled up to a matrix of symbols; gives rows and their symbols, and sets how many they have.
+
+        Each step merges the leftmost pair of least rank in every row, so that all rows lose one column. Rows without a pair are done.
         """
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            data = word.encode("utf-8", "surrogatepass")
-            by_size.setdefault(len(data), []).append((word, data))
-        found: dict[str, bytes] = {}
-        for size, rows in by_size.items():
-            if size > LONGEST_REMEMBERED:
-                found.update((word, array("I", self.encode(data)).tobytes()) for word, data in rows)
-                continue
-            raw = np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(len(rows), size)
-            symbols = self.inner[raw]
-            symbols[:, -1] = self.final[raw[:, -1]]
-            values = self._merge(symbols[:, :-1], symbols[:, 1:])
-            row = np.arange(len(rows))
-            while len(row):
-                width = symbols.shape[1]
-                at = values.argmin(1) if width > 1 else np.zeros(len(row), np.int64)
-                best = values[np.arange(len(row)), at] if width > 1 else np.full(len(row), NO_MERGE)
-                done = best == NO_MERGE
-                if done.any():
-                    data, step = symbols[done].astype("<u4").tobytes(), 4 * width
-                    found.update((rows[r][0], data[i * step : (i + 1) * step]) for i, r in enumerate(row[done].tolist()))
-                    live = ~done
-                    row, symbols, values, at, best = row[live], symbols[live], values[live], at[live], best[live]
-                    if not len(row):
-                        break
-                here = np.arange(len(row))
-                symbols[here, at] = best & 0xFFFFF
-                keep = np.ones(symbols.shape, bool)
-                keep[here, at + 1] = False
-                symbols = symbols[keep].reshape(len(row), width - 1)
-                keep = np.ones(values.shape, bool)
-                keep[here, at] = False
-                values = values[keep].reshape(len(row), width - 2)
-                before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
-                values[before, at[before] - 1] = self._merge(symbols[before, at[before] - 1], symbols[before, at[before]])
-                values[after, at[after]] = self._merge(symbols[after, at[after]], symbols[after, at[after] + 1])
-        return found
+        own, n = size[rows], np.arange(len(rows))
+        raw = blob[np.minimum(first[rows][:, None] + np.arange(width), len(blob) - 1)]
+        symbols = np.where(np.arange(width) < own[:, None], self.inner[raw], NOTHING)
+        symbols[n, own - 1] = self.final[raw[n, own - 1]]
+        values = self._merge(symbols[:, :-1], symbols[:, 1:])
+        parts = []
+        while len(rows):
+            width = symbols.shape[1]
+            here = np.arange(len(rows))
+            at = values.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+            best = values[here, at] if width > 1 else np.full(len(rows), NO_MERGE)
+            done = best == NO_MERGE
+            if done.any():
+                sizes[rows[done]] = own[done]
+                parts.append((rows[done], symbols[done]))
+                live = ~done
+                rows, own, symbols, values, at, best, here = rows[live], own[live], symbols[live], values[live], at[live], best[live], here[: live.sum()]
+                if not len(rows):
+                    break
+            own = own - 1
+            symbols[here, at] = best & 0xFFFFF
+            keep = np.ones(symbols.shape, bool)
+            keep[here, at + 1] = False
+            symbols = symbols[keep].reshape(len(rows), width - 1)
+            keep = np.ones(values.shape, bool)
+            keep[here, at] = False
+            values = values[keep].reshape(len(rows), width - 2)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            values[before, at[before] - 1] = self._merge(symbols[before, at[before] - 1], symbols[before, at[before]])
+            values[after, at[after]] = self._merge(symbols[after, at[after]], symbols[after, at[after] + 1])
+        return parts
 
     def encode(self, data: bytes) -> list[int]:
         """The same for one word of any length, with a heap of pairs."""
@@ -122,32 +170,76 @@ class MergeModel:
 
 
 class Encoder:
-    """Whole texts to ids: words that it remembers, then those of a lexicon, then merges. What it remembers is bounded."""
+    """Whole texts to ids: words that it remembers, then those of a lexicon, then merges. What it remembers is bounded.
+
+    Texts are handled in slices: their words are found and told apart as arrays, so that Python meets each word of a slice once.
+    """
+
+    def __init__(self, model: MergeModel, byte_level: bool, normalized: Callable[[str], str] = str, known: Callable[[str], bytes | None] | None = None):
+        self.model, self.byte_level, self.normalized, self.known = model, byte_level, normalized, known
+        self._forget()
 
-    def __init__(self, model: MergeModel, split: Callable[[str], list[str]], known: Callable[[str], bytes | None] = lambda word: None):
-        self.model, self.split, self.known = model, split, known
-        self.remembered: dict[str, bytes] = {}
+    def _forget(self) -> None:
+        self.remembered: dict[str, int] = {}
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Special tokens in a text become their ids; the words around them are split apart."""
         return [ids for lo, hi in slices(texts) for ids in self._encoded(texts[lo:hi])]
 
-    def _encoded(self, texts: list[str | None]) -> list[bytes]:
-        parts: list[list[list[str] | bytes]] = []
-        for text in texts:
+    def words(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The distinct words of a slice of texts and how often each occurs."""
+        parts, _ = self._parts(texts)
+        found, kind, _ = self._kinds(parts)
+        return found, np.bincount(kind, minlength=len(found))
+
+    def _parts(self, texts: list[str | None]) -> tuple[list[str], dict[int, tuple[int, list[int]]]]:
+        """The normalised texts, cut at special tokens, and where texts were cut: text -> its first part, the tokens between its parts."""
+        parts, cut = [], {}
+        for i, text in enumerate(texts):
             if text and "<|" in text and self.model.marks.search(text):
-                cut, marks = self.model.marks.split(text), self.model.marks.findall(text)
-                ids = [array("I", [self.model.special[m]]).tobytes() for m in marks]
-                parts.append([x for pair in zip(map(self.split, cut), [*ids, b""]) for x in pair])
+                cut[i] = len(parts), [self.model.special[m] for m in self.model.marks.findall(text)]
+                parts += map(self.normalized, self.model.marks.split(text))
             else:
-                parts.append([self.split(text)] if text else [])
-        met = set(chain.from_iterable(p for text in parts for p in text if type(p) is list))
-        if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
-        new = [w for w in met if w not in self.remembered]
-        batch = {w: ids for w in new if (ids := self.known(w)) is not None}
-        batch.update(self.model.encode_many(w for w in new if w not in batch))
-        long = {w: batch.pop(w) for w in new if len(w) > LONGEST_REMEMBERED}
-        self.remembered.update(batch)
-        get = {**self.remembered, **long}.__getitem__ if long else self.remembered.__getitem__
-        return [b"".join(b"".join(map(get, p)) if type(p) is list else p for p in text) for text in parts]
+                parts.append(self.normalized(text) if text else "")
+        return parts, cut
+
+    def _kinds(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words, the kind of every word, and how many words each part has."""
+        whole = CUT.join(parts) + CUT
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin, end, counts = word_bounds(points, self.byte_level)
+        stands, kind = distinct_words(points, begin, end, LONGEST_REMEMBERED)
+        return [whole[a:b] for a, b in zip(begin[stands].tolist(), end[stands].tolist())], kind, counts
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers words with the ids that the lexicon or the merges give."""
+        known = [self.known(w) for w in new] if self.known else [None] * len(new)
+        rest = [w for w, ids in zip(new, known) if ids is None]
+        given = [(w, ids) for w, ids in zip(new, known) if ids is not None]
+        ids, sizes = self.model.encode_flat(rest)
+        self.remembered.update(zip(chain((w for w, _ in given), rest), count(len(self.remembered))))
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) // 4 for _, x in given], np.int64), sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(x for _, x in given), "<u4"), ids])
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
+        parts, cut = self._parts(texts)
+        found, kind, counts = self._kinds(parts)
+        if len(self.remembered) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
+            self._forget()
+        self._learn([w for w in dict.fromkeys(found) if w not in self.remembered])  # long words may be there twice
+        place = np.fromiter(map(self.remembered.__getitem__, found), np.int64, len(found))
+        first = (np.cumsum(self.sizes) - self.sizes)[place][kind]
+        own = self.sizes[place][kind]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        out = self.ids[np.repeat(first - upto[:-1], own) + np.arange(upto[-1])].tobytes()
+        ends = (4 * upto[np.cumsum(counts)]).tolist()
+        pieces = [out[a:b] for a, b in zip([0, *ends], ends)]
+        if not cut:
+            return pieces
+        joined, at = [], 0
+        for i in range(len(texts)):
+            at, marks = cut.get(i, (at, []))
+            joined.append(b"".join(x for piece, mark in zip(pieces[at : at + len(marks) + 1], [*marks, None]) for x in (piece, b"" if mark is None else array("I", [mark]).tobytes())))
+            at += len(marks) + 1
+        return joined

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 from tidemark.llm.merges import Encoder, MergeModel
-from tidemark.llm.wordsplit import byte_level
 
 CAPACITY = 2048
 END_ID = 0
@@ -38,7 +37,7 @@ BROADCAST_RUNS = 200_000
 
 @cache
 def _encoder(vocabulary: str) -> Encoder:
-    return Encoder(MergeModel(vocabulary), byte_level())
+    return Encoder(MergeModel(vocabulary), byte_level=True)
 
 
 def tokenized_pieces(documents: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
