@@ -5,7 +5,7 @@ import math
 import random
 import re
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -80,22 +80,40 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         assert at <= 2048
-    assert len(by_sequence) <= math.ceil(sum(r.length for r in rows) / 2048) + 1
+    assert len(by_sequence) == gaps_by_rows(Counter(r.length for r in rows), 2048)[0]
     assert packing.pack_documents(table(spark, texts).drop("ids").limit(0), BYTE).count() == 0
 
 
-def test_best_fit_runs_hold_all_pieces():
+def gaps_by_rows(lengths, capacity):
+    """Best fit, the longest first, on single pieces: the gap that each met."""
+    gaps, met = [], defaultdict(Counter)
+    for x in sorted((x for x, n in lengths.items() for _ in range(n)), reverse=True):
+        fits = [g for g in gaps if g >= x]
+        gap = min(fits, default=capacity)
+        if fits:
+            gaps.remove(gap)
+        gaps.append(gap - x)
+        met[x][gap] += 1
+    return len(gaps), met
+
+
+def test_best_fit_runs_equal_best_fit_by_rows(spark):
     draw = random.Random(3)
-    for capacity in (7, 64, 2048):
-        lengths = {x: draw.randrange(1, 50) for x in draw.sample(range(1, capacity + 1), min(capacity, 40))}
-        filled, placed = defaultdict(int), defaultdict(set)
-        for length, first, n, sequence, offset in packing.best_fit_runs(lengths, capacity):
-            for i in range(n):
-                assert filled[sequence + i] == offset
-                filled[sequence + i] += length
-                placed[length].add(first + i)
-        assert max(filled.values()) <= capacity
-        assert all(placed[x] == set(range(n)) for x, n in lengths.items())
+    for capacity in (7, 64, 500):
+        lengths = {x: draw.randrange(1, 30) for x in draw.sample(range(1, capacity + 1), min(capacity, 40))}
+        runs = packing.best_fit_runs(spark.createDataFrame(sorted(lengths.items()), "length long, n long"), capacity).collect()
+        sequences, met = gaps_by_rows(lengths, capacity)
+        assert max(r.first_sequence + r.n for r in runs) == sequences
+        for x, n in lengths.items():
+            own = sorted((r for r in runs if r.length == x), key=lambda r: r.first_rank)
+            assert [r.first_rank for r in own] + [n] == [0, *(r.first_rank + r.n for r in own)]
+            assert sum((Counter({capacity - r.offset: r.n}) for r in own), Counter()) == met[x]
+        for s in range(sequences):
+            at = 0
+            for r in sorted((r for r in runs if r.first_sequence <= s < r.first_sequence + r.n), key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert 0 < at <= capacity
 
 
 def test_media_round_trip(spark):
