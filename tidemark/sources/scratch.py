@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def same_table(view: DataFrame, table: DataFrame) -> DataFrame:
+    """view, known as the table that it reads, so that `dropped` deletes that."""
+    view._tidemark_path = table._tidemark_path
+    return view
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing reads any more."""
     for table in tables:
