@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import dropped, written
+from tidemark.sources.scratch import dropped, same_table, written
 
-__all__ = ["added", "dropped", "literal_table", "slices", "written"]
+__all__ = ["added", "dropped", "literal_table", "same_table", "slices", "written"]
 
 
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:

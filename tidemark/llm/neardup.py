@@ -26,16 +26,17 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, written
+from tidemark.llm.common import dropped, same_table, written
 
 WORDS = 5
 SIMILAR = 85  # per cent
 HIT, MISS = 0.3, 1 / 500_000  # chance to share one band, at least, and to share none, at most, at the asked similarity
 DEVIATIONS = 4
 BLOCK = 1024
+HOT_KEYS = 1000  # keys with more than this part of all rows are joined by broadcast: there are fewer than that
 SEED = 20240229
 
 
@@ -162,26 +163,36 @@ def _sets(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(hashed, "id long, shingles array<long>")
 
 
+def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], counts: str, total: int) -> DataFrame:
+    """rows with the columns of a table that has one row for each key; its column `counts` says how many rows have the key.
+
+    Keys with over 1 / HOT_KEYS of the `total` rows, fewer than HOT_KEYS, are broadcast, so that no task gets all rows of a hot key.
+    """
+    hot = F.col(counts) > max(total // HOT_KEYS, 100)
+    few = F.broadcast(table.filter(hot).drop(counts))
+    return rows.join(few, keys).unionByName(rows.join(few.select(keys), keys, "left_anti").join(table.filter(~hot).drop(counts), keys))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), for every id that has a link to a smaller one."""
 
-    def stars(edges: DataFrame, large: bool) -> DataFrame:
+    def stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        near = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count(F.lit(1)).alias("degree"))
+        near = joined_by_key(both, least, ["a"], "degree", total)
         moved = near.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")) if large else near.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
         return moved.filter(F.col("a") != F.col("b")).distinct()
 
     state = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges, before = links.select("a", "b"), None
+    edges, before = links.select("a", "b"), state(links)
     old = None
     while True:
-        edges = written(stars(stars(edges, True), False), "stars")
+        edges = written(stars(stars(edges, True, 2 * before[0]), False, before[0]), "stars")
         now = state(edges)
         if old is not None:
             dropped(old)
         if now == before or now[0] == 0:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return same_table(edges.withColumnsRenamed({"a": "id", "b": "component"}), edges)
         before, old = now, edges
 
 
@@ -256,22 +267,23 @@ def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFram
 def _of_one_id(sketches: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that join the classes of ids with several texts; a < b."""
     several = sketches.select("id", "set_a", "set_b", "n").groupBy("id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi"), F.min("set_b").alias("lo_b"), F.max("set_b").alias("hi_b")).filter("lo <> hi or lo_b <> hi_b").select("id")
-    held = sketches.join(several, "id", "left_semi").join(classes.withColumnRenamed("id", "class"), ["set_a", "set_b", "n"]).groupBy("id").agg(F.collect_set("class").alias("held"))
+    held = sketches.join(several, "id", "left_semi").join(classes, ["set_a", "set_b", "n"]).groupBy("id").agg(F.collect_set("class").alias("held"))
     return held.select(F.array_min("held").alias("a"), F.explode("held").alias("b")).filter("a < b").distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR, least_agreement: float | None = None, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component and kept (id = component) of every row."""
     least_agreement = banding(percent)[2] if least_agreement is None else least_agreement
-    sketches = written(_sketches(documents, key, text, percent), "sketches")
+    seen = Observation()
+    sketches = written(_sketches(documents, key, text, percent).observe(seen, F.count(F.lit(1)).alias("rows")), "sketches")
     whole = F.col("id").isNotNull() & (F.col("n") > 0)
-    classes = sketches.filter(whole).groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"))
-    single = sketches.join(classes, ["id", "set_a", "set_b", "n"], "left_semi").select("id", "n", "bands", "signature")
-    buckets = single.select("id", F.posexplode("bands").alias("band", "bucket"))
-    together = Window.partitionBy("band", "bucket")
-    met = buckets.withColumn("least", F.min("id").over(together)).withColumn("most", F.max("id").over(together))
-    members = written(met.filter(F.col("least") != F.col("most")).select("band", "bucket", "id", "least").distinct(), "members")
-    needed = members.select("id").distinct()
+    set_key = ["set_a", "set_b", "n"]
+    classes = written(sketches.filter(whole).groupBy(*set_key).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
+    single = sketches.join(classes.select(F.col("class").alias("id"), *set_key), ["id", *set_key], "left_semi").select("id", "n", "bands", "signature")
+    buckets = single.select("id", F.posexplode("bands").alias("band", "bucket")).distinct()
+    several = buckets.groupBy("band", "bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter(F.col("least") != F.col("most"))
+    members = written(buckets.join(several.drop("most"), ["band", "bucket"]), "members")
+    needed = written(members.select("id").distinct(), "needed")
     near = written(single.select("id", "n", "signature").join(needed, "id", "left_semi"), "signatures")
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = written(_sets(rows.join(needed, "id", "left_semi")).dropDuplicates(["id", "shingles"]), "sets")
@@ -281,14 +293,20 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     tried = written(stars.join(size("a"), "a").join(size("b"), "b").filter(_size_fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "tried")
     links = written(_confirmed(tried, sets, percent).unionByName(_of_one_id(sketches.filter(whole), classes)), "links")
     labels = connected_components(links)
+    done = [classes, members, needed, near, sets, tried, links, labels, sketches]
     for every in (False, True):
         pairs = _candidates(members.select("band", "bucket", "id"), labels, near, every, least_agreement, percent, block).join(tried, ["a", "b"], "left_anti")
         new = written(pairs, "tried")
         found = written(_confirmed(new, sets, percent), "links")
         tried, links = tried.unionByName(new), links.unionByName(found)
+        done += [new, found]
         if found.limit(1).count():
             labels = connected_components(links)
-    named = sketches.select("id", "n", "set_a", "set_b").join(classes.withColumnRenamed("id", "class"), ["set_a", "set_b", "n"], "left")
-    named = named.join(labels.withColumnRenamed("id", "class"), "class", "left")
-    component = F.when(whole, F.coalesce("component", "class")).otherwise(F.col("id"))
-    return named.select("id", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+            done.append(labels)
+    component = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select(*set_key, "copies", F.coalesce("component", "class").alias("component"))
+    named = joined_by_key(sketches.filter(whole).select("id", *set_key), component, set_key, "copies", seen.get["rows"])
+    named = named.select("id", "n", "component").unionByName(sketches.filter(~F.coalesce(whole, F.lit(False))).select("id", "n", F.col("id").alias("component")))
+    out = named.select("id", F.col("n").alias("n_shingles"), "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    out = written(out, "near_duplicates")
+    dropped(*done)  # the result is all that stays of it on disk
+    return out

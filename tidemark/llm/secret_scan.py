@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index.
 
 Each rule's regex gives a Boolean query: the alternatives of its literal parts, each the set of lower-cased trigrams that it needs.
-The index has a posting (trigram, text digest) for each trigram of some query and each distinct text that holds it. Intersecting the
-postings of an alternative gives the candidate texts of its rule; only those are matched with the rule's regex. A rule with an
-alternative without trigrams (a class only, such as hex digits) is matched on every text.
+The index has a posting (trigram, text digest) for each trigram of some query and each text that holds it. Intersecting the postings of an
+alternative gives the candidate texts of its rule (postings of equal texts fall together as tasks count them); only those are matched with
+the rule's regex. A rule with an alternative without trigrams (a class only, such as hex digits) is matched on every text.
+The candidates are a table of digests, written before it meets the texts, so that Spark knows its size: while it is small, no text moves.
 
 Spans are code points, end exclusive. Null text: empty. Repeated and equal texts get equal spans; an empty table gives none.
 Input columns named like a result column are replaced.
@@ -18,7 +19,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import added, literal_table
+from tidemark.llm.common import added, literal_table, written
 
 
 @dataclass(frozen=True)
@@ -115,13 +116,17 @@ def candidates(texts: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
 def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """documents with secrets: array of (kind, start, end) by start, then by the order of rules."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
-    keyed = documents.select(F.struct(*[f"`{c}`" for c in documents.columns]).alias("row"), F.coalesce(f"`{text}`", F.lit("")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    joined = keyed.join(candidates(keyed, queries), "digest", "left") if queries else keyed.withColumn("kinds", F.array().cast("array<string>"))
+    body = F.coalesce(f"`{text}`", F.lit(""))
+    digest = F.unhex(F.sha2(body, 256)).alias("digest")
+    keyed = documents.select(F.struct(*[f"`{c}`" for c in documents.columns]).alias("row"), digest)
+    held = written(candidates(documents.select(body.alias("body"), digest), queries), "candidates") if queries else None
+    joined = keyed.join(held, "digest", "left") if queries else keyed.withColumn("kinds", F.array().cast("array<string>"))
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
     found = []
     for order, rule in enumerate(rules):
-        tried = F.array_contains("kinds", rule.kind) if rule.kind in queries else F.col("body").rlike(rule.regex)
-        found.append(F.when(F.coalesce(tried, F.lit(False)), spans(F.col("body"), rule, order)).otherwise(none))
+        tried = F.array_contains("kinds", rule.kind) if rule.kind in queries else body.rlike(rule.regex)
+        found.append(F.when(F.coalesce(tried, F.lit(False)), spans(body, rule, order)).otherwise(none))
     names = F.array(*[F.lit(r.kind) for r in rules])
     sorted_spans = F.transform(F.array_sort(F.concat(*found)), lambda s: F.struct(F.get(names, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     out = joined.select("row.*", sorted_spans.alias("_spans"))

@@ -7,7 +7,7 @@ scores is penalised, so that the naming of a group by itself moves no score. The
 
 Scoring covers every whole text in Spark tasks. Null and empty texts get the score of the empty text. Words of any length are read.
 Repeated rows are scored each; an empty table gives an empty result; without labels of both kinds the score is the share of toxic labels.
-Input columns named score are replaced.
+Input columns named like the score's are replaced.
 """
 
 from __future__ import annotations
@@ -163,19 +163,17 @@ def fit_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return fit([r.text for r in texts], [r.label for r in texts])
 
 
-def score_documents(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """documents with score, from 0 to 1, higher for likelier toxic."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
-    schema = T.StructType([f for f in documents.schema.fields if f.name.lower() != "score"])
+def score_documents(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """documents with the score (in column `name`), from 0 to 1, higher for likelier toxic."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # its weights are bounded by the sample of the fit
+    schema = T.StructType([f for f in documents.schema.fields if f.name.lower() != name.lower()])
     at = documents.columns.index(text)
-    kept = [i for i, c in enumerate(documents.columns) if c.lower() != "score"]
+    kept = [i for i, c in enumerate(documents.columns) if c.lower() != name.lower()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = shared.value.score
         for batch in batches:
             values = pa.array([score_of(words(x.as_py())) for x in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*schema.names, "score"])
-
-    return documents.mapInArrow(score, T.StructType([*schema.fields, T.StructField("score", T.DoubleType())]))
-
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*schema.names, name])
 
+    return documents.mapInArrow(score, T.StructType([*schema.fields, T.StructField(name, T.DoubleType())]))
