@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import book
 from tidemark.functions.ranks import quantiles, with_average_rank
 from tidemark.operators import evaluate, layout, quality, risk, selection
 
@@ -76,17 +77,53 @@ def test_curve_and_break_even(spark):
     assert got == pytest.approx(list(nav))
     assert [r.nav for r in curve.filter("config = 'dead'").collect()] == [0.0, 0.0]
     row = risk.risk_metrics(curve).filter("config = 'a'").first()
-    assert row.max_drawdown == pytest.approx((nav / np.maximum.accumulate(np.maximum(nav, 1)) - 1).min()) and row.underwater_days == 3
-    trades = spark.createDataFrame([(30.0,), (50.0,)], "capped_bp double")
-    assert risk.break_even(trades).first().break_even == 40
-    assert risk.break_even(trades.limit(0)).first().break_even == 100
+    assert row.max_drawdown == pytest.approx((nav / np.maximum.accumulate(nav) - 1).min()) and row.underwater_days == 3
+    trades = spark.createDataFrame([(5.5,), (25.0,)], "pnl_bp double")
+    assert risk.break_even(trades).first().break_even == 41  # 15.25 + 25, to the next whole cost
+    assert risk.break_even(trades.limit(0)).first().break_even == 25
+    assert risk.break_even(trades.selectExpr("pnl_bp - 100 as pnl_bp")).first().break_even == 25
+    assert risk.break_even(trades.selectExpr("pnl_bp + 100 as pnl_bp")).first().break_even == 100
+
+
+def test_edges_of_risk(spark):
+    """A loss on the first day is no drawdown; a rising curve has Sortino and Calmar 0; a pnl of 0 is neither won nor lost."""
+    df = spark.createDataFrame([("a", "d0", -0.1), ("a", "d1", -0.05), ("a", "d2", 0.2), ("up", "d0", 0.1), ("up", "d1", 0.1)], "config string, date string, ret double")
+    rows = {r.config: r for r in risk.risk_metrics(risk.equity_curve(df)).collect()}
+    assert rows["a"].max_drawdown == pytest.approx(-0.05) and rows["a"].underwater_days == 1
+    assert (rows["up"].sortino, rows["up"].calmar, rows["up"].max_drawdown) == (0, 0, 0)
+    stats = lambda *pnl: risk.trade_stats(spark.createDataFrame([(x,) for x in pnl], "pnl_bp double")).first()
+    assert stats(0.0, 10.0)[1:] == (0.5, 10.0, 1.0, 10.0, float("inf"))
+    assert stats(0.0, 30.0, -10.0, -20.0)[1:] == (0.25, 30.0, 15.0, 2.0, pytest.approx(1.0))
+
+
+def test_edges_of_spreads(spark):
+    """Where high predictions lose, nothing is covered and no deviation is enough."""
+    falling = spark.createDataFrame([(float(i), -100.0 * i) for i in range(100)], "pred_bp double, target_bp double")
+    row = evaluate.sentinel(falling).first()
+    assert row.spread < 0 and not row.covered and row.error == row.warn == row.healthy == float("inf")
+    row = evaluate.spread_calibration(falling).first()
+    assert row.ratio < 0 and row.cost_threshold == row.safe_threshold == 0
+    row = evaluate.sentinel(spark.createDataFrame([(float(i), 100.0 * i) for i in (0, 0, 0, 0, 0, 0, 0, 1, 2, 3)], "pred_bp double, target_bp double")).first()
+    assert row.spread == pytest.approx(300) and row.covered  # equal edges fell together
+
+
+def test_daily_top_counts(spark):
+    for n, wanted in ((3, 1), (10, 1), (11, 2), (100, 19), (400, 50)):
+        rows = spark.createDataFrame([("d", f"s{i}", float(i)) for i in range(n)], "date string, symbol string, pred_bp double")
+        assert selection.daily_top(rows, ["symbol"]).count() == wanted
+
+
+def test_shares(spark):
+    code = spark.createDataFrame([("689009.SH",), ("302132.SZ",), ("688981.SH",)], "symbol string")
+    assert [r.symbol for r in code.filter(book.is_share(F.col("symbol"))).orderBy("symbol").collect()] == ["688981.SH", "689009.SH"]
 
 
 def test_scorecard_and_checks(spark):
     targets = spark.createDataFrame([("a", 1.0, "ge"), ("b", 1.0, "lt")], "metric string, target double, comparator string")
     card = risk.scorecard(spark.createDataFrame([("a", 2.0)], "metric string, value double"), targets)
     assert {r.metric: r.met for r in card.collect()} == {"a": True, "b": False}
-    assert risk.verdict(card).first().verdict == "CONDITIONAL"
+    stats = spark.createDataFrame([(3.1, 1.6), (3.1, 1.3), (1.9, 9.0)], "asymmetry double, profit_factor double")
+    assert [r.verdict for r in risk.verdict(stats).collect()] == ["PASS", "CONDITIONAL", "FAIL"]
     empty = made(spark, [])
     assert {r.status for r in quality.check_predictions(empty).filter("check = 'rows'").collect()} == {"STOP"}
     missing = quality.check_predictions(empty.drop("target_bp")).filter("check = 'columns missing'").first()

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Code prefixes of listed shares, and of the boards with the wide daily limit.
-SHARE_PREFIXES = ("600", "601", "603", "605", "688", "000", "001", "002", "003", "300", "301", "302")
+SHARE_PREFIXES = ("000", "001", "002", "003", "300", "301", "600", "601", "603", "605", "688", "689")
 WIDE_BOARDS = ("688", "300", "301")
 EPSILON = 1e-8
 

@@ -112,22 +112,33 @@ def decile_report(predictions: DataFrame, by: str = "pred_bp", pred: str = "pred
     return table.withColumn("tag", F.when(F.col("decile") == 0, F.lit("LOW")).when(F.col("decile") == 9, F.lit("HIGH")))
 
 
-def spread_calibration(predictions: DataFrame, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
-    """Decile spread over the population deviation of predictions, and the deviations needed for a cost of 25 and 50."""
+def _thresholds(ratio: Column, cost: float, otherwise: float) -> tuple[Column, Column]:
+    """The deviation that a ratio of spread and deviation turns into a cost, and into twice the cost; a ratio that isn't positive has none."""
+    return tuple(F.when(ratio > 0, c / ratio).otherwise(F.lit(otherwise)) for c in (cost, 2 * cost))
+
+
+def spread_calibration(predictions: DataFrame, cost: float = 25.0, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
+    """Decile spread over the population deviation of predictions, and the deviations needed for a cost and twice as much (0 if the ratio isn't positive)."""
     spread = decile_spread(decile_table(predictions, pred=pred, target=target)).select("spread")
     stats = spread.crossJoin(_both(predictions, pred, target).agg(F.stddev_pop(pred).alias("std_pop"), F.stddev_samp(pred).alias("std_samp")))  # one row with one row
-    ratio = F.try_divide(F.col("spread"), F.nullif("std_pop", F.lit(0.0)))
-    return stats.select("spread", "std_pop", "std_samp", ratio.alias("ratio"), F.try_divide(F.lit(25.0), F.nullif(ratio, F.lit(0.0))).alias("cost_threshold"), F.try_divide(F.lit(50.0), F.nullif(ratio, F.lit(0.0))).alias("safe_threshold"))
+    ratio = F.coalesce(F.try_divide(F.col("spread"), F.nullif("std_pop", F.lit(0.0))), F.lit(0.0))
+    needed, safe = _thresholds(F.col("ratio"), cost, 0.0)
+    return stats.withColumn("ratio", ratio).select("spread", "std_pop", "std_samp", "ratio", needed.alias("cost_threshold"), safe.alias("safe_threshold"))
+
+
+def outer_spread(predictions: DataFrame, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
+    """One row: mean target of the last bucket less that of the first, by quantile cut; equal edges fall together."""
+    means = cut_deciles(_both(predictions, pred, target), pred).groupBy("decile").agg(F.avg(target).alias("mean"))
+    return means.agg((F.max_by("mean", "decile") - F.min_by("mean", "decile")).alias("spread"))
 
 
 def sentinel(predictions: DataFrame, cost: float = 25.0, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
-    """Quantile-cut spread (9 less 0) over the sample deviation, the threshold for a cost, and whether the deviation covers it."""
-    cut = cut_deciles(_both(predictions, pred, target), pred)
-    mean = lambda d: F.avg(F.when(F.col("decile") == d, F.col(target)))
-    stats = cut.agg((mean(9) - mean(0)).alias("spread"), F.stddev_samp(pred).alias("std"))
-    ratio = F.try_divide(F.col("spread"), F.nullif("std", F.lit(0.0)))
-    threshold = F.try_divide(F.lit(cost), F.nullif(ratio, F.lit(0.0)))
-    return stats.select("spread", "std", ratio.alias("ratio"), threshold.alias("threshold"), (F.col("std") >= threshold).alias("covered"))
+    """Quantile-cut spread (last bucket less first) over the sample deviation, whether the spread covers the cost, and the deviations at which to
+    raise an error (a third of the threshold for the cost), to warn (the threshold) and to be content (twice the threshold)."""
+    stats = outer_spread(predictions, pred, target).crossJoin(_both(predictions, pred, target).agg(F.stddev_samp(pred).alias("std")))  # one row with one row
+    ratio = F.when(F.col("std") > 0, F.col("spread") / F.col("std")).otherwise(0.0)
+    warn, healthy = _thresholds(F.col("ratio"), cost, float("inf"))
+    return stats.withColumn("ratio", ratio).select("spread", "std", "ratio", (warn / 3).alias("error"), warn.alias("warn"), healthy.alias("healthy"), F.coalesce(F.col("spread") > cost, F.lit(False)).alias("covered"))
 
 
 def key_correlations(predictions: DataFrame, z: str = "z_sparsity", pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
@@ -153,14 +164,14 @@ def series_summary(daily: DataFrame, columns: list[str], epsilon: float = 1e-8)
     return stats.select("series", "days", "mean", "std", (F.col("mean") / (F.col("std") / F.sqrt("days") + epsilon)).alias("t"), (F.col("mean") / (F.col("std") + epsilon)).alias("icir"), "positive")
 
 
-def global_against_daily(predictions: DataFrame, min_rows: int = 50) -> DataFrame:
-    """Pooled and mean daily rank correlation side by side, with a verdict where they differ in sign or twofold."""
-    pooled = global_ic(predictions).select(F.col("rank_ic").alias("pooled"))
-    daily = daily_ic(predictions, min_rows).agg(F.avg("rank_ic").alias("daily"))
-    both = pooled.crossJoin(daily)  # one row with one row
-    agree = F.signum("pooled") == F.signum("daily")
-    near = F.abs("pooled") <= 2 * F.abs("daily")
-    return both.withColumn("verdict", F.when(agree & near, F.lit("consistent")).when(agree, F.lit("pooled is inflated")).otherwise(F.lit("signs differ")))
+def global_against_daily(predictions: DataFrame, min_rows: int = 50, cost: float = 25.0) -> DataFrame:
+    """Correlation, rank correlation and outer spread, pooled and as means over dates, with a verdict on the daily spread and a remark on the pooled one."""
+    pooled = global_ic(predictions).select(F.col("ic").alias("pooled_ic"), F.col("rank_ic").alias("pooled_rank_ic")).crossJoin(outer_spread(predictions).select(F.col("spread").alias("pooled_spread")))  # one row each
+    daily = daily_cross_section(predictions, min_rows).agg(*[F.avg(c).alias(f"daily_{c}") for c in ("ic", "rank_ic", "spread")])
+    spread = F.col("daily_spread")
+    kind = F.when(spread.isNull(), F.lit("INSUFFICIENT")).when(spread > cost, F.lit("TRADEABLE")).when(spread > 5, F.lit("MARGINAL")).when(spread > 0, F.lit("WEAK POSITIVE")).otherwise(F.lit("NEGATIVE"))
+    remark = F.when((spread > 0) & (F.col("pooled_spread") <= 0), F.lit("HIDDEN")).when((spread <= 0) & (F.col("pooled_spread") <= 0), F.lit("ABSENT"))
+    return pooled.crossJoin(daily).withColumn("verdict", kind).withColumn("remark", remark)  # one row with one row
 
 
 def daily_edge_deciles(predictions: DataFrame, min_rows: int = 100, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
@@ -185,16 +196,16 @@ def guarded_ic(predictions: DataFrame, key: str, epsilon: float = 1e-8, pred: st
     return _both(predictions, pred, target).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) < 2, F.lit(0.0)).otherwise(ratio).alias("ic"))
 
 
-def loss_metrics(scored: DataFrame, z: str, weight: float = 0.001, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
+def loss_metrics(scored: DataFrame, z: str, weight: float = 1e-4, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
     """Fraction of variance unexplained (1 on a near constant target), two-part description length, and the clipped sparse loss."""
     error = F.pow(F.col(pred) - F.col(target), 2)
     norm = F.aggregate(F.col(z), F.lit(0.0), lambda a, x: a + F.abs(x).cast("double"))
     clipped = F.aggregate(F.col(z), F.lit(0.0), lambda a, x: a + F.least(F.abs(x).cast("double"), F.lit(20.0)))
     wanted = F.when(F.col(target) < 0, F.col(target) * 0.1).otherwise(F.col(target)) - 40
-    scaled = (F.greatest(F.least(wanted, F.lit(500.0)), F.lit(-500.0)) - F.col(pred)) / 10000
+    miss = (F.greatest(F.least(wanted, F.lit(500.0)), F.lit(-500.0)) - F.col(pred))
     return _both(scored, pred, target).agg(
         F.when(F.var_pop(target) < 1e-8, F.lit(1.0)).otherwise(F.avg(error) / F.var_pop(target)).alias("fvu"), (F.avg(error) + weight * F.avg(norm)).alias("mdl"),
-        (F.avg(scaled * scaled) + weight * F.avg(clipped)).alias("sparse_loss"),
+        (F.avg(miss * miss) / 10000 + weight * F.avg(clipped)).alias("sparse_loss"),
     )
 
 

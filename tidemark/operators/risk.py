@@ -9,16 +9,16 @@ GUARD = 1e-10
 
 
 def equity_curve(returns: DataFrame, key: str = "config", date: str = "date", value: str = "ret") -> DataFrame:
-    """Per key and date: nav from 1, drawdown from the running maximum of 1 and nav. A return of -1 or less ends the curve at 0."""
+    """Per key and date: nav after the date, drawdown from the running maximum of nav (from the first date's on). A return of -1 or less ends the curve at 0."""
     upto = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     dead = F.max((F.col(value) <= -1).cast("int")).over(upto) == 1
     nav = F.when(dead, F.lit(0.0)).otherwise(F.exp(F.sum(F.when(F.col(value) > -1, F.log1p(value))).over(upto)))
-    curve = returns.withColumn("nav", nav).withColumn("peak", F.greatest(F.max("nav").over(upto), F.lit(1.0)))
-    return curve.withColumn("drawdown", F.col("nav") / F.col("peak") - 1).drop("peak")
+    curve = returns.withColumn("nav", nav).withColumn("peak", F.max("nav").over(upto))
+    return curve.withColumn("drawdown", F.coalesce(F.try_divide("nav", "peak"), F.lit(1.0)) - 1).drop("peak")
 
 
 def risk_metrics(curve: DataFrame, key: str = "config", date: str = "date", value: str = "ret", days_a_year: int = 252) -> DataFrame:
-    """Per key: days, total and annual return, Sharpe, Sortino, largest drawdown, its longest run of days, Calmar. Population deviations."""
+    """Per key: days, total and annual return, Sharpe, Sortino, largest drawdown, its longest run of days, Calmar. Population deviations; Sortino is 0 without negative days, Calmar 0 without a drawdown."""
     own = Window.partitionBy(key).orderBy(date)
     under = (F.col("drawdown") < 0).cast("int")
     islands = curve.withColumn("_u", under).withColumn("_i", F.sum(1 - F.col("_u")).over(own))
@@ -29,8 +29,8 @@ def risk_metrics(curve: DataFrame, key: str = "config", date: str = "date", valu
     annual = F.pow("nav", F.lit(float(days_a_year)) / F.col("days")) - 1
     root = F.sqrt(F.lit(float(days_a_year)))
     return stats.join(runs, key).select(
-        key, "days", (F.col("nav") - 1).alias("total_return"), annual.alias("annual_return"), (F.col("_mean") / (F.col("_std") + GUARD) * root).alias("sharpe"), (F.col("_mean") / (F.coalesce("_down", F.lit(0.0)) + GUARD) * root).alias("sortino"),
-        "max_drawdown", "underwater_days", (annual / (F.abs("max_drawdown") + GUARD)).alias("calmar"),
+        key, "days", (F.col("nav") - 1).alias("total_return"), annual.alias("annual_return"), (F.col("_mean") / (F.col("_std") + GUARD) * root).alias("sharpe"), F.coalesce(F.col("_mean") / (F.col("_down") + GUARD) * root, F.lit(0.0)).alias("sortino"),
+        "max_drawdown", "underwater_days", F.when(F.col("max_drawdown") != 0, annual / F.abs("max_drawdown")).otherwise(0.0).alias("calmar"),
     )
 
 
@@ -41,18 +41,19 @@ def regime(curve: DataFrame, days: int = 20, fall: float = -0.05, key: str = "co
 
 
 def trade_stats(trades: DataFrame, pnl: str = "pnl_bp") -> DataFrame:
-    """n, win rate, mean win, mean absolute loss (1 if there is none), asymmetry and profit factor."""
+    """n, win rate, mean win, mean absolute loss (1 if there is none), asymmetry and profit factor (infinite without losses). A pnl of 0 is neither."""
     x = F.col(pnl)
-    sums = trades.agg(F.count(x).alias("n"), F.avg((x > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.0)).alias("mean_win"), F.coalesce(F.avg(F.when(x <= 0, F.abs(x))), F.lit(1.0)).alias("mean_loss"),
-                      F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0.0)).alias("_won"), F.coalesce(F.sum(F.when(x <= 0, F.abs(x))), F.lit(0.0)).alias("_lost"))
-    return sums.select("n", "win_rate", "mean_win", "mean_loss", F.try_divide("mean_win", F.nullif("mean_loss", F.lit(0.0))).alias("asymmetry"), F.try_divide("_won", F.nullif("_lost", F.lit(0.0))).alias("profit_factor"))
+    won, lost = F.when(x > 0, x), F.when(x < 0, -x)
+    sums = trades.agg(F.count(x).alias("n"), F.coalesce(F.avg((x > 0).cast("double")), F.lit(0.0)).alias("win_rate"), F.coalesce(F.avg(won), F.lit(0.0)).alias("mean_win"), F.coalesce(F.avg(lost), F.lit(1.0)).alias("mean_loss"),
+                      F.coalesce(F.sum(won), F.lit(0.0)).alias("_won"), F.sum(lost).alias("_lost"))
+    return sums.select("n", "win_rate", "mean_win", "mean_loss", (F.col("mean_win") / F.col("mean_loss")).alias("asymmetry"), F.coalesce(F.col("_won") / (F.col("_lost") + GUARD), F.lit(float("inf"))).alias("profit_factor"))
 
 
-def break_even(trades: DataFrame, cost: float = 25.0, most: int = 100, gross: str = "capped_bp") -> DataFrame:
-    """The smallest whole cost from `cost` on at which the sum of gross less cost is not positive, else `most`: in closed form from sum and count."""
-    sums = trades.agg(F.sum(gross).alias("s"), F.count(gross).alias("n"))
-    at = F.when(F.col("n") > 0, F.greatest(F.ceil(F.col("s") / F.nullif("n", F.lit(0))), F.lit(int(cost))))
-    return sums.select(F.coalesce(F.least(at, F.lit(most)), F.lit(most)).cast("long").alias("break_even"))
+def break_even(trades: DataFrame, cost: float = 25.0, most: int = 100, pnl: str = "pnl_bp") -> DataFrame:
+    """The smallest whole cost from `cost` on, under `most`, at which the sum of pnl, made for `cost`, is no longer positive; else `most`: from sum and count."""
+    sums = trades.agg(F.sum(pnl).alias("s"), F.count(pnl).alias("n"))
+    at = F.greatest(F.ceil(F.col("s") / F.nullif("n", F.lit(0)) + cost), F.lit(int(cost)))
+    return sums.select(F.when(F.col("n") == 0, F.lit(int(cost))).otherwise(F.least(at, F.lit(most))).cast("long").alias("break_even"))
 
 
 def exit_reasons(trades: DataFrame) -> DataFrame:
@@ -66,10 +67,10 @@ def scorecard(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(metrics, "metric", "left").select("metric", "value", "target", "comparator", F.coalesce(met, F.lit(False)).alias("met"))
 
 
-def verdict(card: DataFrame) -> DataFrame:
-    """PASS if all are met, CONDITIONAL if half or more, else FAIL."""
-    stats = card.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("met").cast("int")).alias("met"))
-    return stats.withColumn("verdict", F.when(F.col("met") == F.col("n"), F.lit("PASS")).when(F.col("met") * 2 >= F.col("n"), F.lit("CONDITIONAL")).otherwise(F.lit("FAIL")))
+def verdict(stats: DataFrame) -> DataFrame:
+    """asymmetry, profit_factor and verdict of trade stats: PASS over 3 and 1.5, CONDITIONAL over 2 and 1.2, else FAIL."""
+    over = lambda a, b: (F.col("asymmetry") > a) & (F.col("profit_factor") > b)
+    return stats.select("asymmetry", "profit_factor", F.when(over(3.0, 1.5), F.lit("PASS")).when(over(2.0, 1.2), F.lit("CONDITIONAL")).otherwise(F.lit("FAIL")).alias("verdict"))
 
 
 def sweep_deltas(results: DataFrame, factors: list[str], factor: str, value: str) -> DataFrame:

@@ -35,10 +35,10 @@ def one_of_each_symbol(predictions: DataFrame, order: list[str], last: bool = Fa
     return predictions.withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "date").orderBy(*first))).filter("_r = 1").drop("_r")
 
 
-def daily_top(candidates: DataFrame, order: list[str], share: float = 0.2, most: int = 50) -> DataFrame:
-    """Per date the rows of highest prediction: a share of the date's rows, one at least and `most` at most."""
+def daily_top(candidates: DataFrame, order: list[str], percentile: float = 0.8, most: int = 50) -> DataFrame:
+    """Per date the rows of highest prediction: those over the percentile, n * (1 - percentile) of n rows, rounded down in double precision, one at least and `most` at most."""
     day = Window.partitionBy("date")
-    wanted = F.least(F.greatest(F.floor(F.count(F.lit(1)).over(day) * share + 1e-9), F.lit(1)), F.lit(most))
+    wanted = F.least(F.greatest(F.floor(F.count(F.lit(1)).over(day) * F.lit(1 - percentile)), F.lit(1)), F.lit(most))
     ranked = candidates.withColumn("rank", F.row_number().over(day.orderBy(F.desc("pred_bp"), *order))).withColumn("_wanted", wanted)
     return ranked.filter(F.col("rank") <= F.col("_wanted")).drop("_wanted")
 

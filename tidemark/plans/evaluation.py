@@ -137,17 +137,22 @@ select count(*) as n, {r('avg(y)')} as mean, {r('stddev_pop(y)')} as std, {r('(a
     "decile_spread": f"""with {P}, {_DECILES}, {_TABLE}, {_SPREAD} select {r('top')} as top, {r('bottom')} as bottom, {r('top - bottom')} as spread, rises::bigint as rises, {r('top - 25')} as net,
  case when top - 25 > 5 then 'strong' when top - 25 > 0 then 'pass' else 'fail' end as verdict from spr""",
     "spread_calibration": f"""with {P}, {_DECILES}, {_TABLE}, {_SPREAD}, s as (select top - bottom as spread, (select stddev_pop(x) from p) as sp, (select stddev_samp(x) from p) as ss from spr)
-select {r('spread')} as spread, {r('sp')} as std_pop, {r('ss')} as std_samp, {r('spread / sp')} as ratio, {r('25 / (spread / sp)')} as cost_threshold, {r('50 / (spread / sp)')} as safe_threshold from s""",
-    "sentinel": f"""with {P}, c as {_cut('x')}, s as (select avg(y) filter (decile = 9) - avg(y) filter (decile = 0) as spread, stddev_samp(x) as std from c)
-select {r('spread')} as spread, {r('std')} as std, {r('spread / std')} as ratio, {r('25 / (spread / std)')} as threshold, std >= 25 / (spread / std) as covered from s""",
+select {r('spread')} as spread, {r('sp')} as std_pop, {r('ss')} as std_samp, {r('spread / sp')} as ratio, case when spread > 0 then {r('25 / (spread / sp)')} else 0 end as cost_threshold,
+ case when spread > 0 then {r('50 / (spread / sp)')} else 0 end as safe_threshold from s""",
+    "sentinel": f"""with {P}, c as {_cut('x')}, m as (select decile, avg(y) as m from c group by decile), s as (select (select arg_max(m, decile) - arg_min(m, decile) from m) as spread, (select stddev_samp(x) from p) as std)
+select {r('spread')} as spread, {r('std')} as std, {r('spread / std')} as ratio, case when spread > 0 then {r('25 / (spread / std) / 3')} else 'infinity'::double end as error, case when spread > 0 then {r('25 / (spread / std)')} else 'infinity'::double end as warn,
+ case when spread > 0 then {r('50 / (spread / std)')} else 'infinity'::double end as healthy, spread > 25 as covered from s""",
     "decile_report": _report("x"),
     "sparsity_deciles": _report("z_sparsity"),
     "key_correlations": f"with {P} select {r(corr('x', 'y'))} as pred_target, {r(corr('z_sparsity', 'x'))} as z_pred, {r(corr('z_sparsity', 'abs(x)'))} as z_abs_pred, {r(corr('z_sparsity', 'y'))} as z_target from p",
     "daily_cross_section": f"{_WITH_DAILY}, {_cut_daily(10)} select date, n, {r('ic')} as ic, {r('rank_ic')} as rank_ic, {r('spread')} as spread, {r('monotonicity')} as monotonicity from day join shape using (date)",
     "daily_summary": f"""{_WITH_DAILY}, {_cut_daily(10)}, full_day as (select * from day join shape using (date)), lng as ({_SUMMARY})
 select series, count(*) as days, {r('avg(v)')} as mean, {r('stddev_pop(v)')} as std, {r('avg(v) / (stddev_pop(v) / sqrt(count(*)) + 1e-8)')} as t, {r('avg(v) / (stddev_pop(v) + 1e-8)')} as icir, {r('avg((v > 0)::int)')} as positive from lng where v is not null group by series""",
-    "global_against_daily": f"""{_WITH_DAILY}, g as (select {corr('xr', 'yr')} as pooled {_VALID}), d as (select avg(rank_ic) as daily from day)
-select {r('pooled')} as pooled, {r('daily')} as daily, case when sign(pooled) = sign(daily) and abs(pooled) <= 2 * abs(daily) then 'consistent' when sign(pooled) = sign(daily) then 'pooled is inflated' else 'signs differ' end as verdict from g, d""",
+    "global_against_daily": f"""{_WITH_DAILY}, {_cut_daily(10)}, g as (select {corr('x', 'y')} as pooled_ic, {corr('xr', 'yr')} as pooled_rank_ic {_VALID}), c as {_cut('x')}, m as (select decile, avg(y) as m from c group by decile),
+gs as (select arg_max(m, decile) - arg_min(m, decile) as pooled_spread from m), d as (select avg(ic) as daily_ic, avg(rank_ic) as daily_rank_ic, avg(spread) as daily_spread from day join shape using (date))
+select {', '.join(f'{r(c)} as {c}' for c in ('pooled_ic', 'pooled_rank_ic', 'pooled_spread', 'daily_ic', 'daily_rank_ic', 'daily_spread'))},
+ case when daily_spread is null then 'INSUFFICIENT' when daily_spread > 25 then 'TRADEABLE' when daily_spread > 5 then 'MARGINAL' when daily_spread > 0 then 'WEAK POSITIVE' else 'NEGATIVE' end as verdict,
+ case when daily_spread > 0 and pooled_spread <= 0 then 'HIDDEN' when daily_spread <= 0 and pooled_spread <= 0 then 'ABSENT' end as remark from g, gs, d""",
     "daily_edge_deciles": f"""with {P}, big as (select * from (select *, count(*) over (partition by date) as c from p) where c >= 100), ed as (select date, quantile_cont(x, {SHARES}) as e from big group by date),
 q as (select big.*, e from big join ed using (date)), dec as (select * from ({_EDGE}) where inside), dm as (select date, d, avg(y) as m from dec group by date, d)
 select d::int as decile, count(*) as dates, {r('avg(m)')} as mean_target from dm group by d""",
@@ -180,7 +185,7 @@ select {r(corr('ic', 'ps'))} as ic_pred_std, {r(corr('ic', 'ts'))} as ic_target_
 select share, count(*) as n, {r('avg(y)')} as mean_target, {r('avg((y > 0)::int)')} as hit_rate, {r('avg(y) filter (y > 0) / avg(-y) filter (y < 0)')} as win_over_loss from p, c where x >= e group by share""",
     "daily_zscore": f"""with {P} select date, symbol, l_orderkey, l_linenumber, l_partkey, {r('z')} as z from (select *, (x - avg(x) over (partition by date)) / (stddev_pop(x) over (partition by date) + 1e-8) as z, count(*) over (partition by date) as c from p) where c >= 50""",
     "loss_metrics": f"""with v as (select (vec_id * 37) % 101 - 50.0::double as x, (vec_id * 13) % 89 - 44.0::double as y, list_sum(list_transform(embedding, lambda a: abs(a)::double)) as l1, list_sum(list_transform(embedding, lambda a: least(abs(a)::double, 20))) as l2 from embeddings),
-w as (select *, (greatest(least((case when y < 0 then y * 0.1 else y end) - 40, 500), -500) - x) / 10000 as sc from v)
-select case when var_pop(y) < 1e-8 then 1 else {r('avg((x - y) ** 2) / var_pop(y)')} end as fvu, {r('avg((x - y) ** 2) + 0.001 * avg(l1)')} as mdl, {r('avg(sc * sc) + 0.001 * avg(l2)')} as sparse_loss from w""",
+w as (select *, (greatest(least((case when y < 0 then y * 0.1 else y end) - 40, 500), -500) - x) as sc from v)
+select case when var_pop(y) < 1e-8 then 1 else {r('avg((x - y) ** 2) / var_pop(y)')} end as fvu, {r('avg((x - y) ** 2) + 0.0001 * avg(l1)')} as mdl, {r('avg(sc * sc) / 10000 + 0.0001 * avg(l2)')} as sparse_loss from w""",
     "vector_sparsity": f"select vec_id, {r('len(list_filter(embedding, lambda a: abs(a) < 0.05)) / len(embedding)::double')} as sparsity from embeddings",
 }

@@ -124,7 +124,7 @@ _TARGET = """en as (select *, lead(vwap, 1) over w as e1, lead(vwap, 4) over w a
 wt as (select symbol, bar_id - 7 as start, date, (e2 - e1) / (e1 + 1e-8) * 10000 as target_bp from en where e2 is not null and bar_id >= 7 and (bar_id - 7) % 2 = 0)"""
 _BV = "(" + " + ".join(f"(100 * ((l_partkey + {i}) % 50))::double" for i in range(1, 11)) + ")"
 _AV = "(" + " + ".join(f"(100 * ((l_suppkey * 7 + l_orderkey + {i}) % 50))::double" for i in range(1, 11)) + ")"
-_SHARE = "length(split_part(symbol, '.', 1)) = 6 and symbol[1:3] in ('600', '601', '603', '605', '688', '000', '001', '002', '003', '300', '301', '302')"
+_SHARE = "length(split_part(symbol, '.', 1)) = 6 and symbol[1:3] in ('000', '001', '002', '003', '300', '301', '600', '601', '603', '605', '688', '689')"
 _DAY_ROUND = f"symbol, date, {r('volume')} as volume, {r('high')} as high, {r('low')} as low, ticks"
 
 ORACLES = {

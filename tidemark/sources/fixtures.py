@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 LEVELS = 10
 ORDER_KEY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
 
-_SYMBOL = """concat(case l_suppkey % 5 when 0 then '600' when 1 then '000' when 2 then '300' when 3 then '688'
- else '159' end, lpad(cast(l_suppkey % 1000 as varchar(10)), 3, '0'), case when l_suppkey % 5 in (0, 3) then '.SH' else '.SZ' end)"""
+_SYMBOL = """concat(case l_suppkey % 5 when 0 then '600' when 1 then '000' when 2 then '300' when 3 then case when l_suppkey % 2 = 1 then '688' else '689' end
+ else case when l_suppkey % 2 = 1 then '302' else '159' end end, lpad(cast(l_suppkey % 1000 as varchar(10)), 3, '0'), case when l_suppkey % 5 in (0, 3) then '.SH' else '.SZ' end)"""
 _PRED = "l_discount * 700 + l_tax * 300 + l_quantity * 0.37D - 20"
 _TARGET = "((l_partkey * 31 + l_orderkey * 17) % 2001 - 1000) / 5.0D"
 _SPARSITY = "((l_suppkey * 13 + l_linenumber * 7 + l_orderkey) % 100) / 100.0D"
