@@ -120,6 +120,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, keep: tuple[str, ...
             ids = encoder(batch.column(len(keep)).to_pylist())
             decoded = [" ".join(map(name_of, memoryview(data).cast("I"))) for data in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])
+        encoder.forget()  # the worker goes on to other tasks
 
     kept = documents.select(*[f"`{c}`" for c in keep], text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])

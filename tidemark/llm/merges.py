@@ -15,7 +15,7 @@ import numpy as np
 from tidemark.llm.common import slices
 from tidemark.llm.wordsplit import CUT, distinct_words, word_bounds
 
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 64
 NO_MERGE = np.int64(1 << 40)
 NOTHING = np.int64(0xFFFFF)  # fills up rows; no vocabulary has so many ids
@@ -177,9 +177,9 @@ class Encoder:
 
     def __init__(self, model: MergeModel, byte_level: bool, normalized: Callable[[str], str] = str, known: Callable[[str], bytes | None] | None = None):
         self.model, self.byte_level, self.normalized, self.known = model, byte_level, normalized, known
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.remembered: dict[str, int] = {}
         self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
@@ -226,7 +226,7 @@ class Encoder:
         parts, cut = self._parts(texts)
         found, kind, counts = self._kinds(parts)
         if len(self.remembered) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
-            self._forget()
+            self.forget()
         self._learn([w for w in dict.fromkeys(found) if w not in self.remembered])  # long words may be there twice
         place = np.fromiter(map(self.remembered.__getitem__, found), np.int64, len(found))
         first = (np.cumsum(self.sizes) - self.sizes)[place][kind]

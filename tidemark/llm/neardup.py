@@ -37,6 +37,7 @@ HIT, MISS = 0.3, 1 / 500_000  # chance to share one band, at least, and to share
 DEVIATIONS = 4
 BLOCK = 1024
 HOT_KEYS = 1000  # keys with more than this part of all rows are joined by broadcast: there are fewer than that
+SMALL = 1_000_000  # links that one task can take, whatever their keys
 SEED = 20240229
 
 
@@ -179,7 +180,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     def stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count(F.lit(1)).alias("degree"))
-        near = joined_by_key(both, least, ["a"], "degree", total)
+        near = joined_by_key(both, least, ["a"], "degree", total) if total > SMALL else both.join(least.drop("degree"), "a")
         moved = near.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")) if large else near.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
         return moved.filter(F.col("a") != F.col("b")).distinct()
 
@@ -280,9 +281,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     set_key = ["set_a", "set_b", "n"]
     classes = written(sketches.filter(whole).groupBy(*set_key).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
     single = sketches.join(classes.select(F.col("class").alias("id"), *set_key), ["id", *set_key], "left_semi").select("id", "n", "bands", "signature")
-    buckets = single.select("id", F.posexplode("bands").alias("band", "bucket")).distinct()
+    buckets = single.select("id", F.posexplode("bands").alias("band", "bucket"))
     several = buckets.groupBy("band", "bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter(F.col("least") != F.col("most"))
-    members = written(buckets.join(several.drop("most"), ["band", "bucket"]), "members")
+    members = written(buckets.join(several.drop("most"), ["band", "bucket"]).distinct(), "members")
     needed = written(members.select("id").distinct(), "needed")
     near = written(single.select("id", "n", "signature").join(needed, "id", "left_semi"), "signatures")
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))

@@ -71,6 +71,7 @@ def tokenized_pieces(documents: DataFrame, vocabulary: str, keep: tuple[str, ...
             kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keep)]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, t in zip(columns, types)], [*keep, *names])
+        encoder.forget()  # the worker goes on to other tasks
 
     names = ["piece", "start", "length", "ids_crc32", "shard", "number"] + ["ids"] * with_ids
     kept = documents.select(*[f"`{c}`" for c in keep], text)
