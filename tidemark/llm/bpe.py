@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import normalizers
 
-from tidemark.llm.common import dropped, slices, written
+from tidemark.llm.common import dropped, release, slices, written
 from tidemark.llm.lexicon import Lexicon, compile_lexicon
 from tidemark.llm.merges import LONGEST_REMEMBERED, Encoder, MergeModel
 from tidemark.llm.wordsplit import has_unassigned
@@ -77,6 +77,7 @@ def count_words(documents: DataFrame, text: str = "text", vocabulary: str = "")
                     yield give()
                     counts.clear()
         yield give()
+        release()
 
     return documents.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -121,6 +122,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, keep: tuple[str, ...
             decoded = [" ".join(map(name_of, memoryview(data).cast("I"))) for data in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])
         encoder.forget()  # the worker goes on to other tasks
+        release()
 
     kept = documents.select(*[f"`{c}`" for c in keep], text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import dropped, same_table, written
 
-__all__ = ["added", "dropped", "literal_table", "same_table", "slices", "written"]
+__all__ = ["added", "dropped", "literal_table", "release", "same_table", "slices", "written"]
+
+
+def release() -> None:
+    """At the end of a task: what Arrow keeps for later batches goes back to the system, for the other processes of the executor."""
+    pa.default_memory_pool().release_unused()
 
 
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
@@ -25,7 +31,7 @@ def added(df: DataFrame, **columns) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
-def slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts that a task holds in parts at once; a longer text is a run of its own."""
     lo, chars = 0, 0
     for i, text in enumerate(texts):

@@ -15,7 +15,7 @@ import numpy as np
 from tidemark.llm.common import slices
 from tidemark.llm.wordsplit import CUT, distinct_words, word_bounds
 
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 NO_MERGE = np.int64(1 << 40)
 NOTHING = np.int64(0xFFFFF)  # fills up rows; no vocabulary has so many ids

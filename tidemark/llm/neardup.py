@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, same_table, written
+from tidemark.llm.common import dropped, release, same_table, written
 
 WORDS = 5
 SIMILAR = 85  # per cent
@@ -148,6 +148,7 @@ def _sketches(documents: DataFrame, key: str, text: str, percent: int) -> DataFr
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
                 ["id", "n", "set_a", "set_b", "bands", "signature"],
             )
+        release()
 
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`"))
     return rows.mapInArrow(sketch, "id long, n long, set_a long, set_b long, bands array<long>, signature binary")
@@ -160,6 +161,7 @@ def _sets(documents: DataFrame) -> DataFrame:
         for batch in batches:
             found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+        release()
 
     return documents.mapInArrow(hashed, "id long, shingles array<long>")
 

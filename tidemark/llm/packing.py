@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import release, written
 from tidemark.llm.merges import Encoder, MergeModel
 
 CAPACITY = 2048
@@ -72,6 +72,7 @@ def tokenized_pieces(documents: DataFrame, vocabulary: str, keep: tuple[str, ...
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, t in zip(columns, types)], [*keep, *names])
         encoder.forget()  # the worker goes on to other tasks
+        release()
 
     names = ["piece", "start", "length", "ids_crc32", "shard", "number"] + ["ids"] * with_ids
     kept = documents.select(*[f"`{c}`" for c in keep], text)
@@ -165,12 +166,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """A written table of `tokenized_pieces` with sequence_id and offset."""
     counts = pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("pieces"))
     earlier = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select("shard", "length", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("before"))
+    places = written(counts.select("shard", "length", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("before")), "places")  # Spark knows its size
     lengths = written(counts.groupBy("length").agg(F.sum("pieces").alias("n")), "lengths")
     runs = written(best_fit_runs(lengths, capacity), "runs")
     # a run is cut at every multiple of RANKS, so that the join's key is a length and a block of ranks, and no length is hot
     block = lambda rank: F.floor(rank / RANKS)
-    cut = runs.withColumn("block", F.explode(F.sequence(block(F.col("first_rank")), block(F.col("first_rank") + F.col("n") - 1)))).withColumnRenamed("n", "run")
+    cut = written(runs.withColumn("block", F.explode(F.sequence(block(F.col("first_rank")), block(F.col("first_rank") + F.col("n") - 1)))).withColumnRenamed("n", "run"), "cut")
     ranked = pieces.join(places, ["shard", "length"]).withColumn("rank", F.col("before") + F.col("number")).withColumn("block", block(F.col("rank")))
     inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("run"))
     fitted = ranked.join(cut, ["length", "block"]).filter(inside)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import release
+
 
 # Sets of interchangeable group terms.
 IDENTITIES = (
@@ -175,5 +177,6 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text", name
         for batch in batches:
             values = pa.array([score_of(words(x.as_py())) for x in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*schema.names, name])
+        release()
 
     return documents.mapInArrow(score, T.StructType([*schema.fields, T.StructField(name, T.DoubleType())]))
