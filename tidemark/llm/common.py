@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +15,11 @@ __all__ = ["added", "dropped", "literal_table", "release", "same_table", "slices
 
 
 def release() -> None:
-    """At the end of a task: what Arrow keeps for later batches goes back to the system, for the other processes of the executor."""
+    """At the end of a task: what Arrow and the C library keep for later goes back to the system, for the other processes of the executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:

@@ -37,7 +37,7 @@ TEMPLATES = (
 )
 LEAST_COSINE = 0.7
 TERM = "[a-z0-9]+"
-LICENCE_FILE = r"(?i)(^|/)(LICEN[CS]E|COPYING)(\.[a-z]+)?$"
+LICENCE_FILE = r"(?i)(^|/)(LICEN[CS]E|COPYING)(\.[a-z0-9]+)?$"
 
 
 def terms(text: str) -> Counter:
@@ -98,7 +98,8 @@ def find_licences(files: DataFrame, path: str = "path", text: str = "text", leas
     scored = dots.join(norms, "passage").select("passage", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy("passage").agg(F.max(F.struct("score", (-F.col("template")).alias("order"))).alias("best"))
     names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
-    own = lines.join(best, "passage", "left").groupBy("path").agg(F.max("best").alias("best"))
+    held = lines.filter("passage is not null").join(best, "passage").select("path", "best")  # files without a passage would share a null key
+    own = held.unionByName(lines.select("path", F.lit(None).cast(held.schema["best"].dataType).alias("best"))).groupBy("path").agg(F.max("best").alias("best"))
     own = own.select("path", F.get(names, -F.col("best.order")).alias("licence"), F.col("best.score").alias("score"))
 
     given = own.filter(F.col("licence").isNotNull() & F.col("path").rlike(LICENCE_FILE))

@@ -71,13 +71,16 @@ def op7_media(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as the files of one tree: source / hundreds / tens; each tenth is the licence file of its folder, each hundredth and thousandth of those above."""
-    hundreds, tens = F.floor(F.col("doc_id") / 100), F.floor(F.col("doc_id") / 10)
+    """Documents as the files of one tree: source / hundreds / tens of the source's documents, numbered by doc_id // 20. Of ten in a row the first
+    is a licence file of their folder, of a hundred that of the folder above, of a thousand that of the source. Every path holds its doc_id."""
+    at = F.floor(F.col("doc_id") / 20)
+    hundreds, tens, licence = F.floor(at / 100), F.floor(at / 10), F.concat(F.lit("LICENSE."), "doc_id")
     place = (
-        F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", "source", F.lit("LICENSE"))).when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", hundreds, F.lit("LICENSE")))
-        .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", "source", hundreds, tens, F.lit("LICENSE"))).otherwise(F.concat_ws("/", "source", hundreds, tens, F.concat("doc_id", F.lit(".txt"))))
+        F.when(at % 1000 == 0, F.concat_ws("/", "source", licence)).when(at % 100 == 0, F.concat_ws("/", "source", hundreds, licence))
+        .when(at % 10 == 0, F.concat_ws("/", "source", hundreds, tens, licence)).otherwise(F.concat_ws("/", "source", hundreds, tens, F.concat("doc_id", F.lit(".txt"))))
     )
-    return license_scan.find_licences(_table(spark, folder, "documents").select(place.alias("path"), "text"))
+    found = license_scan.find_licences(_table(spark, folder, "documents").select(place.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"([0-9]+)(\.txt)?$", 1).cast("long").alias("doc_id"), *found.columns)
 
 
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,8 +163,8 @@ def _license_sql() -> str:
     templates = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
     directory = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
     return f"""
-with d as (select case when doc_id % 1000 = 0 then source || '/LICENSE' when doc_id % 100 = 0 then source || '/' || doc_id // 100 || '/LICENSE'
-  when doc_id % 10 = 0 then source || '/' || doc_id // 100 || '/' || doc_id // 10 || '/LICENSE' else source || '/' || doc_id // 100 || '/' || doc_id // 10 || '/' || doc_id || '.txt' end as path,
+with d as (select case when doc_id // 20 % 1000 = 0 then source || '/LICENSE.' || doc_id when doc_id // 20 % 100 = 0 then source || '/' || doc_id // 2000 || '/LICENSE.' || doc_id
+  when doc_id // 20 % 10 = 0 then source || '/' || doc_id // 2000 || '/' || doc_id // 200 || '/LICENSE.' || doc_id else source || '/' || doc_id // 2000 || '/' || doc_id // 200 || '/' || doc_id || '.txt' end as path,
   lower(coalesce(text, '')) as text from documents),
 t as (select * from (values {templates}) t(template, name, text)),
 tt as (select template, term, count(*) as n from (select template, unnest(regexp_extract_all(text, '[a-z0-9]+')) as term from t) group by all),
@@ -178,7 +181,7 @@ g as (select {directory} as above, arg_min(licence, (-score, path)) as licence,
   where licence is not null and regexp_matches(path, '{license_scan.LICENCE_FILE}') group by 1),
 f as (select o.path, arg_max(g.licence, length(g.above)) as licence, arg_max(g.score, length(g.above)) as score, arg_max(g.path, length(g.above)) as licence_path
   from o join g on {directory.replace("path", "o.path")} = g.above or prefix({directory.replace("path", "o.path")}, g.above || '/') where o.licence is null group by o.path)
-select o.path, coalesce(o.licence, f.licence) as licence, coalesce(o.score, f.score) as score, case when o.licence is not null then 'own' when f.licence is not null then 'inherited' end as origin,
+select regexp_extract(o.path, '([0-9]+)([.]txt)?$', 1)::bigint as doc_id, o.path, coalesce(o.licence, f.licence) as licence, coalesce(o.score, f.score) as score, case when o.licence is not null then 'own' when f.licence is not null then 'inherited' end as origin,
  case when o.licence is not null then o.path else f.licence_path end as licence_path from o left join f using (path)"""
 
 
