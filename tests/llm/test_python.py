@@ -169,20 +169,24 @@ def test_topk(spark):
     draw = np.random.default_rng(2)
     vectors = {i: draw.normal(size=6).round(2) for i in range(160)}
     vectors |= {i: vectors[3] for i in range(160, 200)}
-    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (None, [1.0] * 6), (5, vectors[5].tolist())]
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (None, [1.0] * 6)]
+    rows += [(5, vectors[5].tolist()), (7, (9 * vectors[7]).tolist()), (7, (3 * vectors[20]).tolist()), (40, (2 * vectors[60]).tolist())]  # repeated ids: rows of their own
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked = df.filter("vec_id % 20 = 0 or vec_id = 904").selectExpr("vec_id as id")
     got = defaultdict(list)
     for r in topk.top_k(df, asked, block=16, query_block=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.id, r.score))
-    cells = {i: np.floor(256 * v).astype(np.int64) for i, v in vectors.items()}
-    for q in range(0, 200, 20):
-        scores = sorted(((-int(cells[q] @ c), i) for i, c in cells.items() if i != q))[:5]
-        assert got[q] == [(i, -s) for s, i in scores]
+    cells = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows if i is not None and v and len(v) == 6 and None not in v and np.isfinite(v).all()]
+    wanted = defaultdict(list)
+    for at, (q, own) in enumerate(cells):
+        if q % 20 == 0:
+            wanted[q] += [(i, -s) for s, i in sorted((-int(own @ c), i) for k, (i, c) in enumerate(cells) if k != at)[:5]]
+    assert {q: sorted(r) for q, r in got.items()} == {q: sorted(r) for q, r in wanted.items()} and len(wanted[40]) == 10
+    assert all(got[q] == r for q, r in wanted.items() if len(r) == 5)
     assert 904 not in got
     assert topk.top_k(df.limit(0), asked).count() == 0
     few = df.filter("vec_id in (0, 20, 40)")
-    assert topk.top_k(few, few.selectExpr("vec_id as id")).count() == 6
+    assert topk.top_k(few, few.selectExpr("vec_id as id")).count() == 12  # four rows, as two have the id 40
 
 
 def test_toxicity(spark):
