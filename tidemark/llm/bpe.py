@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import normalizers
 
-from tidemark.llm.common import dropped, release, slices, written
+from tidemark.llm.common import dropped, release, sliced, written
 from tidemark.llm.lexicon import Lexicon, compile_lexicon
 from tidemark.llm.merges import LONGEST_REMEMBERED, Encoder, MergeModel
 from tidemark.llm.wordsplit import has_unassigned
@@ -68,14 +68,12 @@ def count_words(documents: DataFrame, text: str = "text", vocabulary: str = "")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in slices(texts):
-                for word, n in zip(*_counter(vocabulary).words(texts[lo:hi])):
-                    counts[word] += n
-                if len(counts) > COUNTED_AT_ONCE:
-                    yield give()
-                    counts.clear()
+        for batch in sliced(batches, 0):
+            for word, n in zip(*_counter(vocabulary).words(batch.column(0).to_pylist())):
+                counts[word] += n
+            if len(counts) > COUNTED_AT_ONCE:
+                yield give()
+                counts.clear()
         yield give()
         release()
 
@@ -117,7 +115,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, keep: tuple[str, ...
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, name_of = _encoder(name, vocabulary), _model(vocabulary).names.__getitem__
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             ids = encoder(batch.column(len(keep)).to_pylist())
             decoded = [" ".join(map(name_of, memoryview(data).cast("I"))) for data in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])

@@ -6,12 +6,13 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import dropped, same_table, written
 
-__all__ = ["added", "dropped", "literal_table", "release", "same_table", "slices", "written"]
+__all__ = ["added", "dropped", "literal_table", "release", "same_table", "sliced", "slices", "written"]
 
 
 def release() -> None:
@@ -35,6 +36,22 @@ def added(df: DataFrame, **columns) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts with so many bytes of text (column number `text`) at most, so that a task holds little beside the batch that it was given.
+
+    A longer text is a part of its own, and whole.
+    """
+    for batch in batches:
+        lo, used = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            if used and used + size > most_bytes:
+                yield batch.slice(lo, i - lo)
+                lo, used = i, 0
+            used += size
+        if lo < batch.num_rows:
+            yield batch.slice(lo)
+
+
 def slices(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts that a task holds in parts at once; a longer text is a run of its own."""
     lo, chars = 0, 0

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, written
+from tidemark.llm.common import release, sliced, written
 from tidemark.llm.merges import Encoder, MergeModel
 
 CAPACITY = 2048
@@ -56,7 +56,7 @@ def tokenized_pieces(documents: DataFrame, vocabulary: str, keep: tuple[str, ...
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, shard = _encoder(vocabulary), Counter(), TaskContext.get().partitionId()
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             at, columns = [], [[] for _ in range(7 if with_ids else 6)]
             for row, value in enumerate(encoder(batch.column(len(keep)).to_pylist())):
                 data = value + end
