@@ -196,7 +196,9 @@ def test_toxicity(spark):
     model = toxicity.fit(texts, [0] * 150 + [1] * 50)
     score = lambda t: model.score(toxicity.words(t))
     assert score("river stone idiot scum") > 0.5 > score("river stone cloud")
-    assert abs(score("the women by the river") - score("the men by the river")) < 1e-6
+    swap = lambda m: abs(m.score(toxicity.words("the women by the river")) - m.score(toxicity.words("the men by the river")))
+    free = toxicity.fit(texts, [0] * 150 + [1] * 50, counterfactual=0.0)  # "women" marks most toxic texts here
+    assert swap(free) > 0.02 and swap(model) < swap(free) / 20, (swap(free), swap(model))
     docs = spark.createDataFrame([(1, None, 2.0), (2, "", 2.0), (3, "idiot " * 30000, 2.0), (3, "idiot " * 30000, 2.0)], "doc_id long, text string, score double")
     rows = toxicity.score_documents(docs, model).collect()
     assert len(rows) == 4 and rows[0].score == rows[1].score and rows[2].score == rows[3].score > 0.5

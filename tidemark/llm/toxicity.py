@@ -3,7 +3,7 @@
 Features of a text: its lower-cased words and the beginnings of its words, each as log(1 + count); those found in enough documents of the
 fit are kept. A logistic regression is fitted on a bounded sample of labelled documents. For each of them that mentions a group, a
 counterfactual text has the group's term swapped for the next term of its set; besides the usual loss, the squared difference of both
-scores is penalised, so that the naming of a group by itself moves no score. The terms themselves are then worth the mean of their set.
+scores is penalised, so that the naming of a group by itself hardly moves a score.
 
 Scoring covers every whole text in Spark tasks. Null and empty texts get the score of the empty text. Words of any length are read.
 Repeated rows are scored each; an empty table gives an empty result; without labels of both kinds the score is the share of toxic labels.
@@ -29,11 +29,14 @@ from pyspark.sql import types as T
 from tidemark.llm.common import release
 
 
-# Sets of interchangeable group terms.
+# Sets of interchangeable group terms, in English, Spanish, French and German.
 IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("she", "he"), ("her", "his"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("immigrants", "natives", "refugees"),
     ("old", "young"), ("deaf", "blind", "disabled"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("ella", "él"), ("cristianos", "musulmanes", "judíos"), ("inmigrantes", "refugiados"),
+    ("femmes", "hommes"), ("femme", "homme"), ("elle", "il"), ("chrétiens", "musulmans", "juifs"), ("immigrés", "réfugiés"),
+    ("frauen", "männer"), ("frau", "mann"), ("christen", "muslime", "juden"), ("einwanderer", "flüchtlinge"),
 )
 SWAP = {term: terms[(i + 1) % len(terms)] for terms in IDENTITIES for i, term in enumerate(terms)}
 WORD = re.compile(r"[^\W\d_]+")
@@ -43,6 +46,7 @@ SAMPLE_CHARS = 40_000_000
 LEAST_DOCUMENTS = 3
 DOUBTFUL = 4.0
 MOST_FEATURES = 60_000
+COUNTERFACTUAL = 100.0  # weight of the penalty
 
 
 def words(text: str | None) -> Counter:
@@ -86,7 +90,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfactual: float = 4.0, steps: int = 300, rate: float = 0.1) -> Model:
+def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfactual: float = COUNTERFACTUAL, steps: int = 300, rate: float = 0.1) -> Model:
     """Full-batch Adam on loss + l2 * |w|^2 / 2 + counterfactual * mean squared score change over swapped texts.
 
     A feature under DOUBTFUL standard deviations from chance has its l2 raised by the square of what it lacks.
@@ -136,9 +140,6 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 2e-3, counterfac
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     weights = {f: float(w[i]) for f, i in place.items()}
-    for terms in IDENTITIES:
-        mean = sum(weights.get(t, 0.0) for t in terms) / len(terms)
-        weights.update({t: mean for t in terms})
     return Model(float(bias), {f: round(x, 9) for f, x in weights.items() if abs(x) > 1e-6})
 
 
