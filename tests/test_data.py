@@ -94,6 +94,14 @@ def test_sorted_lake_and_resume(spark, tmp_path):
     assert back.count() == rows.count() and layout.unsorted_rows(back).first().unsorted == 0
 
 
+def test_subset(spark, tmp_path):
+    rows = spark.createDataFrame([(s, "20240102", i, float(i)) for s in ("b", "a", "c") for i in (2, 1)], "symbol string, date string, timestamp long, price double")
+    writers.write_subset(rows, ["b", "a"], str(tmp_path / "some"))
+    assert [(r.symbol, r.timestamp) for r in spark.read.parquet(str(tmp_path / "some")).orderBy(F.input_file_name(), F.col("_metadata.row_index")).collect()] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    writers.write_subset(rows, ["x"], str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = draw_ticks(6, days=6)
     t = spark.createDataFrame(rows, TICK)

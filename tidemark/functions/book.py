@@ -85,6 +85,24 @@ def symlog(x: Column, most: float | None = 1e12) -> Column:
     return log_modulus(F.least(F.greatest(x, F.lit(-most)), F.lit(most)) if most else x)
 
 
+def manifold(bars: Column, levels: str = "lob", close: str = "close", quantity: str = "q_hat", macro: tuple[str, ...] = ()) -> Column:
+    """Per bar of a window and level of its book: deviation of the bid, log bid volume, deviation of the ask, log ask volume, log return against the
+    window's first bar and symlog quantity; with the fields of macro, their logs after these."""
+    first = F.get(bars, F.lit(0))[close]
+
+    def of_bar(bar: Column) -> Column:
+        shared = [log_return(bar[close], first), symlog(bar[quantity]), *(log_volume(bar[m]) for m in macro)]
+
+        def of_level(level: Column) -> Column:
+            bid, ask, bids, asks = (level[x].cast("double") for x in ("bid_p", "ask_p", "bid_v", "ask_v"))
+            mid = mid_price(bid, ask)
+            return F.array(deviation_bp(bid, mid), log_volume(bids), deviation_bp(ask, mid), log_volume(asks), *shared)
+
+        return F.transform(bar[levels], of_level)
+
+    return F.transform(bars, of_bar)
+
+
 def implied_quantity(delta_p: Column, sigma: Column, volume: Column, friction: Column) -> Column:
     """The signed quantity that the square-root law implies for a price move."""
     return F.signum(delta_p) * F.pow(F.abs(delta_p) / (friction * sigma + EPSILON), 2) * (volume + EPSILON)

@@ -15,6 +15,7 @@ from tidemark.sources import fixtures
 
 MACRO = {"days": 3, "share": 0.5, "least": 20.0, "first_threshold": 100.0, "first_volume": 150.0}
 THRESHOLD, LENGTH, STRIDE, HORIZON = 100, 8, 2, 3
+MANIFOLD = ("bid_bp", "log_bid_v", "ask_bp", "log_ask_v", "log_ret", "symlog_q", "log_v_d", "log_sigma_d")
 DIGITS = 7  # prices are cents over a whole quantity: with fewer digits some lie on the edge between two roundings
 
 
@@ -72,6 +73,17 @@ def _implied(t: DataFrame) -> DataFrame:
     return calibrate.with_implied_quantity(calibrate.with_friction(bars, calibrate.friction(t, 10.0))).select("symbol", "bar_id", "c", F.signum("q_hat").alias("side"), F.log1p(F.abs("q_hat")).alias("log_q"))
 
 
+def _manifold(t: DataFrame) -> DataFrame:
+    """Every feature of every bar and level of windows of five ticks of a day."""
+    day = Window.partitionBy("symbol", "date").orderBy("seq")
+    moves = t.withColumn("delta_p", F.coalesce(F.col("price") - F.lag("price").over(day), F.lit(0.0))).join(_macro(t).select("symbol", "date", "v_d", "sigma_d"), ["symbol", "date"])
+    ready = moves.select("symbol", "date", "seq", F.col("price").alias("close"), book.pack_book(2).alias("lob"), book.implied_quantity(F.col("delta_p"), F.col("sigma_d"), F.col("v_d"), F.lit(0.842)).alias("q_hat"), "v_d", "sigma_d")
+    bars = clock.tumbling(ready, ["symbol", "date"], "seq", 5).groupBy("symbol", "date", "window").agg(F.sort_array(F.collect_list(F.struct("seq", "close", "lob", "q_hat", "v_d", "sigma_d"))).alias("bars"))
+    levels = bars.select("symbol", "date", "window", F.posexplode(book.manifold(F.col("bars"), macro=("v_d", "sigma_d"))).alias("bar", "levels"))
+    flat = levels.select("symbol", "date", "window", "bar", F.posexplode("levels").alias("level", "x"))
+    return flat.select("symbol", "date", "window", "bar", "level", *[F.get("x", F.lit(i)).alias(name) for i, name in enumerate(MANIFOLD)])
+
+
 OPERATORS = {
     "daily_stats": lambda t: ticks.daily_stats(ticks.cleaned(t)),
     "share_symbols": ticks.share_symbols,
@@ -96,7 +108,7 @@ OPERATORS = {
     "volume_bars": _volume_bars,
     "volume_windows": _volume_windows,
 }
-QUERIES = {name: partial(_on_ticks, operator, 2 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
+QUERIES = {name: partial(_on_ticks, operator, 2 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": partial(_on_ticks, _manifold, 2), "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
 
 _DAY = "d as (select symbol, date, sum(vol_tick) as volume, max(case when price > 0 then price end) as high, min(case when price > 0 then price end) as low, count(*) as ticks from t group by symbol, date)"
 _MACRO = """po as (select symbol, date, avg(volume) over (partition by symbol order by date rows between 2 preceding and current row) as m from d where volume > 0),
@@ -157,6 +169,14 @@ c as (select *, len(cl) = 20 and en > 0 as ok, list_transform(range(1, 21), lamb
 e as (select *, (cl[20] * 0.997::double / en - 1) / (abs(list_min(dn)) + 1e-4) as sh from c)
 select symbol, date, {r('open_price')} as open_price, {r('close_price')} as close_price, ticks, case when ok then (list_max(cl) / en - 1 > 0.15)::int::double end as breakout, case when ok then {r('sign(sh) * ln(1 + abs(sh))')} end as log_sharpe,
  case when ok and pa = 20 then (nr > mu)::int::double end as phase from e""",
+    "window_manifold": f"""with {TICKS}, {_DAY}, {_MACRO}, w as (select t.*, v_d, sigma_d, (row_number() over (partition by symbol, date order by seq) - 1) // 5 as "window", coalesce(price - lag(price) over (partition by symbol, date order by seq), 0) as dp from t join ma using (symbol, date)),
+x as (select *, count(*) over (partition by symbol, date, "window") as n, (row_number() over o - 1)::int as bar, first_value(price) over o as p0, sign(dp) * (abs(dp) / (0.842::double * sigma_d + 1e-8)) ** 2 * (v_d + 1e-8) as q from w window o as (partition by symbol, date, "window" order by seq)),
+y as (select *, unnest([0, 1])::int as level from x where n = 5),
+z as (select *, (price * (1 - 0.001::double * (level + 1)))::float::double as b, (price * (1 + case when level = 0 and l_linenumber = 5 then -0.001::double else 0.001::double * (level + 1) end))::float::double as a,
+ (100 * ((l_partkey + level + 1) % 50))::double as bv, (100 * ((l_suppkey * 7 + l_orderkey + level + 1) % 50))::double as av from y),
+m as (select *, greatest((a + b) / 2, 1e-6) as mid, least(greatest(q, -1e12), 1e12) as s from z)
+select symbol, date, "window", bar, level, {r('(b - mid) / mid * 10000')} as bid_bp, {r('ln(1 + greatest(bv, 0))')} as log_bid_v, {r('(a - mid) / mid * 10000')} as ask_bp, {r('ln(1 + greatest(av, 0))')} as log_ask_v,
+ {r('ln(greatest(price, 1e-6) / greatest(p0, 1e-6)) * 100')} as log_ret, {r('sign(s) * ln(1 + abs(s))')} as symlog_q, {r('ln(1 + greatest(v_d, 0))')} as log_v_d, {r('ln(1 + greatest(sigma_d, 0))')} as log_sigma_d from m""",
     "book_features": f"""with {TICKS}, f as (select *, {_BV} as bv, {_AV} as av, greatest((bid_p1 + ask_p1) / 2, 1e-6) as mid, first_value(price) over (partition by symbol, date order by seq) as p0 from t)
 select symbol, seq, {r('(bv - av) / (bv + av + 1e-8)')} as imbalance, {r('(bid_p1 * av + ask_p1 * bv) / (bv + av + 1e-8)')} as micro, {r('ln(1 + bv + av)')} as depth, {r('(bid_p1 - mid) / mid * 10000')} as bid_bp, {r('ln(1 + greatest(vol_tick, 0))')} as log_vol,
  {r('sign(price - 1500) * ln(1 + abs(price - 1500))')} as symlog, {r('ln(greatest(price, 1e-6) / greatest(p0, 1e-6)) * 100')} as log_ret, bid_p1 <= 0 or ask_p1 <= 0 or abs(ask_p1 - bid_p1) / greatest(bid_p1, 1e-8) < 0.001 as locked,

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.layout import new_partitions, shuffled_batches, sorted_layout
+from tidemark.operators.layout import new_partitions, ordered_by_available, shuffled_batches, sorted_layout
+from tidemark.operators.ticks import of_symbols
 
 
 def write_sorted(ticks: DataFrame, path: str, files: int, row_group_bytes: int = 16 << 20, done: DataFrame | None = None) -> None:
@@ -21,6 +22,11 @@ def write_sorted(ticks: DataFrame, path: str, files: int, row_group_bytes: int =
     sorted_layout(rows, files).write.mode("append" if done is not None else "errorifexists").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
+def write_subset(ticks: DataFrame, symbols: list[str], path: str) -> None:
+    """The ticks of the symbols, sorted by symbol and by what times there are, as Parquet; an empty table where no tick is theirs."""
+    ordered_by_available(of_symbols(ticks, symbols)).write.parquet(path)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.repartition("date").write.mode("append").partitionBy("date").parquet(path)
 
