@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, license_scan, media, neardup, packing, secret_scan, topk, toxicity, url_filter
+from tidemark.llm import bpe, chat, license_scan, media, neardup, packing, secret_scan, topk, toxicity, trie, url_filter
 from tidemark.llm.common import literal_table, written
 
 # The rules of op1.
@@ -97,6 +97,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.turn_digests(_table(spark, folder, "conversations"))
+    rebuilt, ids = trie.spliced(turns, base=lambda c: c - c % 5, heads=lambda c: F.crc32(c.cast("string")) % 9, most=8)
+    return trie.prefix_trie(rebuilt, ids, order=("part", "turn"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_near_duplicates": op2_near_duplicates,
@@ -108,6 +114,7 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 _HARD = HARD_TURN
