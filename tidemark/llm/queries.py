@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the thirteen operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, license_scan, media, neardup, packing, secret_scan, topk, toxicity, trie, url_filter
+from tidemark.llm import bpe, chat, conversation_sql, hnsw, license_scan, media, neardup, packing, repair, secret_scan, topk, toxicity, trie, url_filter
 from tidemark.llm.common import literal_table, written
 
 # The rules of op1.
@@ -103,6 +103,18 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(rebuilt, ids, order=("part", "turn"))
 
 
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = hnsw.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("id")))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    return repair.report(repair.damaged(conversations, F.crc32(name) % 20), conversations)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_near_duplicates": op2_near_duplicates,
@@ -115,6 +127,8 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_neighbours": op12_neighbours,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _HARD = HARD_TURN
@@ -193,3 +207,4 @@ select regexp_extract(o.path, '([0-9]+)([.]txt)?$', 1)::bigint as doc_id, o.path
 
 
 ORACLES["op8_license_scans"] = _license_sql()
+ORACLES |= {"op11_prefix_trie": conversation_sql.TRIE, "op13_conversation_repair": conversation_sql.REPAIR}
