@@ -146,14 +146,14 @@ def graphs(vectors: DataFrame, k: int, size: int = SIZE, links: int = LINKS, wid
 
 class _Graph:
     def __init__(self, row):
-        self.exact = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
+        self.exact = np.frombuffer(row["vectors"], "<f8").reshape(int(row["n"]), -1)
         self.x = self.exact.astype(np.float32)
         self.norms = (self.x * self.x).sum(1)
         self.owners, self.ids, self.rows = np.frombuffer(row["owners"], "<i4"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<i8")
         self.layers = []
         for layer in row["layers"]:
             nodes = np.frombuffer(layer["nodes"], "<i4")
-            self.layers.append((nodes, np.frombuffer(layer["links"], "<i4").reshape(len(nodes), layer["width"])))
+            self.layers.append((nodes, np.frombuffer(layer["links"], "<i4").reshape(len(nodes), int(layer["width"]))))
 
     def _far(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         return self.norms[nodes] - 2 * (self.x[nodes] @ q[:, :, None])[:, :, 0]  # less the query's own square
