@@ -1,14 +1,16 @@
 """The volume clock: ticks to bars, and bars to windows with their forward target.
 
 The clock is sequential within a symbol: it carries what a bar has over its threshold into the next, and thresholds change by day. Only
-narrow columns go through the keyed kernel, in batches in order; the closing tick's book is joined back afterwards.
+narrow columns go through the keyed kernel, in batches in order; the closing tick's book is joined back afterwards. The kernel takes one step
+a bar: cumulative sums of a batch say by a search where the next bar closes and what it holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +20,14 @@ from tidemark.functions.book import pack_book
 BAR_SCHEMA = "symbol string, bar_id long, date string, seq long, close double, delta_p double, vwap double, volume double, threshold double"
 
 
+def _added(to: float, values: np.ndarray) -> np.ndarray:
+    """The running sum, value by value in this order."""
+    return np.cumsum(np.append(to, values))
+
+
 @dataclass
 class Clock:
-    """State of one symbol's clock: what has gathered since the last bar."""
+    """State of one symbol's clock: volume that counts towards the next bar, and turnover, volume and first price since the last."""
 
     gathered: float = 0.0
     turnover: float = 0.0
@@ -28,37 +35,56 @@ class Clock:
     first: float = 0.0
     bars: int = 0
 
+    def take(self, price: np.ndarray, volume: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
+        """Takes ticks in order; gives the bars they close: at (the closing tick), delta_p, vwap and volume.
+
+        A bar closes at the first tick at which what was gathered since reaches the threshold of its day. What it has over that is carried on, up to one threshold.
+        A close without volume of its own, by what was carried alone, gives no bar. The first price of a bar is its first that isn't zero. Missing prices and volumes are zero.
+        """
+        price, volume = np.nan_to_num(price), np.nan_to_num(volume)
+        traded, turned = np.append(0.0, np.cumsum(volume)), price * volume
+        falls = bool((volume < 0).any())  # then the sums don't rise, and a search by halves would miss a close
+        later = np.append(np.where(price != 0, np.arange(len(price)), len(price)), len(price))
+        priced = np.minimum.accumulate(later[::-1])[::-1]  # the next tick with a price, from each place on
+        start = at = 0  # the bar's first tick here; the first that may close it
+        found = []
+        for end in np.append(np.flatnonzero(np.diff(threshold)) + 1, len(price)) if len(price) else []:
+            limit = threshold[end - 1]
+            while at < end:
+                near = end - 1 if falls else min(at + int(np.searchsorted(traded[at + 1 : end + 1], limit - self.gathered + traded[at])) + 1, end - 1)
+                # the search may be off by a rounding; what counts is the running sum, tick by tick
+                sums = _added(self.gathered, volume[at : near + 1])[1:]
+                closes = np.flatnonzero(sums >= limit)
+                if not len(closes):
+                    self.gathered, at = float(sums[-1]), near + 1
+                    continue
+                place = at + int(closes[0])
+                own, over = _added(self.volume, volume[start : place + 1])[-1], sums[closes[0]] - limit
+                if own > 0:
+                    first = self.first or (price[priced[start]] if priced[start] <= place else price[place])
+                    found.append((place, price[place] - first, _added(self.turnover, turned[start : place + 1])[-1] / own, own))
+                    over = min(over, limit)
+                self.gathered, self.turnover, self.volume, self.first = float(over), 0.0, 0.0, 0.0
+                start = at = place + 1
+        if start < len(price):
+            self.turnover, self.volume = float(_added(self.turnover, turned[start:])[-1]), float(_added(self.volume, volume[start:])[-1])
+            self.first = self.first or (float(price[priced[start]]) if priced[start] < len(price) else 0.0)
+        self.bars += len(found)
+        return pd.DataFrame(found, columns=["at", "delta_p", "vwap", "volume"]).astype({"at": "int64"})
+
     def push(self, price: float, volume: float, threshold: float) -> tuple[float, float, float] | None:
-        """Takes a tick; gives (price move, vwap, volume) if it closes a bar. Volume carried over without any trade since closes none."""
-        self.gathered += volume
-        self.turnover += price * volume
-        self.volume += volume
-        if self.first == 0.0:
-            self.first = price
-        if self.gathered < threshold:
-            return None
-        bar = None
-        if self.volume > 0:
-            bar = (price - self.first, self.turnover / self.volume, self.volume)
-            self.gathered = min(self.gathered - threshold, threshold)
-            self.bars += 1
-        else:
-            self.gathered -= threshold
-        self.turnover = self.volume = self.first = 0.0
-        return bar
-
-    def state(self) -> dict:
-        return asdict(self)
+        """One tick: (price move, vwap, volume) if it closes a bar."""
+        bars = self.take(*(np.array([x], float) for x in (price, volume, threshold)))
+        return tuple(bars.iloc[0, 1:]) if len(bars) else None
 
 
 def run_clock(clock: Clock, rows: pd.DataFrame) -> pd.DataFrame:
     """Bars of one symbol's ticks in order of date and seq, from the clock's state on."""
-    out = []
-    for symbol, date, seq, price, volume, threshold in rows[["symbol", "date", "seq", "price", "vol_tick", "threshold"]].itertuples(index=False, name=None):
-        bar = clock.push(price, volume, threshold)
-        if bar:
-            out.append((symbol, clock.bars - 1, date, seq, price, *bar, threshold))
-    return pd.DataFrame(out, columns=["symbol", "bar_id", "date", "seq", "close", "delta_p", "vwap", "volume", "threshold"])
+    before = clock.bars
+    bars = clock.take(*(rows[c].to_numpy(float) for c in ("price", "vol_tick", "threshold")))
+    closing = rows.iloc[bars["at"].to_numpy()].reset_index(drop=True)
+    named = closing[["symbol", "date", "seq"]].assign(bar_id=np.arange(before, clock.bars), close=closing["price"].fillna(0.0), threshold=closing["threshold"])
+    return pd.concat([named, bars.drop(columns="at")], axis=1)[["symbol", "bar_id", "date", "seq", "close", "delta_p", "vwap", "volume", "threshold"]]
 
 
 def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,10 +92,11 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if not len(rows):
             continue
-        keys = list(zip(rows["date"], rows["seq"]))
-        if any(b < a for a, b in zip(keys, keys[1:])) or (last is not None and keys[0] < last):
+        date, seq = rows["date"].to_numpy(), rows["seq"].to_numpy()
+        falls = (date[1:] < date[:-1]) | ((date[1:] == date[:-1]) & (seq[1:] < seq[:-1]))
+        if falls.any() or (last is not None and (date[0], seq[0]) < last):
             raise ValueError("ticks of a symbol came out of order")
-        last = keys[-1]
+        last = date[-1], seq[-1]
         yield run_clock(clock, rows)
 
 
@@ -109,13 +136,20 @@ def window_targets(bars: DataFrame, length: int = 160, stride: int = 20, horizon
 
 
 def windows(bars: DataFrame, columns: list[str], length: int = 160, stride: int = 20, horizon: int = 20) -> DataFrame:
-    """window_targets with bars: the window's bars in order, of the given columns. A bar is copied to the windows that hold it only."""
-    first = F.greatest(F.ceil((F.col("bar_id") - length + 1) / stride), F.lit(0))
-    last = F.floor(F.col("bar_id") / stride)
-    starts = F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * stride))
-    spread = bars.select("symbol", F.explode(starts).alias("start"), F.struct("bar_id", *columns).alias("bar"))
-    targets = window_targets(bars, length, stride, horizon)
-    return spread.join(targets, ["symbol", "start"]).groupBy("symbol", "start", "date", "target_bp").agg(F.sort_array(F.collect_list("bar")).alias("bars"))
+    """window_targets with bars: the window's bars in order, of the given columns.
+
+    Bars lie by symbol after one shuffle. There they are gathered into blocks of `stride`, each with the targets of its bars, and a window is the blocks from its own on: no bar is copied before that.
+    """
+    own = Window.partitionBy("symbol").orderBy("bar_id")
+    entry, end = F.lead("vwap", 1).over(own), F.lead("vwap", 1 + horizon).over(own)
+    target = F.when(end.isNotNull(), (end - entry) / (entry + 1e-8) * 10000)
+    bar = F.struct("bar_id", F.struct("bar_id", *columns).alias("bar"), F.col("date").alias("_date"), F.col("_target"))
+    blocks = bars.repartition("symbol").withColumn("_target", target).groupBy("symbol", F.floor(F.col("bar_id") / stride).alias("block")).agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    ahead = Window.partitionBy("symbol").orderBy("block").rowsBetween(0, -(-length // stride) - 1)
+    spans = blocks.select("symbol", (F.col("block") * stride).alias("start"), F.slice(F.flatten(F.collect_list("bars").over(ahead)), 1, length).alias("bars"))
+    last = F.element_at("bars", -1)
+    whole = spans.filter((F.size("bars") == length) & last["_target"].isNotNull())
+    return whole.select("symbol", "start", last["_date"].alias("date"), last["_target"].alias("target_bp"), F.transform("bars", lambda b: b["bar"]).alias("bars"))
 
 
 def window_keys(samples: DataFrame) -> DataFrame:

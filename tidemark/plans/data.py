@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
@@ -14,11 +14,11 @@ from tidemark.plans.common import P, TICKS
 from tidemark.plans.market import DIGITS, HORIZON, LENGTH, STRIDE, r
 from tidemark.sources import fixtures, readers, writers
 from tidemark.sources.scratch import new_path, written
-from tidemark.streaming.clock_stream import volume_bar_stream
+from tidemark.streaming.clock_stream import volume_bar_stream, volume_window_stream
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 SHARDS = 400
-STATE_PARTITIONS = 8
+STATE_PARTITIONS, RUNS = 8, 4
 STREAM = {"days": 5, "share": 0.5, "least": 20.0, "first_threshold": 100.0, "first_volume": 150.0}
 
 
@@ -129,20 +129,33 @@ def reconciled(spark: SparkSession, folder: str) -> DataFrame:
     return layout.reconciled(local, remote)
 
 
-def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """The events replayed by date through the streaming clock; their bars equal the batch clock's."""
+def _replayed(spark: SparkSession, folder: str, stream) -> DataFrame:
+    """The events through a stream, as a lake that grows: for each part of the calendar files land, and a run takes up from the checkpoint of the one before.
+
+    The runs have a session of their own, as a stream keeps the number of state partitions that it starts with.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
     t = written(_events(spark, folder), "events")
-    lake, out, state = (new_path(spark, n) for n in ("lake", "bars", "state"))
-    for row in t.select("date").distinct().orderBy("date").collect():  # the replay: a file for each date, in order
-        t.filter(F.col("date") == row.date).coalesce(1).write.mode("append").parquet(lake)
-    source = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(lake)
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)  # a stream keeps the number that it starts with
-    try:
-        volume_bar_stream(source, **STREAM).writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    return common.rounded(spark.read.parquet(out), DIGITS)
+    lake, out, state = (new_path(spark, n) for n in ("lake", "streamed", "state"))
+    dated = t.join(F.broadcast(t.select("date").distinct().withColumn("run", F.ntile(RUNS).over(Window.orderBy("date")))), "date")  # a calendar
+    for run in range(1, RUNS + 1):
+        dated.filter(F.col("run") == run).drop("run").select(t.columns).write.mode("append").parquet(lake)
+        found = stream(own.readStream.schema(t.schema).parquet(lake))
+        found.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The bars of the streaming clock over the events."""
+    return common.rounded(_replayed(spark, folder, partial(volume_bar_stream, **STREAM)), DIGITS)
+
+
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every bar of every window that the stream gives."""
+    stream = partial(volume_window_stream, length=LENGTH, stride=STRIDE, horizon=HORIZON, **STREAM)
+    found = _replayed(spark, folder, stream).select("symbol", "start", "date", "target_bp", F.explode("bars").alias("bar"))
+    return common.rounded(found.select("symbol", "start", "date", "target_bp", *[F.col(f"bar.{c}").alias(c) for c in ("bar_id", "close", "vwap", "v_d", "sigma_d")]), DIGITS)
 
 
 def event_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +165,7 @@ def event_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = (
     {name: partial(market._on_ticks, operator, 1) for name, operator in TICK_OPERATORS.items()} | {name: partial(market._on_ticks, operator, 10) for name, operator in BOOK_OPERATORS.items()}
-    | {name: partial(_on_predictions, operator) for name, operator in PREDICTION_OPERATORS.items()} | {"first_week": first_week, "reconciled": reconciled, "stream_bars": stream_bars, "event_bars": event_bars}
+    | {name: partial(_on_predictions, operator) for name, operator in PREDICTION_OPERATORS.items()} | {"first_week": first_week, "reconciled": reconciled, "stream_bars": stream_bars, "stream_windows": stream_windows, "event_bars": event_bars}
 )
 
 
@@ -178,7 +191,14 @@ sp as (select g.shard, cl.date from (select unnest(range(0, {shards})) as shard)
 _EVENTS = "ev as (select distinct strftime(ts, '%Y%m%d') as date from events)"
 _SPLIT = """k as (select {key}, row_number() over (order by {key}) - 1 as k, count(*) over () as n from (select distinct {key} from p)), sl as (select {key}, case when k < floor(n * 0.8 + 1e-9) - {e} then 'train' when k >= floor(n * 0.8 + 1e-9) + {e} then 'validation' end as part from k)"""
 
+_EVENT_BARS = f"""t as (select user_id::varchar as symbol, strftime(ts, '%Y%m%d') as date, event_id as seq, 10 + value / 100 as price, value as vol_tick from events),
+{market._DAY}, {market._MACRO.replace("2 preceding", "4 preceding").replace("3 preceding", "5 preceding")}, {market._CLOCK}"""
+
 ORACLES = {
+    "event_bars": f"with recursive {_EVENT_BARS} select {market.bars_rounded(r)} from ba",
+    "stream_bars": f"with recursive {_EVENT_BARS} select {market.bars_rounded(r)}, false as late from ba",
+    "stream_windows": f"""with recursive {_EVENT_BARS}, {market._TARGET} select wt.symbol, start, wt.date, {r('target_bp')} as target_bp, ba.bar_id, {', '.join(f"{r(c)} as {c}" for c in ('close', 'vwap', 'v_d', 'sigma_d'))}
+ from wt join ba on ba.symbol = wt.symbol and ba.bar_id between start and start + 7""",
     "check_ticks": f"with {TICKS}, {_QT} {_TICK_CHECKS}",
     "check_bars": f"with {TICKS}, {_BK} {_BAR_CHECKS}",
     "check_windows": f"""with {TICKS}, {market._BUCKET}, {market._BARS}, {market._TARGET}, w as (select count(*) as n, max(abs(target_bp)) as la, avg(target_bp) as mu, avg((target_bp <> 0)::int) as sh, bool_or(target_bp > 0) and bool_or(target_bp < 0) as bo from wt) """

@@ -19,10 +19,21 @@ MANIFOLD = ("bid_bp", "log_bid_v", "ask_bp", "log_ask_v", "log_ret", "symlog_q",
 DIGITS = 7  # prices are cents over a whole quantity: with fewer digits some lie on the edge between two roundings
 
 
+STEADY = "1.0000000000001"  # cents over a power of two can lie on the edge itself: this takes them off it, in Spark and in SQL
+
+
 def r(x: str) -> str:
     return common.r(x, DIGITS)
 
 
+def _off_edges(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.col(c) * float(STEADY)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def steady(x: str) -> str:
+    return r(f"({x}) * {STEADY}::double")
+
+
 def _on_ticks(operator, levels: int, spark: SparkSession, folder: str, digits: int = DIGITS) -> DataFrame:
     return common.rounded(operator(fixtures.ticks(spark, folder, levels)), digits)
 
@@ -40,10 +51,13 @@ def _volume_bars(t: DataFrame) -> DataFrame:
 
 
 def _volume_windows(t: DataFrame) -> DataFrame:
-    bars = clock.with_book(_volume_bars(t), t, _macro(t), 2)
-    found = clock.windows(bars, ["close", "vwap", "v_d", "sigma_d", "lob"], LENGTH, STRIDE, HORIZON)
-    last = F.element_at("bars", -1)
-    return found.select("symbol", "start", "date", "target_bp", F.size("bars").alias("n_bars"), F.get(last["lob"], F.lit(0))["bid_p"].cast("double").alias("bid_p1"), last["v_d"].alias("macro_v_d"), book.coarse(F.transform("bars", lambda b: b["vwap"]), 4).alias("coarse_vwap"))
+    """Every bar of every window, with all levels of its book: sums over levels, each by its number."""
+    bars = clock.with_book(_volume_bars(t), t, _macro(t), 10)
+    found = clock.windows(bars, ["close", "vwap", "v_d", "sigma_d", "lob"], LENGTH, STRIDE, HORIZON).withColumn("coarse", book.coarse(F.transform("bars", lambda b: b["vwap"]), 4))
+    flat = found.select("symbol", "start", "date", "target_bp", "coarse", F.posexplode("bars").alias("place", "bar"))
+    side = lambda c: F.aggregate(F.transform("bar.lob", lambda x, i: x[c].cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x).alias(c)
+    bar = [F.col(f"bar.{c}").alias(c) for c in ("bar_id", "close", "vwap", "v_d", "sigma_d")]
+    return flat.select("symbol", "start", "date", "target_bp", "place", *bar, F.get("coarse", F.floor(F.col("place") / 4).cast("int")).alias("coarse_vwap"), *[side(c) for c in ("bid_p", "bid_v", "ask_p", "ask_v")])
 
 
 def _windows(t: DataFrame) -> DataFrame:
@@ -105,10 +119,10 @@ OPERATORS = {
     "tumbling_windows": lambda t: clock.tumbling(t, ["symbol", "date"], "seq", 5).groupBy("symbol", "date", "window").agg(F.avg("price").alias("mean_price"), F.max("seq").alias("last_seq")),
     "implied_quantity": _implied,
     "swing_labels": lambda t: labels.swing_labels(labels.daily_bars(t)),
-    "volume_bars": _volume_bars,
-    "volume_windows": _volume_windows,
+    "volume_bars": lambda t: _off_edges(_volume_bars(t)),
+    "volume_windows": lambda t: _off_edges(_volume_windows(t)),
 }
-QUERIES = {name: partial(_on_ticks, operator, 2 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": partial(_on_ticks, _manifold, 2), "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
+QUERIES = {name: partial(_on_ticks, operator, 10 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": partial(_on_ticks, _manifold, 2), "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
 
 _DAY = "d as (select symbol, date, sum(vol_tick) as volume, max(case when price > 0 then price end) as high, min(case when price > 0 then price end) as low, count(*) as ticks from t group by symbol, date)"
 _MACRO = """po as (select symbol, date, avg(volume) over (partition by symbol order by date rows between 2 preceding and current row) as m from d where volume > 0),
@@ -134,9 +148,23 @@ _BARS = """bb as (select symbol, bucket, max(date) as date, max(seq) as seq, arg
 bl as (select *, max(bucket) over (partition by symbol) as l from bb), ba as (select symbol, date, seq, close, delta_p, vwap, volume, row_number() over (partition by symbol order by bucket) - 1 as bar_id from bl where bucket < l)"""
 _TARGET = """en as (select *, lead(vwap, 1) over w as e1, lead(vwap, 4) over w as e2 from ba window w as (partition by symbol order by bar_id)),
 wt as (select symbol, bar_id - 7 as start, date, (e2 - e1) / (e1 + 1e-8) * 10000 as target_bp from en where e2 is not null and bar_id >= 7 and (bar_id - 7) % 2 = 0)"""
+_LEVEL = {
+    "bid_p": "price * (1 - 0.001::double * {i})", "bid_v": "(100 * ((l_partkey + {i}) % 50))::double",
+    "ask_p": "price * (1 + case when {i} = 1 and l_linenumber = 5 then -0.001::double else 0.001::double * {i} end)", "ask_v": "(100 * ((l_suppkey * 7 + l_orderkey + {i}) % 50))::double",
+}
 _BV = "(" + " + ".join(f"(100 * ((l_partkey + {i}) % 50))::double" for i in range(1, 11)) + ")"
 _AV = "(" + " + ".join(f"(100 * ((l_suppkey * 7 + l_orderkey + {i}) % 50))::double" for i in range(1, 11)) + ")"
 _SHARE = "length(split_part(symbol, '.', 1)) = 6 and symbol[1:3] in ('000', '001', '002', '003', '300', '301', '600', '601', '603', '605', '688', '689')"
+_CLOCK = """ti as (select t.symbol, t.date, t.seq, price, vol_tick as vol, threshold, v_d, sigma_d, row_number() over (partition by t.symbol order by t.date, t.seq) as k from t join ma using (symbol, date)),
+ck as (select symbol, 0::bigint as k, 0::double as g, 0::double as pv, 0::double as v, 0::double as f, 0::bigint as n, false as closed, 0::double as delta_p, 0::double as vwap, 0::double as volume from (select distinct symbol from ti)
+ union all select symbol, k, case when not full_ then g when v > 0 then least(g - threshold, threshold) else g - threshold end, case when full_ then 0 else pv end, case when full_ then 0 else v end, case when full_ then 0 else f end,
+  n + (full_ and v > 0)::int, full_ and v > 0, price - f, pv / v, v
+ from (select ti.symbol, ti.k, price, threshold, n, g + vol as g, pv + price * vol as pv, v + vol as v, case when f = 0 then price else f end as f, g + vol >= threshold as full_ from ck join ti on ti.symbol = ck.symbol and ti.k = ck.k + 1)),
+ba as (select ck.symbol, n - 1 as bar_id, date, seq, price as close, delta_p, vwap, volume, threshold, v_d, sigma_d from ck join ti using (symbol, k) where closed)"""
+def bars_rounded(edge) -> str:
+    return "symbol, bar_id, date, seq, " + ", ".join(f"{edge(c)} as {c}" for c in ("close", "delta_p", "vwap", "volume", "threshold"))
+
+
 _DAY_ROUND = f"symbol, date, {r('volume')} as volume, {r('high')} as high, {r('low')} as low, ticks"
 
 ORACLES = {
@@ -169,6 +197,10 @@ c as (select *, len(cl) = 20 and en > 0 as ok, list_transform(range(1, 21), lamb
 e as (select *, (cl[20] * 0.997::double / en - 1) / (abs(list_min(dn)) + 1e-4) as sh from c)
 select symbol, date, {r('open_price')} as open_price, {r('close_price')} as close_price, ticks, case when ok then (list_max(cl) / en - 1 > 0.15)::int::double end as breakout, case when ok then {r('sign(sh) * ln(1 + abs(sh))')} end as log_sharpe,
  case when ok and pa = 20 then (nr > mu)::int::double end as phase from e""",
+    "volume_bars": f"with recursive {TICKS}, {_DAY}, {_MACRO}, {_CLOCK} select {bars_rounded(steady)} from ba",
+    "volume_windows": f"""with recursive {TICKS}, {_DAY}, {_MACRO}, {_CLOCK}, {_TARGET}, wb as (select wt.symbol, start, wt.date, target_bp, (ba.bar_id - start)::int as place, ba.* exclude (symbol, date) from wt join ba on ba.symbol = wt.symbol and ba.bar_id between start and start + 7)
+select symbol, start, wb.date, {steady('target_bp')} as target_bp, place, bar_id, {steady('close')} as close, {steady('vwap')} as vwap, {steady('v_d')} as v_d, {steady('sigma_d')} as sigma_d, {steady('avg(vwap) over (partition by symbol, start, place // 4)')} as coarse_vwap,
+ {', '.join(f"{steady('(' + ' + '.join(f'({x.format(i=i)})::float::double * {i}' for i in range(1, 11)) + ')')} as {c}" for c, x in _LEVEL.items())} from wb join t using (symbol, seq)""",
     "window_manifold": f"""with {TICKS}, {_DAY}, {_MACRO}, w as (select t.*, v_d, sigma_d, (row_number() over (partition by symbol, date order by seq) - 1) // 5 as "window", coalesce(price - lag(price) over (partition by symbol, date order by seq), 0) as dp from t join ma using (symbol, date)),
 x as (select *, count(*) over (partition by symbol, date, "window") as n, (row_number() over o - 1)::int as bar, first_value(price) over o as p0, sign(dp) * (abs(dp) / (0.842::double * sigma_d + 1e-8)) ** 2 * (v_d + 1e-8) as q from w window o as (partition by symbol, date, "window" order by seq)),
 y as (select *, unnest([0, 1])::int as level from x where n = 5),

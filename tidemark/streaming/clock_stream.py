@@ -1,63 +1,156 @@
-"""The volume clock over a stream of ticks: the same bars as the batch clock.
+"""The volume clock over a stream of ticks: the same bars, and the same windows with their targets, as the batch clock.
 
-Files arrive in date order. State of a symbol: its clock, the running day, and the last days' volumes and ranges; it is bounded by the
-number of days kept. Ticks of a date before the symbol's running day are diverted: they come out with late set and change nothing.
-An unfinished bar or day gives nothing at the end of the input, as in batch. Restarting is the checkpoint's work.
+Files arrive in date order. State of a symbol: its clock, the running day, the last days' volumes and ranges, and for windows the last bars that an open window or target can still need;
+it is bounded by the days, the window and the horizon. Ticks of a date before the symbol's running day are diverted: with bars they come out with late set and change nothing, with windows
+they are left out. An unfinished bar, day or window gives nothing at the end of the input, as in batch. Restarting is the checkpoint's work.
+
+The clock's state is held as a version and a text of named values, so that a checkpoint outlives changes of the layout: what an older version wrote is upgraded when a symbol is next seen, and then
+written in the present one. Version 1 held the ticks since the last bar one by one, and bars without their date.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.clock import BAR_SCHEMA, Clock
+from tidemark.operators.clock import BAR_SCHEMA, Clock, run_clock
 
 OUT_SCHEMA = f"{BAR_SCHEMA}, late boolean"
-VERSION = 1
-STATE_SCHEMA = "version int, gathered double, turnover double, volume double, first double, bars long, date string, seq long, day_volume double, high double, low double, volumes array<double>, ranges array<double>, threshold double"
+VERSION = 2
+CLOCK_STATE = "version int, values string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _closed_day(volumes: list, ranges: list, day_volume: float, high: float | None, low: float | None, days: int) -> None:
-    """Takes a finished day into the kept volumes (if it had any) and ranges."""
-    if day_volume > 0:
-        volumes.append(day_volume)
-        del volumes[:-days]
-    ranges.append(max(high - low if high is not None else 0.0, 1e-4))
-    del ranges[:-days]
+def _upgraded_1(old: dict) -> dict:
+    """Version 1 held prices and volumes of the ticks since the last bar; version 2 holds their sums and first price. Its bars had no date."""
+    price, volume = np.array(old.pop("prices"), float), np.array(old.pop("volumes_since"), float)
+    first = price[price != 0]
+    return old | {"turnover": float((price * volume).sum()), "volume": float(volume.sum()), "first": float(first[0]) if len(first) else 0.0, "bars": [bar | {"date": None} for bar in old["bars"]]}
 
 
-def volume_bar_stream(ticks: DataFrame, days: int = 20, share: float = 0.02, least: float = 1000.0, first_threshold: float = 50_000.0, first_volume: float = 5_000_000.0) -> DataFrame:
-    """Bars (and late ticks) of a stream of ticks: symbol, date, seq, price, vol_tick."""
+UPGRADES = {1: _upgraded_1}
+
+
+def upgraded(version: int, values: dict) -> dict:
+    """Values of the present layout from those of any earlier one."""
+    while version < VERSION:
+        values, version = UPGRADES[version](values), version + 1
+    return values
+
+
+class VolumeClock(StatefulProcessor):
+    """Bars, or windows of bars with their targets, of each symbol."""
+
+    def __init__(self, macro: dict, window: dict | None = None, carried: tuple[str, ...] = ()):
+        self.macro, self.window, self.carried = macro, window, list(carried)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("clock", CLOCK_STATE)
+
+    def _read(self) -> dict:
+        if not self.state.exists():
+            first = {"v_d": self.macro["first_volume"], "sigma_d": self.macro["first_range"], "threshold": self.macro["first_threshold"]}
+            return first | {"gathered": 0.0, "turnover": 0.0, "volume": 0.0, "first": 0.0, "closed": 0, "date": None, "seq": None, "day_volume": 0.0, "high": None, "low": None, "volumes": [], "ranges": [], "bars": []}
+        version, values = self.state.get()
+        return upgraded(version, json.loads(values))
+
+    def _write(self, values: dict) -> None:
+        self.state.update((VERSION, json.dumps(values)))
+
+    def _close_day(self, s: dict) -> None:
+        """The finished day goes into the kept volumes (if it had any) and ranges; the next day's threshold comes from those."""
+        if s["day_volume"] > 0:
+            s["volumes"] = [*s["volumes"], s["day_volume"]][-self.macro["days"] :]
+        s["ranges"] = [*s["ranges"], max(s["high"] - s["low"] if s["high"] is not None else 0.0, 1e-4)][-self.macro["days"] :]
+        s["v_d"] = float(np.mean(s["volumes"])) if s["volumes"] else self.macro["first_volume"]
+        s["sigma_d"] = float(np.mean(s["ranges"]))
+        s["threshold"] = max(s["v_d"] * self.macro["share"], self.macro["least"])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["date", "seq"])
-        if state.exists:
-            _, gathered, turnover, volume, first, bars, date, last, day_volume, high, low, volumes, ranges, threshold = state.get
-            clock, volumes, ranges = Clock(gathered, turnover, volume, first, bars), list(volumes), list(ranges)
-        else:
-            clock, date, last, day_volume, high, low, volumes, ranges, threshold = Clock(), None, None, 0.0, None, None, [], [], first_threshold
-        out = []
-        for day, seq, price, vol in rows[["date", "seq", "price", "vol_tick"]].itertuples(index=False, name=None):
-            if date is not None and (day, seq) < (date, last):
-                out.append((key[0], None, day, seq, price, None, None, vol, None, True))
-                continue
-            if day != date:
-                if date is not None:
-                    _closed_day(volumes, ranges, day_volume, high, low, days)
-                    threshold = max((sum(volumes) / len(volumes) if volumes else first_volume) * share, least)
-                date, day_volume, high, low = day, 0.0, None, None
-            last = seq
-            day_volume += vol
-            if price > 0:
-                high, low = max(price, high if high is not None else price), min(price, low if low is not None else price)
-            bar = clock.push(price, vol, threshold)
-            if bar:
-                out.append((key[0], clock.bars - 1, day, seq, price, *bar, threshold, False))
-        state.update((VERSION, clock.gathered, clock.turnover, clock.volume, clock.first, clock.bars, date, last, day_volume, high, low, volumes, ranges, threshold))
-        yield pd.DataFrame(out, columns=["symbol", "bar_id", "date", "seq", "close", "delta_p", "vwap", "volume", "threshold", "late"]).astype({"bar_id": "Int64", "seq": "int64"})
+    def _day(self, s: dict, clock: Clock, date: str, rows: pd.DataFrame) -> pd.DataFrame:
+        """Takes a day's ticks, or its next ones; gives their bars with v_d, sigma_d and the carried columns of the closing tick."""
+        if date != s["date"]:
+            if s["date"] is not None:
+                self._close_day(s)
+            s |= {"date": date, "day_volume": 0.0, "high": None, "low": None}
+        price = rows["price"].to_numpy(float)
+        priced = price[price > 0]
+        s["seq"], s["day_volume"] = int(rows["seq"].iloc[-1]), s["day_volume"] + float(np.nansum(rows["vol_tick"].to_numpy(float)))
+        if len(priced):
+            s["high"], s["low"] = float(max(priced.max(), s["high"] if s["high"] is not None else -np.inf)), float(min(priced.min(), s["low"] if s["low"] is not None else np.inf))
+        bars = run_clock(clock, rows.assign(threshold=s["threshold"]))
+        if self.carried and len(bars):
+            bars = bars.merge(rows[["seq", *self.carried]], on="seq")
+        return bars.assign(v_d=s["v_d"], sigma_d=s["sigma_d"])
 
+    def _windows(self, s: dict, symbol: str, bars: pd.DataFrame) -> list[dict]:
+        """The windows whose target bar is among the new bars; keeps the bars that later ones need."""
+        length, stride, horizon = (self.window[k] for k in ("length", "stride", "horizon"))
+        held, out = s["bars"], []
+        for bar in bars[["bar_id", "date", "close", "vwap", "v_d", "sigma_d", *self.carried]].to_dict("records"):
+            held.append(bar)
+            start = bar["bar_id"] - length - horizon
+            if start >= 0 and start % stride == 0:
+                own = held[-length - horizon - 1 :]
+                entry, last = own[length]["vwap"], own[length - 1]
+                out.append({"symbol": symbol, "start": start, "date": last["date"], "target_bp": (bar["vwap"] - entry) / (entry + 1e-8) * 10000, "bars": [{k: v for k, v in b.items() if k != "date"} for b in own[:length]]})
+            del held[: -length - horizon]
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """A symbol's ticks of one trigger, which its number of files bounds."""
+        ticks = pd.concat(list(rows)).sort_values(["date", "seq"])
+        s = self._read()
+        clock = Clock(s["gathered"], s["turnover"], s["volume"], s["first"], s["closed"])
+        late = np.zeros(len(ticks), bool)
+        if s["date"] is not None:
+            late = ((ticks["date"] < s["date"]) | ((ticks["date"] == s["date"]) & (ticks["seq"] < s["seq"]))).to_numpy()
+        bars = [self._day(s, clock, date, day) for date, day in ticks[~late].groupby("date", sort=True)]
+        found = pd.concat(bars) if bars else pd.DataFrame(columns=["bar_id", "date", "close", "vwap", "v_d", "sigma_d", *self.carried])
+        windows = self._windows(s, key[0], found) if self.window else []
+        self._write(s | {"gathered": clock.gathered, "turnover": clock.turnover, "volume": clock.volume, "first": clock.first, "closed": clock.bars})
+        if self.window:
+            yield pd.DataFrame(windows, columns=["symbol", "start", "date", "target_bp", "bars"])
+            return
+        diverted = ticks[late][["date", "seq", "price", "vol_tick"]].rename(columns={"price": "close", "vol_tick": "volume"}).assign(symbol=key[0], late=True)
+        names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+        parts = [part.reindex(columns=names) for part in (found.assign(late=False), diverted) if len(part)]
+        yield (pd.concat(parts) if parts else pd.DataFrame(columns=names)).astype({"bar_id": "Int64", "seq": "Int64", "late": bool} | {c: float for c in ("close", "delta_p", "vwap", "volume", "threshold")})
+
+    def close(self) -> None:
+        pass
+
+
+def with_keyed_state(spark: SparkSession) -> SparkSession:
+    """The session, which keeps streaming state in RocksDB unless it names another provider: values and lists of a key need its column families."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(PROVIDER):
+        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def _macro(days: int, share: float, least: float, first_threshold: float, first_volume: float, first_range: float) -> dict:
+    return {"days": days, "share": share, "least": least, "first_threshold": first_threshold, "first_volume": first_volume, "first_range": first_range}
+
+
+def volume_bar_stream(ticks: DataFrame, days: int = 20, share: float = 0.02, least: float = 1000.0, first_threshold: float = 50_000.0, first_volume: float = 5_000_000.0, first_range: float = 0.5) -> DataFrame:
+    """Bars (and late ticks) of a stream of ticks: symbol, date, seq, price, vol_tick."""
+    with_keyed_state(ticks.sparkSession)
+    processor = VolumeClock(_macro(days, share, least, first_threshold, first_volume, first_range))
     narrow = ticks.selectExpr("symbol", "date", "cast(seq as long) as seq", "price", "vol_tick")
-    return narrow.groupBy("symbol").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return narrow.groupBy("symbol").transformWithStateInPandas(processor, OUT_SCHEMA, "append", "none")
+
+
+def volume_window_stream(
+    ticks: DataFrame, carried: tuple[str, ...] = (), length: int = 160, stride: int = 20, horizon: int = 20, processor=VolumeClock,
+    days: int = 20, share: float = 0.02, least: float = 1000.0, first_threshold: float = 50_000.0, first_volume: float = 5_000_000.0, first_range: float = 0.5,
+) -> DataFrame:
+    """Windows of a stream's bars, each when its target bar has closed: symbol, start, date, target_bp and bars (bar_id, close, vwap, v_d, sigma_d and the carried columns of the closing tick, as doubles)."""
+    with_keyed_state(ticks.sparkSession)
+    clock = processor(_macro(days, share, least, first_threshold, first_volume, first_range), {"length": length, "stride": stride, "horizon": horizon}, carried)
+    narrow = ticks.selectExpr("symbol", "date", "cast(seq as long) as seq", "price", "vol_tick", *[f"cast(`{c}` as double) as `{c}`" for c in carried])
+    fields = ", ".join(["bar_id: long", *[f"`{c}`: double" for c in ("close", "vwap", "v_d", "sigma_d", *carried)]])
+    return narrow.groupBy("symbol").transformWithStateInPandas(clock, f"symbol string, start long, date string, target_bp double, bars array<struct<{fields}>>", "append", "none")
