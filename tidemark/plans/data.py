@@ -51,14 +51,21 @@ def _points(t: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "date", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda x: x["p"]).alias("points"))
 
 
+def _found(t: DataFrame, velocity: float | None = None) -> DataFrame:
+    return topology.window_landscapes(_points(t), ["symbol", "date", "window"], velocity=velocity)
+
+
+def _by_cell(df: DataFrame, *columns: str) -> DataFrame:
+    """A row for each cell of the landscape tensor."""
+    return df.select(*columns, F.posexplode("tda").alias("cell", "x"))
+
+
 def _landscapes(t: DataFrame, velocity: float | None = None) -> DataFrame:
-    found = topology.window_landscapes(_points(t), ["symbol", "date", "window"], velocity=velocity)
-    return topology.daily_topology(found, ["symbol", "date"]).select("symbol", "date", "windows", "triggered_windows", F.round(F.array_max("tda"), 6).alias("peak"))
+    return _by_cell(topology.daily_topology(_found(t, velocity), ["symbol", "date"]), "symbol", "date", "windows", "triggered_windows")
 
 
 def _daily_features(t: DataFrame) -> DataFrame:
-    found = topology.daily_topology(topology.window_landscapes(_points(t), ["symbol", "date", "window"]), ["symbol", "date"])
-    return topology.daily_features(t, found, 5).select("symbol", "date", "open_price", "close_price", "triggered_windows", F.size("tda").alias("cells"), F.array_max("tda").alias("peak"))
+    return _by_cell(topology.daily_features(t, topology.daily_topology(_found(t), ["symbol", "date"]), 5), "symbol", "date", "open_price", "close_price", "triggered_windows")
 
 
 def _scored(t: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ TICK_OPERATORS = {
     "scored_windows": _scored,
     "tar_round_trip": _tar_round_trip,
 }
-BOOK_OPERATORS = {"landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(topology.window_landscapes(_points(t), ["symbol", "date", "window"]))}
+BOOK_OPERATORS = {"landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(_found(t))}
 PREDICTION_OPERATORS = {
     "check_predictions": quality.check_predictions,
     "batch_targets": partial(quality.batch_targets, key="shard_idx"),
@@ -194,7 +201,34 @@ _SPLIT = """k as (select {key}, row_number() over (order by {key}) - 1 as k, cou
 _EVENT_BARS = f"""t as (select user_id::varchar as symbol, strftime(ts, '%Y%m%d') as date, event_id as seq, 10 + value / 100 as price, value as vol_tick from events),
 {market._DAY}, {market._MACRO.replace("2 preceding", "4 preceding").replace("3 preceding", "5 preceding")}, {market._CLOCK}"""
 
+def _topology(velocity: float | None = None) -> str:
+    """Windows of six ticks as points; the merge heights are, in any order of the points, each point's least minimax distance to an earlier one."""
+    moved = "" if velocity is None else f""" union all select symbol, date, w, i, {{k}} + dim, greatest(0, nx - x) * {velocity}::double from nx where nx is not null
+ union all select symbol, date, w, i, 2 * {{k}} + dim, greatest(0, x - nx) * {velocity}::double * 0.02::double from nx where nx is not null"""
+    squares = ", ".join(f"m{i} as (select a.symbol, a.date, a.w, a.i, b.j, min(greatest(a.d, b.d)) as d from m{i - 1} a join m{i - 1} b on a.symbol = b.symbol and a.date = b.date and a.w = b.w and a.j = b.i group by all)" for i in (1, 2, 3))
+    key = "symbol, date, w"
+    return f"""bo as (select *, {market._BV} as bv, {market._AV} as av from t),
+mf as (select symbol, date, seq, (bid_p1 * av + ask_p1 * bv) / (bv + av + 1e-8) as micro, (bv - av) / (bv + av + 1e-8) as imbalance, ln(1 + bv + av) as depth, row_number() over (partition by symbol, date order by seq) - 1 as k from bo),
+wi as (select *, k // 6 as w, (k % 6)::int as i, count(*) over (partition by symbol, date, k // 6) as n from mf), po as (select * from wi where n = 6),
+hs as (select a.symbol, a.date, a.w, l.lag, sqrt(avg((b.micro - a.micro) ** 2)) as move from po a cross join (values (2), (3)) l(lag) join po b on a.symbol = b.symbol and a.date = b.date and a.w = b.w and b.i = a.i + l.lag group by all),
+hu as (select {key}, case when min(move) > 1e-8 then least(greatest((ln(max(move) filter (lag = 3)) - ln(max(move) filter (lag = 2))) / (ln(3::double) - ln(2::double)), 0), 1) else 0.5 end as h from hs group by all),
+tr as (select {key}, case when sd < 1e-8 then 0.5 else h end not between 0.45 and 0.55 as triggered from hu join (select {key}, stddev_pop(micro) as sd from po group by all) using ({key})),
+xs as (select {key}, i, unnest([1, 2, 3]) as dim, unnest([micro, imbalance, depth]) as x from po), nx as (select *, lead(x) over (partition by {key}, dim order by i) as nx from xs),
+pt as (select {key}, i, dim, x from nx{"" if velocity is None else " where nx is not null"}{moved.format(k=3)}),
+sp as (select {key}, i, dim, (x - avg(x) over u) / (stddev_pop(x) over u + 1e-8) as x from pt window u as (partition by {key}, dim)),
+m0 as (select a.symbol, a.date, a.w, a.i, b.i as j, sqrt(sum((a.x - b.x) ** 2)) as d from sp a join sp b on a.symbol = b.symbol and a.date = b.date and a.w = b.w and a.dim = b.dim group by all), {squares},
+he as (select {key}, i, min(d) as d from m3 where j < i group by all), tp as (select {key}, list(d) as ds, case when max(d) > 0 then max(d) else 1 end as top from he group by all),
+la as (select {key}, g, top, list_reverse_sort(list_transform(ds, lambda d: greatest(0, least(case when g = 19 then top else g * (top / 19) end, d - case when g = 19 then top else g * (top / 19) end)))) as x from tp cross join (select unnest(range(20)) as g)),
+ce as (select {key}, l * 20 + g as cell, case when triggered then coalesce(x[l + 1], 0) else 0 end as x, triggered from la cross join (select unnest([0, 1, 2]) as l) join tr using ({key})),
+dt as (select symbol, date, cell::int as cell, count(*) as windows, sum(triggered::int)::bigint as triggered_windows, max(x) as x from ce group by all)"""
+
+
 ORACLES = {
+    "landscapes": f"with {TICKS}, {_topology()} select symbol, date, windows, triggered_windows, cell, {r('x')} as x from dt",
+    "velocity_landscapes": f"with {TICKS}, {_topology(5.0)} select symbol, date, windows, triggered_windows, cell, {r('x')} as x from dt",
+    "gate_statistics": f"""with {TICKS}, {_topology()} select (select count(*) from tr) as windows, {r('(select avg(triggered::int) from tr)')} as trigger_rate, {r('avg(x)')} as mean, {r('stddev_pop(x)')} as std, {r('min(x)')} as least, {r('max(x)')} as most from ce where triggered""",
+    "daily_features": f"""with {TICKS}, {_topology()}, db as (select symbol, date, arg_min(price, seq) as open_price, arg_max(price, seq) as close_price from t group by all having count(*) >= 5)
+select symbol, date, {r('open_price')} as open_price, {r('close_price')} as close_price, coalesce(triggered_windows, 0) as triggered_windows, cell, {r('coalesce(x, 0)')} as x from (select * from db cross join (select unnest(range(60))::int as cell)) left join dt using (symbol, date, cell)""",
     "event_bars": f"with recursive {_EVENT_BARS} select {market.bars_rounded(r)} from ba",
     "stream_bars": f"with recursive {_EVENT_BARS} select {market.bars_rounded(r)}, false as late from ba",
     "stream_windows": f"""with recursive {_EVENT_BARS}, {market._TARGET} select wt.symbol, start, wt.date, {r('target_bp')} as target_bp, ba.bar_id, {', '.join(f"{r(c)} as {c}" for c in ('close', 'vwap', 'v_d', 'sigma_d'))}
