@@ -77,12 +77,12 @@ def _scored(t: DataFrame) -> DataFrame:
 
 
 def _tar_round_trip(t: DataFrame) -> DataFrame:
-    """Windows to tar shards and back, through Spark's files."""
+    """Windows to tar shards and back, by byte ranges."""
     vwaps = clock.windows(market._bars(t), ["vwap"], LENGTH, STRIDE, HORIZON)
     samples = vwaps.select(book.sample_key(F.col("symbol"), F.col("start")).alias("key"), F.transform("bars", lambda b: b["vwap"].cast("float")).alias("values"), F.array(F.lit(LENGTH)).alias("shape"), F.to_json(F.struct("symbol", "date")).alias("meta"))
     path = new_path(t.sparkSession, "tars")
-    writers.export_tars(writers.tar_shards(samples, per_shard=500), path)
-    back = readers.read_tar_shards(t.sparkSession, path)
+    writers.write_tar_shards(samples, path, per_shard=500)
+    back = readers.read_tar_ranges(t.sparkSession, path, split_bytes=1_000_000)
     return back.select("key", F.get("shape", F.lit(0)).alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"), F.get_json_object("meta", "$.date").alias("date"))
 
 

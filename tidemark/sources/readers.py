@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.book import date_of_file
+from tidemark.sources import tars
 
-TAR_SCHEMA = "path string, key string, shape array<int>, values array<float>, meta string, corrupt boolean"
 
 
 def read_lake(spark: SparkSession, folder: str, columns: list[str] | None = None, corrupt: bool = False) -> DataFrame:
@@ -69,10 +69,16 @@ def read_equity(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_tar_ranges(spark: SparkSession, folder: str, columns: list[str] | None = None, pattern: str = "*.tar", split_bytes: int = tars.SPLIT_BYTES) -> DataFrame:
+    """Samples of tar shards by byte ranges, from a folder that Arrow's file systems reach; only members that the columns need are read."""
+    fields = [f for f in tars.SCHEMA.split(", ") if columns is None or f.split()[0] in columns]
+    return tars.registered(spark).read.format("tar_shards").schema(", ".join(fields)).option("pattern", pattern).option("split_bytes", split_bytes).load(folder)
+
+
 def read_tar_shards(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:
     """Samples of tar shards: members grouped by key, the array (.npy) as shape and flat values, the record (.json) as text.
 
-    A shard that can't be read gives one row with corrupt set, so that it is seen; an empty one gives none. Shards go to tasks whole.
+    A shard that can't be read gives one row with corrupt set, so that it is seen; an empty one gives none. Shards go to tasks whole, through Spark's file systems; `read_tar_ranges` reads parts of them.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,4 +103,4 @@ def read_tar_shards(spark: SparkSession, folder: str, pattern: str = "*.tar") ->
                 yield pd.DataFrame(rows, columns=["path", "key", "shape", "values", "meta", "corrupt"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "content").mapInPandas(unpack, TAR_SCHEMA)
+    return files.select("path", "content").mapInPandas(unpack, tars.SCHEMA)
