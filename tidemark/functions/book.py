@@ -152,3 +152,20 @@ def coarse(values: Column, k: int) -> Column:
 
 def last_bars(bars: Column, n: int) -> Column:
     return F.when(F.size(bars) >= n, F.slice(bars, -n, n)).otherwise(bars)
+
+
+# The channels of a sample's tensor; two are reserved and zero.
+CHANNELS = ("bid_p", "bid_v", "ask_p", "ask_v", "close", None, None, "delta_p", "v_d", "sigma_d")
+
+
+def sample_tensor(bars: Column, levels: str = "lob") -> Column:
+    """Bars (with a book, close, delta_p, v_d and sigma_d) as a tensor: by bar, level and channel."""
+    side = ("bid_p", "bid_v", "ask_p", "ask_v")
+    of_level = lambda bar, level: F.array(*[F.lit(0.0).cast("float") if c is None else (level if c in side else bar)[c].cast("float") for c in CHANNELS])
+    return F.transform(bars, lambda bar: F.transform(bar[levels], lambda level: of_level(bar, level)))
+
+
+def last_quote(tensor: Column) -> Column:
+    """bid_p1, ask_p1 and macro_v_d of a tensor's last bar, at the first level."""
+    channel = lambda name: F.get(F.get(F.element_at(tensor, -1), F.lit(0)), F.lit(CHANNELS.index(name))).cast("double")
+    return F.struct(channel("bid_p").alias("bid_p1"), channel("ask_p").alias("ask_p1"), channel("v_d").alias("macro_v_d"))

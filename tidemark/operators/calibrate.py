@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def friction(ticks: DataFrame, least_volume: float = 1000.0, low: float = 0.05,
     )
     raw = F.when(F.col("xx") >= 1e-10, F.col("xy") / F.col("xx"))
     fitted = terms.withColumn("raw", raw).withColumn("raw", F.when((F.col("raw") > low) & (F.col("raw") < high), F.col("raw")))
-    middle = fitted.agg(F.coalesce(F.median("raw"), F.lit(default)).alias("m")).first().m
-    return fitted.select("symbol", F.round(F.coalesce("raw", F.lit(middle)), 6).alias("c"), F.col("raw").isNull().alias("is_default"), "runs", "days")
+    middle = fitted.agg(F.coalesce(F.median("raw"), F.lit(default)).alias("_middle"))  # one row
+    return fitted.join(F.broadcast(middle)).select("symbol", F.round(F.coalesce("raw", "_middle"), 6).alias("c"), F.col("raw").isNull().alias("is_default"), "runs", "days")
 
 
 def with_friction(df: DataFrame, registry: DataFrame, default: float = DEFAULT_FRICTION) -> DataFrame:
@@ -71,14 +73,20 @@ def path_efficiency(ticks: DataFrame, threshold: float) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, value: str = "efficiency", lags: int = 150, key: str = "symbol", idx: str = "idx") -> DataFrame:
-    """Biased autocorrelation of each key's series at lags 0..lags; zeros if the series is constant. Joined at the places of the lagged values."""
-    stats = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    centred = series.join(stats, key).select(key, idx, "n", "v", (F.col(value) - F.col("m")).alias("d"))
-    led = centred.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(key, "lag", (F.col(idx) - F.col("lag")).alias(idx), F.col("d").alias("e"))
-    sums = centred.join(led, [key, idx]).groupBy(key, "lag", "n", "v").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
-    spine = stats.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(key, "lag")
-    acf = F.when(F.col("v") > 1e-300, F.col("s") / (F.col("n") * F.col("v"))).otherwise(F.lit(0.0))
-    return spine.join(sums.select(key, "lag", acf.alias("acf")), [key, "lag"], "left").withColumn("acf", F.coalesce("acf", F.lit(0.0)))
+    """Biased autocorrelation of each key's series at lags 0..lags; zeros if the series is constant. One shuffle: a key's series is an array in one task, by its places; a missing place or value adds nothing."""
+
+    def correlate(rows: pd.DataFrame) -> pd.DataFrame:
+        place, x = rows[idx].to_numpy("int64"), rows[value].to_numpy(float)
+        known = np.isfinite(x)
+        centred = np.zeros(place.max() - place.min() + 1)
+        centred[place[known] - place.min()] = x[known] - (x[known].mean() if known.any() else 0.0)
+        spread = (centred**2).sum() / max(known.sum(), 1)
+        sums = np.array([(centred[: len(centred) - k] * centred[k:]).sum() if k < len(centred) else 0.0 for k in range(lags + 1)])
+        acf = sums / (len(rows) * spread) if spread > 1e-300 else np.zeros(lags + 1)
+        return pd.DataFrame({key: [rows[key].iloc[0]] * (lags + 1), "lag": np.arange(lags + 1, dtype=np.int32), "acf": acf})
+
+    kind = series.schema[key].dataType.simpleString()
+    return series.select(key, idx, value).groupBy(key).applyInPandas(correlate, f"`{key}` {kind}, lag int, acf double")
 
 
 def window_length(series: DataFrame, lags: int = 150, level: float = 0.05, least: int = 40, default: int = 160) -> DataFrame:

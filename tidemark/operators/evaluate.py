@@ -182,6 +182,20 @@ def daily_edge_deciles(predictions: DataFrame, min_rows: int = 100, pred: str =
     return cut.groupBy("date", "decile").agg(F.avg(target).alias("m")).groupBy("decile").agg(F.count(F.lit(1)).alias("dates"), F.avg("m").alias("mean_target"))
 
 
+def daily_decile_scores(predictions: DataFrame, min_rows: int = 100, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
+    """Over dates (of enough rows): how many, the mean number of rises among the nine steps between a date's decile means, the share of dates with five or more, and the mean top less the mean bottom decile.
+
+    Deciles are cut by the date's percentile edges; an empty one counts as zero.
+    """
+    rows = _both(predictions, pred, target).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("_n") >= min_rows)
+    edges = rows.groupBy("date").agg(F.percentile(pred, DECILE_SHARES).alias("_edges"))
+    own = rows.join(edges, "date").withColumn("_own", _edge_deciles(F.col(pred), F.col("_edges")))
+    means = [F.coalesce(F.avg(F.when(F.array_contains("_own", d), F.col(target))), F.lit(0.0)).alias(f"_d{d}") for d in range(1, 11)]
+    rises = reduce(lambda a, d: a + (F.col(f"_d{d}") < F.col(f"_d{d + 1}")).cast("int"), range(1, 10), F.lit(0))
+    daily = own.groupBy("date").agg(*means).withColumn("_rises", rises)
+    return daily.agg(F.count(F.lit(1)).alias("dates"), F.avg("_rises").alias("monotonicity"), F.avg((F.col("_rises") >= 5).cast("double")).alias("share_5"), (F.avg("_d10") - F.avg("_d1")).alias("long_short"))
+
+
 def split_ic(predictions: DataFrame, first_out: int = 1594, order: list[str] | None = None) -> DataFrame:
     """Mean daily correlation in and out of sample; a date is in sample if its first row's shard is under `first_out`."""
     first = predictions.groupBy("date").agg(F.min_by("shard_idx", F.struct(*(order or ["symbol"]))).alias("shard"))
@@ -283,6 +297,21 @@ def pooled_means(predictions: DataFrame, pred: str = "pred_bp", target: str = "t
     return reduce(DataFrame.unionByName, parts)
 
 
+def pooling_report(predictions: DataFrame, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
+    """`pooled_means`, and all rows as one group."""
+    rows = _both(predictions, pred, target)
+    whole = rows.agg(F.count(F.lit(1)).alias("_n"), safe_corr(pred, target).alias("ic"))
+    return pooled_means(predictions, pred, target).unionByName(whole.select(F.lit("all").alias("pooled_by"), F.lit(1).cast("long").alias("groups"), "ic"))
+
+
+def signal_resolution(predictions: DataFrame, within: float = 10.0, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
+    """How finely predictions tell rows apart: their interquartile range, the share within so much of their median, and the target's deviation, skewness and excess kurtosis."""
+    low, middle, high = quantiles(predictions, pred, [0.25, 0.5, 0.75])
+    near = F.avg((F.abs(F.col(pred) - F.lit(middle)) <= within).cast("double"))
+    stats = predictions.agg(near.alias("near_median"), F.stddev_pop(target).alias("target_std"), F.skewness(target).alias("target_skew"), F.kurtosis(target).alias("target_kurtosis"))
+    return stats.withColumn("iqr", F.lit(high) - F.lit(low))
+
+
 def quintile_spread(predictions: DataFrame, min_rows: int = 50) -> DataFrame:
     """Over dates: mean and median of the spread between the outer fifths, shares over 25 and over 0, and the median correlation."""
     daily = daily_cross_section(predictions, min_rows, parts=5)

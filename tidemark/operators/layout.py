@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import counted_values
+from tidemark.sources.tars import store
 
 
 def sorted_layout(ticks: DataFrame, files: int, keys: tuple[str, ...] = ("symbol", "date", "seq")) -> DataFrame:
@@ -114,3 +120,32 @@ def reconciled(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def row_counts(table: DataFrame, key: str = "date") -> DataFrame:
     return table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def partition_counts(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Rows of a partitioned Parquet table by its partition columns (all rows without any), from file footers: the aggregate goes down into the scan, which reads no column.
+
+    That takes Spark's newer Parquet reader; it is asked for in a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", True)
+    return own.read.parquet(folder).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def footer_counts(files: DataFrame) -> DataFrame:
+    """path and n of Parquet files (path) that lie where Arrow's file systems reach: tasks read their footers. A file that isn't Parquet has n null."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for path in rows["path"]:
+                fs, at = store(path)
+                try:
+                    with fs.open_input_file(at) as file:
+                        found.append(pq.ParquetFile(file).metadata.num_rows)
+                except pa.ArrowInvalid:
+                    found.append(None)
+            yield pd.DataFrame({"path": rows["path"], "n": pd.array(found, "Int64")})
+
+    return files.select("path").mapInPandas(count, "path string, n long")

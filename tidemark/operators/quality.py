@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.book import is_bad_number
+from tidemark.functions.book import CHANNELS, is_bad_number
 
 
 def _count(c: Column) -> Column:
@@ -65,6 +65,33 @@ def check_windows(windows: DataFrame, length: int) -> DataFrame:
     ])
 
 
+def check_tensors(samples: DataFrame, shape: tuple[int, int, int] = (160, 10, 10), tensor: str = "tensor", most_price: float = 1e7) -> DataFrame:
+    """Shape, type, numbers, quotes and channels of sample tensors (bars x levels x channels), over all samples in one pass."""
+    t, at = F.col(tensor), CHANNELS.index
+    misshapen = t.isNull() | (F.size(t) != shape[0]) | F.exists(t, lambda bar: (F.size(bar) != shape[1]) | F.exists(bar, lambda level: F.size(level) != shape[2]))
+    channel = lambda level, name: F.get(level, F.lit(at(name))).cast("double")
+    levels = F.flatten(t)
+    bad = F.size(F.filter(F.flatten(levels), lambda x: x.isNull() | is_bad_number(x)))
+    sound = lambda p: (p > 0) & ~is_bad_number(p)
+    bids = F.filter(F.transform(levels, lambda x: channel(x, "bid_p")), lambda b: sound(b))
+    depths = F.concat(F.transform(levels, lambda x: channel(x, "bid_v")), F.transform(levels, lambda x: channel(x, "ask_v")))
+    quoted = F.filter(levels, lambda x: sound(channel(x, "bid_p")) & sound(channel(x, "ask_p")))
+    crossed = F.size(F.filter(quoted, lambda x: channel(x, "ask_p") < channel(x, "bid_p")))
+    reserved = [i for i, name in enumerate(CHANNELS) if name is None]
+    used = F.exists(levels, lambda x: reduce(lambda a, i: a | (F.get(x, F.lit(i)) != 0), reserved, F.lit(False)))
+    s = samples.agg(
+        F.count(F.lit(1)).alias("n"), _count(misshapen).alias("misshapen"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"), F.min(F.array_min(bids)).alias("low"), F.max(F.array_max(bids)).alias("high"), F.min(F.array_min(depths)).alias("depth"),
+        F.coalesce(F.sum(F.greatest(F.lit(0), crossed)), F.lit(0)).alias("crossed"), _count(~F.exists(levels, lambda x: channel(x, "close") != 0)).alias("still"), _count(F.coalesce(used, F.lit(False))).alias("used"),
+    )
+    kind = samples.schema[tensor].dataType.simpleString() == "array<array<array<float>>>"
+    c = F.col
+    return _checks(s, [
+        ("rows", "STOP", c("n"), c("n") > 0), ("shape", "STOP", c("misshapen"), c("misshapen") == 0), ("dtype", "STOP", F.lit(int(kind)), F.lit(kind)), ("finite", "STOP", c("bad"), c("bad") == 0), ("bids over 0", "WARNING", c("low"), c("low") > 0),
+        ("bids in range", "WARNING", c("high"), c("high") < most_price), ("depths not negative", "STOP", c("depth"), c("depth") >= 0), ("quotes not crossed", "WARNING", c("crossed"), c("crossed") == 0), ("close not all 0", "WARNING", c("still"), c("still") == 0),
+        ("reserved all 0", "STOP", c("used"), c("used") == 0),
+    ])
+
+
 def check_friction(registry: DataFrame) -> DataFrame:
     s = registry.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.countDistinct(F.round("c", 4)).alias("values"))
     c = F.col

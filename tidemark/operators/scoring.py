@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.calibrate import DEFAULT_FRICTION
+
 Predict = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -48,6 +50,30 @@ def score(samples: DataFrame, predict: Predict, keys: list[str], features: str =
     return scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("pred_bp", "z_sparsity")})
 
 
+def with_defaults(samples: DataFrame, **values) -> DataFrame:
+    """samples with c, target_bp and date, or other named columns, present and without NULL: 0.842, 0 and an empty date where they are missing."""
+    wanted = {"c": DEFAULT_FRICTION, "target_bp": 0.0, "date": ""} | values
+    return samples.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in samples.columns else F.lit(v) for c, v in wanted.items()})
+
+
+def mapped_samples(samples: DataFrame, function: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """Each sample through a function of one's own, from a dict of its columns to one of the schema's; None leaves it out. What `functions.book` has as expressions is faster there."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [out for row in rows.to_dict("records") if (out := function(row)) is not None]
+            if found:
+                yield pd.DataFrame(found)
+
+    return samples.mapInPandas(kernel, schema)
+
+
+def score_stream(samples: DataFrame, predict: Predict, keys: list[str], out: str, checkpoint: str, **options) -> None:
+    """Scores what has arrived in a stream of samples since the last run and adds it to the Parquet table `out`. The checkpoint knows the files that are done: a run that is started again scores each file once, also after a failure half way."""
+    scored = score(samples, predict, keys, **options)
+    scored.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+
+
 def unscored(samples: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The samples of keys (such as dates or shards) that no prediction has yet: what a resumed run has to score."""
     return samples.join(done.select(key).distinct(), key, "left_anti")

@@ -68,6 +68,12 @@ def _daily_features(t: DataFrame) -> DataFrame:
     return _by_cell(topology.daily_features(t, topology.daily_topology(_found(t), ["symbol", "date"]), 5), "symbol", "date", "open_price", "close_price", "triggered_windows")
 
 
+def _check_tensors(t: DataFrame) -> DataFrame:
+    bars = clock.with_book(market._volume_bars(t), t, market._macro(t), 10)
+    found = clock.windows(bars, ["close", "delta_p", "v_d", "sigma_d", "lob"], LENGTH, STRIDE, HORIZON)
+    return quality.check_tensors(found.select(book.sample_tensor(F.col("bars")).alias("tensor")), (LENGTH, 10, 10))
+
+
 def _scored(t: DataFrame) -> DataFrame:
     vwaps = clock.windows(market._bars(t), ["vwap"], LENGTH, STRIDE, HORIZON)
     first = F.get("bars", F.lit(0))["vwap"]
@@ -102,7 +108,7 @@ TICK_OPERATORS = {
     "scored_windows": _scored,
     "tar_round_trip": _tar_round_trip,
 }
-BOOK_OPERATORS = {"landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(_found(t))}
+BOOK_OPERATORS = {"check_tensors": _check_tensors, "landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(_found(t))}
 PREDICTION_OPERATORS = {
     "check_predictions": quality.check_predictions,
     "batch_targets": partial(quality.batch_targets, key="shard_idx"),
@@ -223,7 +229,14 @@ ce as (select {key}, l * 20 + g as cell, case when triggered then coalesce(x[l +
 dt as (select symbol, date, cell::int as cell, count(*) as windows, sum(triggered::int)::bigint as triggered_windows, max(x) as x from ce group by all)"""
 
 
+_TENSORS = f"""{market._DAY}, {market._MACRO}, {market._CLOCK}, {market._TARGET}, wb as (select wt.symbol, start, ba.seq, ba.close from wt join ba on ba.symbol = wt.symbol and ba.bar_id between start and start + 7),
+lv as (select symbol, start, close, {', '.join(f"({x.format(i='i')})::float::double as {c}" for c, x in market._LEVEL.items())} from wb join t using (symbol, seq) cross join (select unnest(range(1, 11)) as i)),
+ts as (select (select count(*) from wt) as n, min(bid_p) filter (bid_p > 0) as low, max(bid_p) filter (bid_p > 0) as high, min(least(bid_v, ask_v)) as depth, sum((bid_p > 0 and ask_p > 0 and ask_p < bid_p)::int) as crossed from lv)"""
+_TENSOR_CHECKS = [("rows", "STOP", "n", "n > 0"), ("shape", "STOP", "0", "true"), ("dtype", "STOP", "1", "true"), ("finite", "STOP", "0", "true"), ("bids over 0", "WARNING", "low", "low > 0"), ("bids in range", "WARNING", "high", "high < 1e7"),
+    ("depths not negative", "STOP", "depth", "depth >= 0"), ("quotes not crossed", "WARNING", "crossed", "crossed = 0"), ("close not all 0", "WARNING", "0", "true"), ("reserved all 0", "STOP", "0", "true")]
+
 ORACLES = {
+    "check_tensors": f"with recursive {TICKS}, {_TENSORS} {_rows('ts', _TENSOR_CHECKS)}",
     "landscapes": f"with {TICKS}, {_topology()} select symbol, date, windows, triggered_windows, cell, {r('x')} as x from dt",
     "velocity_landscapes": f"with {TICKS}, {_topology(5.0)} select symbol, date, windows, triggered_windows, cell, {r('x')} as x from dt",
     "gate_statistics": f"""with {TICKS}, {_topology()} select (select count(*) from tr) as windows, {r('(select avg(triggered::int) from tr)')} as trigger_rate, {r('avg(x)')} as mean, {r('stddev_pop(x)')} as std, {r('min(x)')} as least, {r('max(x)')} as most from ce where triggered""",

@@ -59,6 +59,7 @@ OPERATORS = {
     "daily_summary": lambda df: ev.series_summary(ev.daily_cross_section(df), ["ic", "rank_ic", "spread", "monotonicity"]),
     "global_against_daily": ev.global_against_daily,
     "daily_edge_deciles": ev.daily_edge_deciles,
+    "daily_decile_scores": ev.daily_decile_scores,
     "split_ic": partial(ev.split_ic, first_out=800, order=ORDER),
     "guarded_shard_ic": partial(ev.guarded_ic, key="shard_idx"),
     "validation_summary": ev.validation_summary,
@@ -72,6 +73,8 @@ OPERATORS = {
     "tail_capture": ev.tail_capture,
     "ic_drivers": ev.ic_drivers,
     "pooled_means": ev.pooled_means,
+    "pooling_report": ev.pooling_report,
+    "signal_resolution": ev.signal_resolution,
     "quintile_spread": ev.quintile_spread,
     "prediction_buckets": ev.prediction_buckets,
     "daily_zscore": lambda df: ev.daily_zscore(df).select("date", "symbol", "l_orderkey", "l_linenumber", "l_partkey", "z"),
@@ -156,6 +159,11 @@ select {', '.join(f'{r(c)} as {c}' for c in ('pooled_ic', 'pooled_rank_ic', 'poo
     "daily_edge_deciles": f"""with {P}, big as (select * from (select *, count(*) over (partition by date) as c from p) where c >= 100), ed as (select date, quantile_cont(x, {SHARES}) as e from big group by date),
 q as (select big.*, e from big join ed using (date)), dec as (select * from ({_EDGE}) where inside), dm as (select date, d, avg(y) as m from dec group by date, d)
 select d::int as decile, count(*) as dates, {r('avg(m)')} as mean_target from dm group by d""",
+    "daily_decile_scores": f"""with {P}, big as (select * from (select *, count(*) over (partition by date) as c from p) where c >= 100), ed as (select date, quantile_cont(x, {SHARES}) as e from big group by date),
+q as (select big.*, e from big join ed using (date)), dec as (select * from ({_EDGE}) where inside), dm as (select date, d::int as d, avg(y) as m from dec group by all),
+gd as (select date, g.d, coalesce(m, 0) as m, lead(coalesce(m, 0)) over (partition by date order by g.d) as nx from ed cross join (select unnest(range(1, 11))::int as d) g left join dm using (date, d)),
+rs as (select date, sum((m < nx)::int) as rises, max(m) filter (d = 10) as hi, max(m) filter (d = 1) as lo from gd group by date)
+select count(*) as dates, {r('avg(rises)')} as monotonicity, {r('avg((rises >= 5)::int)')} as share_5, {r('avg(hi) - avg(lo)')} as long_short from rs""",
     "split_ic": f"""with {P}, f as (select date, arg_min(shard_idx, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) as shard from p group by date), dd as {_ic('date')}
 select case when shard < 800 then 'in' else 'out' end as part, count(ic) as dates, {r('avg(ic)')} as ic from dd join f using (date) group by 1""",
     "guarded_shard_ic": f"with {P} select shard_idx, count(*) as n, case when count(*) < 2 then 0 else {r('covar_pop(x, y) / (sqrt(var_pop(x) + 1e-8) * sqrt(var_pop(y) + 1e-8))')} end as ic from p group by shard_idx",
@@ -179,6 +187,9 @@ select tail, count(*) as n, {r('avg((x >= top)::int)')} as share, {r('avg((x >=
     "ic_drivers": f"""with {P}, dd as {_ic('date', least=50)}, s as (select date, stddev_pop(x) as ps, stddev_pop(y) as ts, avg(macro_v_d) as vol from p group by date), j as (select * from dd join s using (date) where ic is not null)
 select {r(corr('ic', 'ps'))} as ic_pred_std, {r(corr('ic', 'ts'))} as ic_target_std, {r(corr('ic', 'n'))} as ic_n, {r(corr('ic', 'vol'))} as ic_volume from j""",
     "pooled_means": f"with {P} select 'date' as pooled_by, count(*) as groups, {r('avg(ic)')} as ic from {_ic('date', least=3)} where ic is not null union all select 'shard_idx', count(*), {r('avg(ic)')} from {_ic('shard_idx', least=3)} where ic is not null",
+    "pooling_report": f"with {P} select 'date' as pooled_by, count(*) as groups, {r('avg(ic)')} as ic from {_ic('date', least=3)} where ic is not null union all select 'shard_idx', count(*), {r('avg(ic)')} from {_ic('shard_idx', least=3)} where ic is not null union all select 'all', 1, {r(corr('x', 'y'))} from p",
+    "signal_resolution": f"""with {P}, q as (select quantile_cont(x, [0.25, 0.5, 0.75]) as q from p), m as (select p.*, q, avg(y) over () as mu from p, q)
+select {r('avg((abs(x - q[2]) <= 10)::int)')} as near_median, {r('stddev_pop(y)')} as target_std, {r('avg((y - mu) ** 3) / stddev_pop(y) ** 3')} as target_skew, {r('kurtosis_pop(y)')} as target_kurtosis, {r('any_value(q[3] - q[1])')} as iqr from m""",
     "quintile_spread": f"""{_WITH_DAILY}, {_cut_daily(5)} select count(*) as dates, {r('avg(spread)')} as mean_spread, {r('median(spread)')} as median_spread, {r('avg((spread > 25)::int)')} as over_25, {r('avg((spread > 0)::int)')} as over_0,
  {r('median(ic)')} as median_ic from day join shape using (date)""",
     "prediction_buckets": f"""with {P}, c as (select s as share, (select quantile_cont(x, 0.9) from p) as e from (values (0.1::double)) t(s) union all select 0.2, (select quantile_cont(x, 0.8) from p) union all select 0.5, (select quantile_cont(x, 0.5) from p))

@@ -6,9 +6,11 @@ import io
 import json
 import tarfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,39 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path) if path.endswith(".json") else spark.read.parquet(path)
 
 
+def read_chunks(spark: SparkSession, folder: str, pattern: str = "chunk_*.parquet") -> DataFrame:
+    """The chunk files of a folder as one table."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{pattern}")
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """Tables of the same columns, in any order, as one; an error names what a table has or lacks."""
+    for i, table in enumerate(tables):
+        if odd := set(table.columns) ^ set(tables[0].columns):
+            raise ValueError(f"table {i} has other columns: {', '.join(sorted(odd))}")
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _object(spark: SparkSession, path: str) -> DataFrame | None:
+    """A JSON object as a row of one, or None where there is no such file."""
+    try:
+        return spark.read.option("multiLine", True).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_report(spark: SparkSession, folder: str, results: str = "results.json", meta: str = "meta.json") -> DataFrame:
+    """The results of a run as one row, with the values of its meta file, which lies in the same folder or, where it doesn't, in the one above. Without one the results stand alone; a value that both have is the results'."""
+    found = _object(spark, f"{folder.rstrip('/')}/{results}")
+    if found is None:
+        raise FileNotFoundError(f"{folder} has no {results}")
+    places = (folder.rstrip("/"), folder.rstrip("/").rpartition("/")[0])
+    extra = next((m for m in (_object(spark, f"{place}/{meta}") for place in places) if m is not None), None)
+    return found if extra is None else found.join(F.broadcast(extra.drop(*found.columns)))  # one row with one row
+
+
 def read_registry(spark: SparkSession, path: str, global_key: str = "__GLOBAL__") -> DataFrame:
     """(symbol, c) of a JSON object of coefficients; the global one is left out, and read by `global_friction`."""
     pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("symbol", "c"))
