@@ -9,6 +9,8 @@ Reading: all segments are parsed; each scan adds its part to the coefficient arr
 width is read with numpy; any other goes through the bit reader with its full rules (bands, end-of-band runs, zero runs, refinement).
 Coefficients are dequantised, inverse-transformed in numpy, chroma is doubled, and colours become 8-bit RGB, height x width x 3.
 
+The tensors are columns of the result, which is their stored form; features come from the same arrays in the same pass. JPEGs go from task to task in a table.
+
 Payload: the UTF-8 bytes of a text and blanks up to a positive multiple of 192. Null text: empty, so 192 blanks. Equal texts give equal
 values; repeated rows are stored each; an empty table gives an empty result. Other columns are left out but for `keep`.
 """
@@ -26,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import sliced
+
 UNIT = 192
 PAD = b" "
 PER_BLOCK = 63
@@ -313,7 +317,7 @@ def store_media(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     """The columns of keep, n_bytes and media (a progressive JPEG of the text)."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             sizes, media = [], []
             for value in batch.column(len(keep)):
                 size, payload = text_payload(value.as_py())

@@ -65,9 +65,9 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract's columns, then the tensors: height, width and rgb."""
     stored = written(media.store_media(_table(spark, folder, "documents").select("doc_id", "text")), "media")
-    columns = media.read_media(stored, tensors=False).columns
-    return media.described(written(media.read_media(stored), "tensors")).select(columns)
+    return media.read_media(stored)
 
 
 def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,10 +173,10 @@ select doc_id, {', '.join(f"len(list_filter(spans, lambda s: s.k = '{r.kind}'))
 
 ORACLES["op5_secret_scans"] = _secret_sql()
 ORACLES["op9_topk"] = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+with v as (select vec_id, row_number() over () as place, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+s as (select q.vec_id as query_id, q.place, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.place <> c.place where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by place order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
