@@ -10,7 +10,7 @@
    c. in the buckets left, all pairs of different components whose signatures agree in so many minima as the asked similarity leads to, less
       four standard deviations, or more.
    Pairs within a component are not made, however large its buckets are. A bucket of more than `BLOCK` members is compared in pairs of
-   blocks, so that a task holds two blocks at most; no candidate is left out.
+   blocks, dealt by hash in groups of about two blocks' rows; no candidate is left out.
 4. Components come from alternating large-star and small-star passes over the confirmed links.
 
 Texts without words are linked with nothing. Null text: empty. Rows that repeat an id are one node: links join the classes of their texts. A row without an id stays alone, with
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, release, same_table, written
+from tidemark.llm.common import dropped, release, same_table, sliced, written
 
 WORDS = 5
 SIMILAR = 85  # per cent
@@ -130,7 +130,7 @@ def _sketches(documents: DataFrame, key: str, text: str, percent: int) -> DataFr
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _functions(n_bands, n_rows)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, first, second, bands, signatures = [], [], [], [], []
             for value in batch.column(1):
                 hashes = shingles(value.as_py())
@@ -158,7 +158,7 @@ def _sets(documents: DataFrame) -> DataFrame:
     """(id, shingles) of (id, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
         release()
@@ -258,11 +258,13 @@ def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFram
     """Pairs (a, b) of different components that share a bucket; a < b."""
     part = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")) if labels is not None else members.withColumn("component", F.col("id"))
     sizes = part.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "bucket", "members")
+    sizes = written(sizes, "buckets")
     left = part.join(sizes, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = left.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     signed = spread.select("band", "bucket", "lo", "hi", "block", "id", "component").join(sketches.select("id", "n", "signature"), "id")
-    chunks = max(1, members.count() // (2 * block))
+    copies = sizes.agg(F.sum(F.col("members") * F.ceil(F.col("members") / block))).first()[0] or 0  # rows of `spread`
+    chunks = max(1, copies // (2 * block))
     chunked = signed.withColumn("chunk", F.pmod(F.xxhash64("band", "bucket", "lo", "hi"), F.lit(chunks)))
     return chunked.groupBy("chunk").applyInPandas(_compared(every, least, percent), "a long, b long").distinct()
 

@@ -66,7 +66,7 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     """The contract's columns, then the tensors: height, width and rgb."""
-    stored = written(media.store_media(_table(spark, folder, "documents").select("doc_id", "text")), "media")
+    stored = written(media.store_media(_table(spark, folder, "documents").select("doc_id", "text")), "media", "zstd")
     return media.read_media(stored)
 
 

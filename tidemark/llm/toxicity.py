@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import release
+from tidemark.llm.common import release, sliced
 
 
 # Sets of interchangeable group terms, in English, Spanish, French and German.
@@ -170,12 +170,12 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text", name
     """documents with the score (in column `name`), from 0 to 1, higher for likelier toxic."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # its weights are bounded by the sample of the fit
     schema = T.StructType([f for f in documents.schema.fields if f.name.lower() != name.lower()])
-    at = documents.columns.index(text)
+    at = [c.lower() for c in documents.columns].index(text.lower())
     kept = [i for i, c in enumerate(documents.columns) if c.lower() != name.lower()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = shared.value.score
-        for batch in batches:
+        for batch in sliced(batches, at):
             values = pa.array([score_of(words(x.as_py())) for x in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*schema.names, name])
         release()
