@@ -1,7 +1,7 @@
 """Ranks and quantiles over a whole table without a window in one partition.
 
-Values are first counted, so that ties and hot values are one row; the counts are split into ranges at approximate quantiles, each
-range sums up on its own, and only the totals of the ranges (at most `PARTS`) pass through the driver.
+Values are first counted, so that ties and hot values are one row, and the counts are written once, in ranges of their values; each
+range sums up on its own, and only the totals of the ranges (one for each partition) pass through the driver.
 """
 
 from __future__ import annotations
@@ -11,23 +11,23 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+from tidemark.sources.scratch import dropped, same_table, written
 
 
-def counted_values(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, before): the distinct values, their rows, and the rows of smaller values. NULL values are left out."""
+def _counted(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """`counted_values`, and the number of rows."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.agg(F.percentile_approx("value", [i / PARTS for i in range(1, PARTS)], 1000).alias("b")).first().b or []
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    ranged = counts.withColumn("part", F.size(F.filter(edges, lambda b: b < F.col("value"))))
+    ranged = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "counts")
     totals = {r.part: r.n for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    order = sorted(totals)
-    start = dict(zip(order, accumulate([0, *(totals[p] for p in order)])))
-    offset = F.lit(0).cast("long")
-    for part in order:
-        offset = F.when(F.col("part") == part, F.lit(start[part])).otherwise(offset)
+    starts = list(accumulate([0, *(totals.get(part, 0) for part in range(max(totals, default=-1) + 1))]))
     earlier = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.select("value", "n", (offset + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("before"))
+    before = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("part")) + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return same_table(ranged.select("value", "n", before.alias("before")), ranged), starts[-1]
+
+
+def counted_values(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, before): the distinct values, their rows, and the rows of smaller values. NULL values are left out."""
+    return _counted(df, column)[0]
 
 
 def with_average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -38,12 +38,13 @@ def with_average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation, as `percentile`, of a column over all rows."""
-    total = df.filter(F.col(column).isNotNull()).count()
+    counts, total = _counted(df, column)
     if not total:
         return [None] * len(shares)
     places = [(total - 1) * q for q in shares]
     wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
     hit = F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("n")))
-    found = [(r.before, r.before + r.n, r.value) for r in counted_values(df, column).filter(hit).collect()]
+    found = [(r.before, r.before + r.n, r.value) for r in counts.filter(hit).collect()]
+    dropped(counts)
     at = {w: next(float(v) for lo, hi, v in found if lo <= w < hi) for w in wanted}
     return [at[int(p)] + (at[min(int(p) + 1, total - 1)] - at[int(p)]) * (p - int(p)) for p in places]
