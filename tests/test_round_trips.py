@@ -149,6 +149,17 @@ def doubled(sample):
     return None if sample["values"] is None else {"key": sample["key"], "total": float(sum(sample["values"]) * 2)}
 
 
+def test_folders_are_reconciled(spark, tmp_path):
+    for folder, files in {"a": {"x.tar": 3, "y.tar": 5, "only.tar": 1}, "b": {"x.tar": 3, "y.tar": 4, "more.tar": 2}}.items():
+        (tmp_path / folder).mkdir()
+        for name, size in files.items():
+            (tmp_path / folder / name).write_bytes(b"x" * size)
+    found = layout.reconciled(*(readers.listing(spark, str(tmp_path / folder), "*.tar") for folder in "ab")).collect()
+    assert {(r.name, r.local_length, r.remote_length, r.status) for r in found} == {("y.tar", 5, 4, "size differs"), ("only.tar", 1, None, "missing"), ("more.tar", None, 2, "extra")}
+    checks = {r.check: r.met for r in quality.check_files(readers.listing(spark, str(tmp_path / "a")), least_files=3, small=2).collect()}
+    assert checks == {"files": True, "no empty file": True, "small files": False, "total size": True}
+
+
 def test_dates_and_numbers(spark):
     row = spark.range(1).select(
         book.date_or_time_prefix(F.lit(None).cast("string"), F.lit("2024-01-05 09:30:00")).alias("a"), book.date_or_time_prefix(F.lit("d"), F.lit("2024")).alias("b"),

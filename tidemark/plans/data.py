@@ -108,7 +108,7 @@ TICK_OPERATORS = {
     "scored_windows": _scored,
     "tar_round_trip": _tar_round_trip,
 }
-BOOK_OPERATORS = {"check_tensors": _check_tensors, "landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(_found(t))}
+BOOK_OPERATORS = {"check_book": quality.check_ticks, "check_tensors": _check_tensors, "landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(_found(t))}
 PREDICTION_OPERATORS = {
     "check_predictions": quality.check_predictions,
     "batch_targets": partial(quality.batch_targets, key="shard_idx"),
@@ -190,6 +190,9 @@ _Q = "qt as (select *, (100 * ((l_partkey + 1) % 50))::double as bv, (100 * ((l_
 _QT = f"""{_Q}, tk as (select count(*) as n, min(least(nullif(bid_p1, 0), nullif(ask_p1, 0))) as low, max(greatest(bid_p1, ask_p1)) as high, min(least(bv, av)) as dep, sum((bid_p1 > 0 and ask_p1 > 0)::int) as quoted, sum((bid_p1 > 0 and ask_p1 > 0 and ask_p1 < bid_p1)::int) as crossed, count(distinct symbol) as sy from qt)"""
 _TICK_CHECKS = _rows("tk", [("rows", "STOP", "n", "n > 0"), ("finite numbers", "STOP", "0", "true"), ("prices over 0", "STOP", "low", "low > 0"), ("prices in range", "STOP", "high", "high < 1e7"), ("depths not negative", "STOP", "dep", "dep >= 0"),
     ("quotes not crossed", "WARNING", "crossed / quoted", "crossed = 0"), ("prices not all 0", "STOP", "1", "true"), ("dates present", "STOP", "0", "true"), ("symbols", "WARNING", "sy", "sy > 1")])
+_BOOK = """lv as (select *, price * (1 - 0.001::double * i) as bp, price * (1 + case when i = 1 and l_linenumber = 5 then -0.001::double else 0.001::double * i end) as ap, (100 * ((l_partkey + i) % 50))::double as bv, (100 * ((l_suppkey * 7 + l_orderkey + i) % 50))::double as av
+ from t cross join (select unnest(range(1, 11)) as i)),
+tk as (select (select count(*) from t) as n, min(least(nullif(bp, 0), nullif(ap, 0))) as low, max(greatest(bp, ap)) as high, min(least(bv, av)) as dep, sum((bp > 0 and ap > 0)::int) as quoted, sum((bp > 0 and ap > 0 and ap < bp)::int) as crossed, count(distinct symbol) as sy from lv)"""
 _BARS = f"{market._DAY}, {market._MACRO}, {market._BUCKET}, {market._BARS}"
 _BK = f"{_BARS}, bs as (select count(*) as n, avg(delta_p) as dp, avg(v_d) as v, stddev_pop(v_d) as vs, avg(sigma_d) as s, stddev_pop(sigma_d) as ss from ba join ma using (symbol, date))"
 _BAR_CHECKS = _rows("bs", [("rows", "STOP", "n", "n > 0"), ("finite vwap", "STOP", "0", "true"), ("moves not all 0", "STOP", "1", "true"), ("mean move under 100", "WARNING", "dp", "abs(dp) < 100"), ("volume over 0", "STOP", "v", "v > 0"), ("volume varies", "WARNING", "vs", "vs > 0"),
@@ -247,6 +250,7 @@ select symbol, date, {r('open_price')} as open_price, {r('close_price')} as clos
     "stream_windows": f"""with recursive {_EVENT_BARS}, {market._TARGET} select wt.symbol, start, wt.date, {r('target_bp')} as target_bp, ba.bar_id, {', '.join(f"{r(c)} as {c}" for c in ('close', 'vwap', 'v_d', 'sigma_d'))}
  from wt join ba on ba.symbol = wt.symbol and ba.bar_id between start and start + 7""",
     "check_ticks": f"with {TICKS}, {_QT} {_TICK_CHECKS}",
+    "check_book": f"with {TICKS}, {_BOOK} {_TICK_CHECKS}",
     "check_bars": f"with {TICKS}, {_BK} {_BAR_CHECKS}",
     "check_windows": f"""with {TICKS}, {market._BUCKET}, {market._BARS}, {market._TARGET}, w as (select count(*) as n, max(abs(target_bp)) as la, avg(target_bp) as mu, avg((target_bp <> 0)::int) as sh, bool_or(target_bp > 0) and bool_or(target_bp < 0) as bo from wt) """
     + _rows("w", [("rows", "STOP", "n", "n > 0"), ("bars in each", "STOP", "0", "true"), ("target under 5000", "WARNING", "la", "la < 5000"), ("target not all 0", "STOP", "1", "true"), ("both signs", "STOP", "bo::int", "bo"), ("mean target under 50", "WARNING", "mu", "abs(mu) < 50"), ("half not 0", "WARNING", "sh", "sh >= 0.5")]),

@@ -91,7 +91,7 @@ def _manifold(t: DataFrame) -> DataFrame:
     """Every feature of every bar and level of windows of five ticks of a day."""
     day = Window.partitionBy("symbol", "date").orderBy("seq")
     moves = t.withColumn("delta_p", F.coalesce(F.col("price") - F.lag("price").over(day), F.lit(0.0))).join(_macro(t).select("symbol", "date", "v_d", "sigma_d"), ["symbol", "date"])
-    ready = moves.select("symbol", "date", "seq", F.col("price").alias("close"), book.pack_book(2).alias("lob"), book.implied_quantity(F.col("delta_p"), F.col("sigma_d"), F.col("v_d"), F.lit(0.842)).alias("q_hat"), "v_d", "sigma_d")
+    ready = moves.select("symbol", "date", "seq", F.col("price").alias("close"), book.pack_book(10).alias("lob"), book.implied_quantity(F.col("delta_p"), F.col("sigma_d"), F.col("v_d"), F.lit(0.842)).alias("q_hat"), "v_d", "sigma_d")
     bars = clock.tumbling(ready, ["symbol", "date"], "seq", 5).groupBy("symbol", "date", "window").agg(F.sort_array(F.collect_list(F.struct("seq", "close", "lob", "q_hat", "v_d", "sigma_d"))).alias("bars"))
     levels = bars.select("symbol", "date", "window", F.posexplode(book.manifold(F.col("bars"), macro=("v_d", "sigma_d"))).alias("bar", "levels"))
     flat = levels.select("symbol", "date", "window", "bar", F.posexplode("levels").alias("level", "x"))
@@ -122,7 +122,7 @@ OPERATORS = {
     "volume_bars": lambda t: _off_edges(_volume_bars(t)),
     "volume_windows": lambda t: _off_edges(_volume_windows(t)),
 }
-QUERIES = {name: partial(_on_ticks, operator, 10 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": partial(_on_ticks, _manifold, 2), "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
+QUERIES = {name: partial(_on_ticks, operator, 10 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": partial(_on_ticks, _manifold, 10), "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
 
 _DAY = "d as (select symbol, date, sum(vol_tick) as volume, max(case when price > 0 then price end) as high, min(case when price > 0 then price end) as low, count(*) as ticks from t group by symbol, date)"
 _MACRO = """po as (select symbol, date, avg(volume) over (partition by symbol order by date rows between 2 preceding and current row) as m from d where volume > 0),
@@ -203,7 +203,7 @@ select symbol, start, wb.date, {steady('target_bp')} as target_bp, place, bar_id
  {', '.join(f"{steady('(' + ' + '.join(f'({x.format(i=i)})::float::double * {i}' for i in range(1, 11)) + ')')} as {c}" for c, x in _LEVEL.items())} from wb join t using (symbol, seq)""",
     "window_manifold": f"""with {TICKS}, {_DAY}, {_MACRO}, w as (select t.*, v_d, sigma_d, (row_number() over (partition by symbol, date order by seq) - 1) // 5 as "window", coalesce(price - lag(price) over (partition by symbol, date order by seq), 0) as dp from t join ma using (symbol, date)),
 x as (select *, count(*) over (partition by symbol, date, "window") as n, (row_number() over o - 1)::int as bar, first_value(price) over o as p0, sign(dp) * (abs(dp) / (0.842::double * sigma_d + 1e-8)) ** 2 * (v_d + 1e-8) as q from w window o as (partition by symbol, date, "window" order by seq)),
-y as (select *, unnest([0, 1])::int as level from x where n = 5),
+y as (select *, unnest(range(10))::int as level from x where n = 5),
 z as (select *, (price * (1 - 0.001::double * (level + 1)))::float::double as b, (price * (1 + case when level = 0 and l_linenumber = 5 then -0.001::double else 0.001::double * (level + 1) end))::float::double as a,
  (100 * ((l_partkey + level + 1) % 50))::double as bv, (100 * ((l_suppkey * 7 + l_orderkey + level + 1) % 50))::double as av from y),
 m as (select *, greatest((a + b) / 2, 1e-6) as mid, least(greatest(q, -1e12), 1e12) as s from z)
