@@ -160,6 +160,13 @@ def test_folders_are_reconciled(spark, tmp_path):
     assert checks == {"files": True, "no empty file": True, "small files": False, "total size": True}
 
 
+def test_sampled_files_are_the_same_again(spark):
+    listing = spark.range(300).selectExpr("concat('f', id % 250) as path")
+    first = sorted(r.path for r in layout.sampled_files(listing, 0.04).collect())
+    assert len(set(first)) == 10 and first == sorted(r.path for r in layout.sampled_files(listing.repartition(3), 0.04).collect())
+    assert layout.sampled_files(listing.limit(1), 0.01).count() == 1 and first != sorted(r.path for r in layout.sampled_files(listing, 0.04, seed=8).collect())
+
+
 def test_dates_and_numbers(spark):
     row = spark.range(1).select(
         book.date_or_time_prefix(F.lit(None).cast("string"), F.lit("2024-01-05 09:30:00")).alias("a"), book.date_or_time_prefix(F.lit("d"), F.lit("2024")).alias("b"),

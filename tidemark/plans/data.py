@@ -74,22 +74,61 @@ def _check_tensors(t: DataFrame) -> DataFrame:
     return quality.check_tensors(found.select(book.sample_tensor(F.col("bars")).alias("tensor")), (LENGTH, 10, 10))
 
 
-def _scored(t: DataFrame) -> DataFrame:
+MODEL, SCORED = scoring.LinearModel([0.1, -0.2, 0.3, 0.05]), ["symbol", "start", "date"]
+
+
+def _samples(t: DataFrame) -> DataFrame:
     vwaps = clock.windows(market._bars(t), ["vwap"], LENGTH, STRIDE, HORIZON)
     first = F.get("bars", F.lit(0))["vwap"]
     features = F.transform(book.last_bars(F.col("bars"), 4), lambda b: book.log_return(b["vwap"], first))
-    samples = vwaps.select("symbol", "start", "date", features.alias("features"))
-    return scoring.score(samples, scoring.LinearModel([0.1, -0.2, 0.3, 0.05]), ["symbol", "start", "date"], threshold=1.0)
+    return vwaps.select("symbol", "start", "date", features.alias("features"))
+
+
+def _scored(t: DataFrame) -> DataFrame:
+    return scoring.score(_samples(t), MODEL, SCORED, threshold=1.0)
+
+
+def _streamed_scores(t: DataFrame) -> DataFrame:
+    """The same scores from a lake of samples to which files are added between runs of a stream."""
+    spark, samples = t.sparkSession, written(_samples(t), "samples")
+    lake, out, state = (new_path(spark, n) for n in ("lake", "scores", "scoring"))
+    for part in ("date < '19950101'", "date >= '19950101'"):
+        samples.filter(part).write.mode("append").parquet(lake)
+        scoring.score_stream(spark.readStream.schema(samples.schema).parquet(lake), MODEL, SCORED, out, state, threshold=1.0)
+    return spark.read.schema("symbol string, start long, date string, pred_bp double, z_sparsity double").parquet(out)
+
+
+def _counts_from_footers(t: DataFrame) -> DataFrame:
+    path = new_path(t.sparkSession, "by_date")
+    t.select("date", "seq").repartition("date").write.partitionBy("date").parquet(path)
+    return layout.partition_counts(t.sparkSession, path, ["date"]).select(F.col("date").cast("string").alias("date"), "n")
+
+
+def _tar_samples(t: DataFrame) -> DataFrame:
+    vwaps = clock.windows(market._bars(t), ["vwap"], LENGTH, STRIDE, HORIZON)
+    return vwaps.select(book.sample_key(F.col("symbol"), F.col("start")).alias("key"), F.transform("bars", lambda b: b["vwap"].cast("float")).alias("values"), F.array(F.lit(LENGTH)).alias("shape"), F.to_json(F.struct("symbol", "date")).alias("meta"))
+
+
+def _tar_rows(back: DataFrame) -> DataFrame:
+    return back.select("key", F.get("shape", F.lit(0)).alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"), F.get_json_object("meta", "$.date").alias("date"))
 
 
 def _tar_round_trip(t: DataFrame) -> DataFrame:
     """Windows to tar shards and back, by byte ranges."""
-    vwaps = clock.windows(market._bars(t), ["vwap"], LENGTH, STRIDE, HORIZON)
-    samples = vwaps.select(book.sample_key(F.col("symbol"), F.col("start")).alias("key"), F.transform("bars", lambda b: b["vwap"].cast("float")).alias("values"), F.array(F.lit(LENGTH)).alias("shape"), F.to_json(F.struct("symbol", "date")).alias("meta"))
     path = new_path(t.sparkSession, "tars")
-    writers.write_tar_shards(samples, path, per_shard=500)
-    back = readers.read_tar_ranges(t.sparkSession, path, split_bytes=1_000_000)
-    return back.select("key", F.get("shape", F.lit(0)).alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"), F.get_json_object("meta", "$.date").alias("date"))
+    writers.write_tar_shards(_tar_samples(t), path, per_shard=500)
+    return _tar_rows(readers.read_tar_ranges(t.sparkSession, path, split_bytes=1_000_000))
+
+
+def _merged_shards(t: DataFrame) -> DataFrame:
+    """The shards of three workers, each with a part of the symbols, merged into one folder and read back."""
+    spark, samples = t.sparkSession, written(_tar_samples(t), "samples")
+    outputs = [new_path(spark, f"worker{i}") for i in range(3)]
+    for i, output in enumerate(outputs):
+        writers.write_tar_shards(samples.filter(F.pmod(F.crc32(F.substring("key", 1, 6)), F.lit(3)) == i), output, per_shard=500)
+    path = new_path(spark, "merged")
+    writers.merge_shards(spark, outputs, path)
+    return _tar_rows(readers.read_tar_ranges(spark, path, split_bytes=1_000_000))
 
 
 TICK_OPERATORS = {
@@ -107,6 +146,9 @@ TICK_OPERATORS = {
     "sorted_layout": _sorted_layout,
     "scored_windows": _scored,
     "tar_round_trip": _tar_round_trip,
+    "merged_shards": _merged_shards,
+    "streamed_scores": _streamed_scores,
+    "counts_from_footers": _counts_from_footers,
 }
 BOOK_OPERATORS = {"check_book": quality.check_ticks, "check_tensors": _check_tensors, "landscapes": _landscapes, "daily_features": _daily_features, "velocity_landscapes": partial(_landscapes, velocity=5.0), "gate_statistics": lambda t: topology.gate_statistics(_found(t))}
 PREDICTION_OPERATORS = {
@@ -281,3 +323,4 @@ select symbol, start, date, {r('list_sum(z) * 10000')} as pred_bp, {r('len(list_
     "reconciled": """with a as (select (o_orderkey % 3000)::varchar as name, sum(o_custkey)::bigint as l from orders group by 1), b as (select (o_orderkey % 2900)::varchar as name, sum(o_custkey)::bigint as l from orders where o_orderkey % 7 <> 0 group by 1)
 select name, a.l as local_length, b.l as remote_length, case when b.l is null then 'missing' when a.l is null then 'extra' else 'size differs' end as status from a full join b using (name) where a.l is distinct from b.l""",
 }
+ORACLES |= {same: ORACLES[name] for same, name in {"merged_shards": "tar_round_trip", "streamed_scores": "scored_windows", "counts_from_footers": "row_counts"}.items()}
