@@ -8,7 +8,8 @@
    a. every class with the smallest of its bucket;
    b. in buckets that still hold several components, every class with the one of another component whose signature is nearest;
    c. in the buckets left, all pairs of different components whose signatures agree in so many minima as the asked similarity leads to, less
-      four standard deviations, or more.
+      four standard deviations, or more, first by the minima of the bands and then by 1024 others, which only the members of these buckets
+      get: so texts that share much, but too little, are told apart where they are compared, and don't become rows.
    Pairs within a component are not made, however large its buckets are. A bucket of more than `BLOCK` members is compared in pairs of
    blocks, dealt by hash in groups of about two blocks' rows; no candidate is left out.
 4. Components come from alternating large-star and small-star passes over the confirmed links.
@@ -35,6 +36,7 @@ WORDS = 5
 SIMILAR = 85  # per cent
 HIT, MISS = 0.3, 1 / 500_000  # chance to share one band, at least, and to share none, at most, at the asked similarity
 DEVIATIONS = 4
+FINE = 1024  # minima that tell the last round's pairs apart
 BLOCK = 1024
 HOT_KEYS = 1000  # keys with more than this part of all rows are joined by broadcast: there are fewer than that
 SMALL = 1_000_000  # links that one task can take, whatever their keys
@@ -206,11 +208,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def least_fine(percent: int) -> float:
+    """The least agreement of fine signatures for sets of this similarity: bytes of different minima are equal once in 256 times."""
+    agree = percent / 100 + (1 - percent / 100) / 256
+    return agree - DEVIATIONS * math.sqrt(agree * (1 - agree) / FINE)
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """(id, n, fine): a byte of each of FINE further minima."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.asarray(x.values).view(np.uint64) for x in batch.column(1)]
+            fine = [minima(h, FINE, 1).astype(np.uint8).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(fine, pa.binary())], ["id", "n", "fine"])
+        release()
+
+    return sets.mapInArrow(sketch, "id long, n long, fine binary")
+
+
 def _size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarray, signatures: np.ndarray, band: int, every: bool, least: float, percent: int) -> set[tuple[int, int]]:
+def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarray, signatures: np.ndarray, band: int, every: bool, least: float, percent: int, fine: np.ndarray | None = None) -> set[tuple[int, int]]:
     """Pairs of different components in one bucket's block, or pair of blocks, by signature: the nearest for each member, or all.
 
     A pair belongs to the first band that it shares, so that it is made in one bucket only.
@@ -230,6 +251,9 @@ def _pairs_of(ids: np.ndarray, part: np.ndarray, n: np.ndarray, block: np.ndarra
         agree = same.mean(1)
         ok = (agree >= least) & (same.reshape(-1, n_bands, n_rows).all(2).argmax(1) == band)
         at, agree = at[ok], agree[ok]
+        if fine is not None and len(at):
+            close = (fine[others][at] == fine[i]).mean(1) >= least_fine(percent)
+            at, agree = at[close], agree[close]
         if len(at) and not every:
             at = at[[agree.argmax()]]
         pairs.update((int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[others][at])
@@ -241,20 +265,22 @@ def _compared(every: bool, least: float, percent: int):
     group = ["band", "bucket", "lo", "hi"]
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates([*group, "id", "signature"]).sort_values([*group, "id"])
+        signs = ["signature", "fine"] if every else ["signature"]
+        rows = rows.drop_duplicates([*group, "id", *signs]).sort_values([*group, "id"])
         keys = rows[group].to_numpy()
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(rows)]
         columns = [rows[c].to_numpy() for c in ("id", "component", "n", "block")]
         signatures = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), -1)
+        fine = np.frombuffer(b"".join(rows["fine"]), np.uint8).reshape(len(rows), -1) if every else None
         pairs = set()
         for lo, hi in zip(cuts, cuts[1:]):
-            pairs |= _pairs_of(*(c[lo:hi] for c in columns), signatures[lo:hi], keys[lo, 0], every, least, percent)
+            pairs |= _pairs_of(*(c[lo:hi] for c in columns), signatures[lo:hi], keys[lo, 0], every, least, percent, fine[lo:hi] if every else None)
         return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
 
     return compare
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, every: bool, least: float, percent: int, block: int) -> DataFrame:
+def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, sets: DataFrame, every: bool, least: float, percent: int, block: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket; a < b."""
     part = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")) if labels is not None else members.withColumn("component", F.col("id"))
     sizes = part.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "bucket", "members")
@@ -262,7 +288,10 @@ def _candidates(members: DataFrame, labels: DataFrame | None, sketches: DataFram
     left = part.join(sizes, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = left.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    signed = spread.select("band", "bucket", "lo", "hi", "block", "id", "component").join(sketches.select("id", "n", "signature"), "id")
+    signs = sketches.select("id", "n", "signature")
+    if every:
+        signs = signs.join(_fine(sets.join(written(left.select("id").distinct(), "left"), "id", "left_semi").select("id", "shingles")), ["id", "n"])
+    signed = spread.select("band", "bucket", "lo", "hi", "block", "id", "component").join(signs, "id")
     copies = sizes.agg(F.sum(F.col("members") * F.ceil(F.col("members") / block))).first()[0] or 0  # rows of `spread`
     chunks = max(1, copies // (2 * block))
     chunked = signed.withColumn("chunk", F.pmod(F.xxhash64("band", "bucket", "lo", "hi"), F.lit(chunks)))
@@ -300,7 +329,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     labels = connected_components(links)
     done = [classes, members, needed, near, sets, tried, links, labels, sketches]
     for every in (False, True):
-        pairs = _candidates(members.select("band", "bucket", "id"), labels, near, every, least_agreement, percent, block).join(tried, ["a", "b"], "left_anti")
+        pairs = _candidates(members.select("band", "bucket", "id"), labels, near, sets, every, least_agreement, percent, block).join(tried, ["a", "b"], "left_anti")
         new = written(pairs, "tried")
         found = written(_confirmed(new, sets, percent), "links")
         tried, links = tried.unionByName(new), links.unionByName(found)

@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences of a fixed capacity, bulk-synchronously.
 
 1. Tasks tokenize whole texts and cut those over the capacity (the first piece may be shorter); each task numbers its pieces by length.
-2. Pieces of one length are interchangeable, and so are sequences with one gap. Both are therefore held as runs, in tables range-sorted by
-   size: (length, first rank, pieces) and (gap, first sequence, sequences). There are at most as many lengths and gaps as the capacity has
+2. Pieces of one length are interchangeable, and so are sequences with one gap. Both are therefore held as runs, in tables:
+   (length, first rank, pieces) and (gap, first sequence, sequences), which the one task that sweeps a band sorts by size. There are at most as many lengths and gaps as the capacity has
    values, however large the corpus is; only the tables' counts grow.
 3. Supersteps over bands of lengths, the longest first (each band's limit is half the one before). A sweep goes down the band's lengths:
    their successor is the smallest gap that fits. Where several lengths want one gap, the longer ones come first; ranks say which pieces
