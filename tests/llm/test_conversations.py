@@ -157,9 +157,9 @@ def test_repaired_turns(spark):
     rows = [(1, 0, "user", "Hello."), (1, 1, "tool", "Result."), (1, 2, "assistant", "cut"), (1, 3, "user", "Bye!")]
     found = repair.faults(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     edited = repair.edits(found)
-    assert [r.edit for r in edited.sort("position").collect()] == ["K", "R", "D", "D"]
+    assert [r.edit for r in edited.sort("position").collect()] == ["K", "D", "D", "R"]  # as dear as KRDD, and less
     turns = [(t.role, t.text) for r in repair.repaired(found, edited).sort("position").collect() for t in r.turns]
-    assert turns == [("user", "Hello."), ("assistant", "Result.")]
+    assert turns == [("user", "Hello."), ("assistant", "Bye!")]
     assert repair.report(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), found.limit(0)).count() == 0
 
 
