@@ -1,9 +1,12 @@
 """Edges of roundings, sums in order and layouts of large tables."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tests.test_market import TICK
+from tidemark.operators import quality, ticks
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,3 +17,25 @@ def test_coefficients_on_an_edge_of_four_decimals(spark):
     registry = spark.createDataFrame([(c,) for c in found], "c double")
     value = quality.check_friction(registry).filter("check = 'c varies'").first()["value"]
     assert value == duckdb.sql(f"select count(distinct round(c, 4)) from (select unnest({found}::double[]) as c)").fetchall()[0][0] == 4
+
+
+def cents(seed, symbols=2, days=8, a_day=60):
+    """Ticks with volumes in cents, whose double sums depend on the order of adding."""
+    draw, rows = random.Random(seed), []
+    for s in range(symbols):
+        rows += [(f"60000{s}.SH", f"202401{d + 1:02d}", d * a_day + i, 10 + draw.randrange(500) / 100, draw.randrange(1, 20_000) / 100, "B") for d in range(days) for i in range(a_day)]
+    return rows
+
+
+def in_turn(rows):
+    sums = {}
+    for symbol, date, _, _, volume, _ in sorted(rows):
+        sums[symbol, date] = sums.get((symbol, date), 0.0) + volume
+    return sums
+
+
+def test_daily_volumes_are_added_in_order(spark):
+    rows = cents(1)
+    shuffled = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), TICK).repartition(5)
+    want = in_turn(rows)
+    assert {(r.symbol, r.date): r.volume for r in ticks.daily_stats(shuffled, in_order=True).collect()} == want

@@ -20,7 +20,7 @@ from tidemark.functions.book import pack_book
 BAR_SCHEMA = "symbol string, bar_id long, date string, seq long, close double, delta_p double, vwap double, volume double, threshold double"
 
 
-def _added(to: float, values: np.ndarray) -> np.ndarray:
+def added(to: float, values: np.ndarray) -> np.ndarray:
     """The running sum, value by value in this order."""
     return np.cumsum(np.append(to, values))
 
@@ -53,21 +53,21 @@ class Clock:
             while at < end:
                 near = end - 1 if falls else min(at + int(np.searchsorted(traded[at + 1 : end + 1], limit - self.gathered + traded[at])) + 1, end - 1)
                 # the search may be off by a rounding; what counts is the running sum, tick by tick
-                sums = _added(self.gathered, volume[at : near + 1])[1:]
+                sums = added(self.gathered, volume[at : near + 1])[1:]
                 closes = np.flatnonzero(sums >= limit)
                 if not len(closes):
                     self.gathered, at = float(sums[-1]), near + 1
                     continue
                 place = at + int(closes[0])
-                own, over = _added(self.volume, volume[start : place + 1])[-1], sums[closes[0]] - limit
+                own, over = added(self.volume, volume[start : place + 1])[-1], sums[closes[0]] - limit
                 if own > 0:
                     first = self.first or (price[priced[start]] if priced[start] <= place else price[place])
-                    found.append((place, price[place] - first, _added(self.turnover, turned[start : place + 1])[-1] / own, own))
+                    found.append((place, price[place] - first, added(self.turnover, turned[start : place + 1])[-1] / own, own))
                     over = min(over, limit)
                 self.gathered, self.turnover, self.volume, self.first = float(over), 0.0, 0.0, 0.0
                 start = at = place + 1
         if start < len(price):
-            self.turnover, self.volume = float(_added(self.turnover, turned[start:])[-1]), float(_added(self.volume, volume[start:])[-1])
+            self.turnover, self.volume = float(added(self.turnover, turned[start:])[-1]), float(added(self.volume, volume[start:])[-1])
             self.first = self.first or (float(price[priced[start]]) if priced[start] < len(price) else 0.0)
         self.bars += len(found)
         return pd.DataFrame(found, columns=["at", "delta_p", "vwap", "volume"]).astype({"at": "int64"})

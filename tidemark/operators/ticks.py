@@ -43,9 +43,16 @@ def between_dates(ticks: DataFrame, first: str, last: str) -> DataFrame:
     return ticks.filter(F.col("date").between(first, last))
 
 
-def daily_stats(ticks: DataFrame) -> DataFrame:
-    """Per symbol and date: all volume, high and low of positive prices, ticks."""
+def daily_stats(ticks: DataFrame, in_order: bool = False) -> DataFrame:
+    """Per symbol and date: all volume, high and low of positive prices, ticks.
+
+    in_order adds volumes tick by tick in the order of seq, as the stream does: where they are fractions, the sum, and with it a threshold that a bar just meets, then doesn't vary with the partitioning.
+    """
     price = F.when(F.col("price") > 0, F.col("price"))
+    if in_order:
+        upto = F.sum("vol_tick").over(Window.partitionBy("symbol", "date").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+        narrow = ticks.select("symbol", "date", "seq", "price", "vol_tick").withColumn("_upto", upto)
+        return narrow.groupBy("symbol", "date").agg(F.max_by("_upto", "seq").alias("volume"), F.max(price).alias("high"), F.min(price).alias("low"), F.count(F.lit(1)).alias("ticks"))
     return ticks.groupBy("symbol", "date").agg(F.sum("vol_tick").alias("volume"), F.max(price).alias("high"), F.min(price).alias("low"), F.count(F.lit(1)).alias("ticks"))
 
 
