@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.test_market import TICK
-from tidemark.operators import quality, ticks
+from tidemark.operators import clock, quality, ticks
+from tidemark.streaming.clock_stream import VolumeClock
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,3 +41,19 @@ def test_daily_volumes_are_added_in_order(spark):
     shuffled = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), TICK).repartition(5)
     want = in_turn(rows)
     assert {(r.symbol, r.date): r.volume for r in ticks.daily_stats(shuffled, in_order=True).collect()} == want
+
+
+def test_the_stream_adds_in_order():
+    """A day's volume, in two triggers, and the mean over twenty days are what adding one by one gives."""
+    rows = cents(3, symbols=1, days=22)
+    want = list(in_turn(rows).values())
+    processor, s = VolumeClock({"days": 20, "share": 0.5, "least": 1.0, "first_volume": 1.0}), {"v_d": 1.0, "sigma_d": 1.0, "threshold": 1e9, "date": None, "volumes": [], "ranges": []}
+    table, state = pd.DataFrame(rows, columns=["symbol", "date", "seq", "price", "vol_tick", "bs_flag"]), clock.Clock()
+    for date, day in table.groupby("date"):
+        for half in (day[:23], day[23:]):
+            processor._day(s, state, date, half)
+    assert s["volumes"] == want[-21:-1]
+    mean = 0.0
+    for volume in s["volumes"]:
+        mean += volume
+    assert s["v_d"] == mean / 20

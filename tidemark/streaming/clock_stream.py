@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.clock import BAR_SCHEMA, Clock, run_clock
+from tidemark.operators.clock import BAR_SCHEMA, Clock, added, run_clock
 
 OUT_SCHEMA = f"{BAR_SCHEMA}, late boolean"
 VERSION = 2
@@ -67,8 +67,9 @@ class VolumeClock(StatefulProcessor):
         if s["day_volume"] > 0:
             s["volumes"] = [*s["volumes"], s["day_volume"]][-self.macro["days"] :]
         s["ranges"] = [*s["ranges"], max(s["high"] - s["low"] if s["high"] is not None else 0.0, 1e-4)][-self.macro["days"] :]
-        s["v_d"] = float(np.mean(s["volumes"])) if s["volumes"] else self.macro["first_volume"]
-        s["sigma_d"] = float(np.mean(s["ranges"]))
+        mean = lambda values: float(added(0.0, np.array(values))[-1] / len(values))  # noqa: E731  # in order, as batch and SQL add
+        s["v_d"] = mean(s["volumes"]) if s["volumes"] else self.macro["first_volume"]
+        s["sigma_d"] = mean(s["ranges"])
         s["threshold"] = max(s["v_d"] * self.macro["share"], self.macro["least"])
 
     def _day(self, s: dict, clock: Clock, date: str, rows: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +80,7 @@ class VolumeClock(StatefulProcessor):
             s |= {"date": date, "day_volume": 0.0, "high": None, "low": None}
         price = rows["price"].to_numpy(float)
         priced = price[price > 0]
-        s["seq"], s["day_volume"] = int(rows["seq"].iloc[-1]), s["day_volume"] + float(np.nansum(rows["vol_tick"].to_numpy(float)))
+        s["seq"], s["day_volume"] = int(rows["seq"].iloc[-1]), float(added(s["day_volume"], np.nan_to_num(rows["vol_tick"].to_numpy(float)))[-1])
         if len(priced):
             s["high"], s["low"] = float(max(priced.max(), s["high"] if s["high"] is not None else -np.inf)), float(min(priced.min(), s["low"] if s["low"] is not None else np.inf))
         bars = run_clock(clock, rows.assign(threshold=s["threshold"]))
