@@ -104,10 +104,10 @@ def read_equity(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_tar_ranges(spark: SparkSession, folder: str, columns: list[str] | None = None, pattern: str = "*.tar", split_bytes: int = tars.SPLIT_BYTES) -> DataFrame:
+def read_tar_ranges(spark: SparkSession, folder: str, columns: list[str] | None = None, pattern: str = "*.tar", split_bytes: int = tars.SPLIT_BYTES, task_bytes: int = tars.TASK_BYTES) -> DataFrame:
     """Samples of tar shards by byte ranges, from a folder that Arrow's file systems reach; only members that the columns need are read."""
     fields = [f for f in tars.SCHEMA.split(", ") if columns is None or f.split()[0] in columns]
-    return tars.registered(spark).read.format("tar_shards").schema(", ".join(fields)).option("pattern", pattern).option("split_bytes", split_bytes).load(folder)
+    return tars.registered(spark).read.format("tar_shards").schema(", ".join(fields)).option("pattern", pattern).option("split_bytes", split_bytes).option("task_bytes", task_bytes).load(folder)
 
 
 def read_tar_shards(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:

@@ -3,7 +3,8 @@
 A sample is a run of members with one key: `key.npy` is an array (shape and flat values), `key.json` a record (text). Files are reached through Arrow's file systems
 (a mounted folder, or the URI of a store that Arrow knows), so that a task seeks to what it needs and never holds a shard. `readers.read_tar_shards` takes whole files through Spark for other stores.
 
-Reading: `spark.read.format("tar_shards").schema(...).load(folder)`. A file is cut into ranges of `split_bytes`; a sample belongs to the range in which its first member begins. Where that is, an index of
+Reading: `spark.read.format("tar_shards").schema(...).load(folder)`. A file is cut into ranges of `split_bytes`, and a task takes successive ranges up to `task_bytes`, so that small shards don't make a task each; the ranges of
+one file in one task are read as one. A sample belongs to the range in which its first member begins. Where that is, an index of
 member offsets says (`name.tar.index`, written with each shard), or else the chain of headers, of which a task reads 512 bytes a member. Only members of the kinds that the schema's columns need are read. Columns: path, key, shape, values,
 meta, corrupt. A shard that can't be read to its end gives one row with corrupt set beside the samples before; an empty one gives none.
 
@@ -15,22 +16,25 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import posixpath
 import tarfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, key string, shape array<int>, values array<float>, meta string, corrupt boolean"
-SPLIT_BYTES, PER_SHARD = 64 << 20, 5000
+SPLIT_BYTES, TASK_BYTES, PER_SHARD = 64 << 20, 64 << 20, 5000
 BLOCK = tarfile.BLOCKSIZE
 KINDS = {"shape": "npy", "values": "npy", "meta": "json"}  # which members a column needs
 
@@ -59,6 +63,13 @@ class Range(InputPartition):
     size: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads."""
+
+    ranges: list[Range]
+
+
 def members(file: pa.NativeFile, size: int) -> Iterator[tuple[str, int, int, int]]:
     """(name, place of the header, place of the data, bytes) along the chain of headers; tarfile.TarError where the chain breaks."""
     at = 0
@@ -88,6 +99,43 @@ def members(file: pa.NativeFile, size: int) -> Iterator[tuple[str, int, int, int
         raise tarfile.ReadError("the end is no header")
 
 
+@lru_cache(maxsize=4096)
+def _head(data: bytes) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """Shape, order and type that the head of an array file of version 1 gives; those of samples repeat."""
+    return np.lib.format.read_array_header_1_0(io.BytesIO(data))
+
+
+def _array(data: bytes) -> np.ndarray:
+    if data[:8] != b"\x93NUMPY\x01\x00":
+        return np.load(io.BytesIO(data), allow_pickle=False)
+    begins = 10 + int.from_bytes(data[8:10], "little")
+    shape, fortran, kind = _head(data[8:begins])
+    if kind.hasobject or len(data) - begins < kind.itemsize * math.prod(shape):
+        return np.load(io.BytesIO(data), allow_pickle=False)  # which tells what is wrong
+    return np.frombuffer(data, kind, math.prod(shape), begins).reshape(shape, order="F" if fortran else "C")
+
+
+@lru_cache(maxsize=4096)
+def _array_head(shape: tuple[int, ...]) -> bytes:
+    data = io.BytesIO()
+    np.save(data, np.zeros(shape, np.float32))
+    return data.getvalue()[: data.tell() - 4 * math.prod(shape)]
+
+
+_EMPTY_HEAD = tarfile.TarInfo("").tobuf(tarfile.GNU_FORMAT)
+
+
+def header(name: str, size: int) -> bytes:
+    """The header of a member, as tarfile writes it: that of an empty name with name, size and checksum filled in."""
+    own = name.encode("utf-8", "surrogateescape")
+    if len(own) > tarfile.LENGTH_NAME or size >= 8**11:
+        member = tarfile.TarInfo(name)
+        member.size = size
+        return member.tobuf(tarfile.GNU_FORMAT)
+    head = b"".join([own.ljust(100, b"\0"), _EMPTY_HEAD[100:124], b"%011o\0" % size, _EMPTY_HEAD[136:148], b"        ", _EMPTY_HEAD[156:]])
+    return b"".join([head[:148], b"%06o\0 " % sum(head), head[156:]])
+
+
 def _pax(records: bytes) -> Iterator[tuple[str, str]]:
     while records:
         length = int(records.split(b" ", 1)[0])
@@ -101,10 +149,21 @@ class TarReader(DataSourceReader):
         self.schema, self.options = schema, options
         self.kinds = {KINDS[f.name] for f in schema.fields if f.name in KINDS}
 
-    def partitions(self) -> list[Range]:
-        step = int(self.options.get("split_bytes", SPLIT_BYTES))
-        found = files_below(self.options["path"], self.options.get("pattern", "*.tar"))
-        return [Range(path, at, min(at + step, size), size) for path, size in found for at in range(0, size, step)] or [Range("", 0, 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        step, most = int(self.options.get("split_bytes", SPLIT_BYTES)), int(self.options.get("task_bytes", TASK_BYTES))
+        tasks, held = [Ranges([])], 0
+        for path, size in files_below(self.options["path"], self.options.get("pattern", "*.tar")):
+            for at in range(0, size, step):
+                end = min(at + step, size)
+                if held and held + end - at > most:
+                    tasks.append(Ranges([]))
+                    held = 0
+                own, held = tasks[-1].ranges, held + end - at
+                if own and own[-1].path == path:
+                    own[-1].end = end
+                else:
+                    own.append(Range(path, at, end, size))
+        return tasks
 
     def _indexed(self, part: Range, file: pa.NativeFile) -> Iterator[tuple[str, int, int, int]]:
         fs, at = store(self.options["path"])
@@ -116,9 +175,11 @@ class TarReader(DataSourceReader):
             for line in lines.read().decode().splitlines():
                 yield tuple(json.loads(line))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for part in partition.ranges:
+            yield from self._samples(part)
+
+    def _samples(self, partition: Range) -> Iterator[tuple]:
         fs, _ = store(self.options["path"])
         with fs.open_input_file(partition.path) as file:
             key, sample, mine = None, None, False
@@ -153,7 +214,7 @@ class TarReader(DataSourceReader):
     @staticmethod
     def _take(sample: dict, kind: str, data: bytes) -> None:
         if kind == "npy":
-            array = np.load(io.BytesIO(data), allow_pickle=False)
+            array = _array(data)
             sample["shape"], sample["values"] = list(array.shape), array.astype(np.float32).ravel().tolist()
         else:
             sample["meta"] = json.dumps(json.loads(data))
@@ -187,16 +248,17 @@ class TarWriter(DataSourceArrowWriter):
         fs.create_dir(f"{folder}/{self.job}")
         try:
             for batch in iterator:
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "shape", "values", "meta")]
-                for i in range(batch.num_rows):
+                column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("key", "shape", "values", "meta")}
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(column["values"]), 0).to_numpy(zero_copy_only=False))
+                flat = np.asarray(column["values"].flatten().to_numpy(zero_copy_only=False), np.float32)
+                for key, shape, begin, end, meta in zip(column["key"].to_pylist(), column["shape"].to_pylist(), [0, *ends[:-1]], ends, column["meta"].to_pylist()):
                     if out is None or shards[-1][1] >= per_shard:
                         if out is not None:
                             out.close()
                         name = f"{task:06d}-{len(shards):06d}-{uuid.uuid4().hex}.tar"  # another attempt of the task writes other files
                         shards.append((name, 0))
                         out = _Shard(fs, f"{folder}/{self.job}/{name}")
-                    key, shape, values, meta = (c[i] for c in columns)
-                    out.add(key.as_py(), np.asarray(values.values, np.float32).reshape(shape.as_py()), meta.as_py())
+                    out.add(key, flat[begin:end].reshape(shape), meta)
                     shards[-1] = (shards[-1][0], shards[-1][1] + 1)
         finally:
             if out is not None:
@@ -237,12 +299,8 @@ class _Shard:
         self.at = 0
 
     def add(self, key: str, array: np.ndarray, meta: str | None) -> None:
-        data = io.BytesIO()
-        np.save(data, array)
-        for name, content in ((f"{key}.npy", data.getvalue()), (f"{key}.json", (meta or "{}").encode())):
-            member = tarfile.TarInfo(name)
-            member.size = len(content)
-            head = member.tobuf(tarfile.GNU_FORMAT)
+        for name, content in ((f"{key}.npy", _array_head(array.shape) + array.tobytes()), (f"{key}.json", (meta or "{}").encode())):
+            head = header(name, len(content))
             self.index.write((json.dumps([name, self.at, self.at + len(head), len(content)]) + "\n").encode())
             for part in (head, content, b"\0" * (-len(content) % BLOCK)):
                 self.out.write(part)
