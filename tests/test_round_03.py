@@ -1,13 +1,15 @@
 """Edges of roundings, sums in order and layouts of large tables."""
 
 import random
+import tarfile
 
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.test_market import TICK
-from tidemark.operators import clock, quality, ticks
+from tidemark.operators import clock, evaluate, quality, ticks
+from tidemark.sources import readers, tars, writers
 from tidemark.streaming.clock_stream import VolumeClock
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,3 +59,47 @@ def test_the_stream_adds_in_order():
     for volume in s["volumes"]:
         mean += volume
     assert s["v_d"] == mean / 20
+
+
+def tar_samples(spark, n):
+    return spark.range(n).selectExpr("concat('600000_SH_', lpad(cast(id as string), 9, '0')) as key", "array(cast(id as float), cast(id * 2 as float)) as values", "array(2) as shape", """concat('{"id": ', id, '}') as meta""")
+
+
+def test_small_shards_share_a_task(spark, tmp_path):
+    """100 shards of 3 samples: one task reads them, also where each is cut in two; shorter tasks give the same samples."""
+    folder = str(tmp_path / "t")
+    writers.write_tar_shards(tar_samples(spark, 300).coalesce(1), folder, per_shard=3)
+    assert len(tars.files_below(folder, "*.tar")) >= 100
+    read = lambda **options: readers.read_tar_ranges(spark, folder, **options)
+    rows = lambda df: sorted((r.key, tuple(r["values"]), tuple(r["shape"]), r.meta) for r in df.collect())
+    want = [(f"600000_SH_{i:09d}", (float(i), float(i * 2)), (2,), f'{{"id": {i}}}') for i in range(300)]
+    assert read(split_bytes=4000).rdd.getNumPartitions() == 1
+    for split, task in ((4000, 1 << 20), (1000, 3000), (1000, 1000), (1 << 20, 20_000)):
+        assert rows(read(split_bytes=split, task_bytes=task)) == want
+
+
+def test_headers_as_tarfile_writes_them():
+    for name in ("a.npy", "b" * 100, "c" * 101, "d/\u00e9.json"):
+        for size in (0, 7, 8**7, 8**11 - 1, 8**11):
+            member = tarfile.TarInfo(name)
+            member.size = size
+            assert tars.header(name, size) == member.tobuf(tarfile.GNU_FORMAT)
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_daily_statistics_order_no_date_in_one_task(spark):
+    """Ranks come from counts of values in ranges; rows aren't sorted or dealt by date. A NULL date is a date like any other."""
+    rows = spark.range(4000).selectExpr("case when id % 3 < 2 then cast(id % 3 as string) end as date", "cast(id * 7 % 11 as double) as pred_bp", "cast(id * 5 % 13 as double) as target_bp").repartition(7)
+    for found in (evaluate.daily_ic(rows, 10), evaluate.daily_cross_section(rows, 10)):
+        for line in plan(found).splitlines():
+            assert not ("Window" in line and "rank(" in line) and "SortMergeJoin" not in line
+    table = rows.toPandas()
+    table["date"] = table["date"].fillna("none")
+    ranked = {r.date or "none": r for r in evaluate.daily_ic(rows, 10).collect()}
+    for date, day in table.groupby("date"):
+        assert ranked[date].n == len(day)
+        assert abs(ranked[date].rank_ic - day["pred_bp"].rank().corr(day["target_bp"].rank())) < 1e-12

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import dropped, same_table, written
 
+FEW = 2_000_000
+
 
 def _counted(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     """`counted_values`, and the number of rows."""
@@ -25,6 +27,26 @@ def _counted(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     return same_table(ranged.select("value", "n", before.alias("before")), ranged), starts[-1]
 
 
+def with_average_rank_by(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """df with the rank from 1 of a column within the keys; ties get the mean of their ranks. No task needs the rows of a key: what is ordered are counts of its values, in ranges."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(counts.repartitionByRange(*keys, column).withColumn("_part", F.spark_partition_id()), "counts")
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))  # one row for each key, and one for each cut
+    parts = totals.withColumn("_before", F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
+    earlier = Window.partitionBy(*keys, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    ranks = _joined(ranged, parts, [*keys, "_part"], "inner").select(*keys, column, (before + (F.col("_n") + 1) / 2.0).alias(name))
+    few = ranged.count() <= FEW  # values of few digits: the rows needn't be moved
+    return _joined(df, ranks, [*keys, column], "left", few)
+
+
+def _joined(df: DataFrame, other: DataFrame, keys: list[str], how: str, few: bool = False) -> DataFrame:
+    """The join by keys, of which NULL is a value like any other."""
+    own = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(F.broadcast(own) if few else own, on, how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def counted_values(df: DataFrame, column: str) -> DataFrame:
     """(value, n, before): the distinct values, their rows, and the rows of smaller values. NULL values are left out."""
     return _counted(df, column)[0]

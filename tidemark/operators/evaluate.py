@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import counted_values, quantiles, with_average_rank
+from tidemark.functions.ranks import counted_values, quantiles, with_average_rank, with_average_rank_by
 from tidemark.functions.stats import average_rank, safe_corr
 
 DECILE_SHARES = [i / 10 for i in range(1, 10)]
@@ -23,6 +23,11 @@ def _both(predictions: DataFrame, pred: str, target: str) -> DataFrame:
     return predictions.filter(F.col(pred).isNotNull() & F.col(target).isNotNull())
 
 
+def of_large_dates(rows: DataFrame, min_rows: int) -> DataFrame:
+    """Rows of dates that have so many. Dates are counted apart, so that no task holds those of one."""
+    return rows.join(F.broadcast(rows.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).select("date")), "date", "left_semi")
+
+
 def global_ic(predictions: DataFrame, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
     """n, ic, r2, rank_ic, and the t and large-sample z statistics of rank_ic, over all rows."""
     ranked = with_average_rank(with_average_rank(_both(predictions, pred, target).select(pred, target), pred, "pr"), target, "tr")
@@ -33,8 +38,8 @@ def global_ic(predictions: DataFrame, pred: str = "pred_bp", target: str = "targ
 
 def keyed_ic(predictions: DataFrame, keys: list[str], min_rows: int = 2, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
     """n, ic and rank_ic of each key; groups under `min_rows` rows are left out."""
-    rows = _both(predictions, pred, target)
-    ranked = rows.select(*keys, pred, target, average_rank(pred, *keys).alias("pr"), average_rank(target, *keys).alias("tr"))
+    rows = _both(predictions, pred, target).select(*keys, pred, target)
+    ranked = with_average_rank_by(with_average_rank_by(rows, keys, pred, "pr"), keys, target, "tr")
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr(pred, target).alias("ic"), safe_corr("pr", "tr").alias("rank_ic")).filter(F.col("n") >= min_rows)
 
 
@@ -100,7 +105,7 @@ def cut_by_date(df: DataFrame, column: str, name: str = "decile", parts: int = 1
     """The same within each date."""
     edges = df.groupBy("date").agg(F.array_sort(F.array_distinct(F.percentile(column, [i / parts for i in range(parts + 1)]))).alias("_edges"))
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
-    return df.join(edges, "date").withColumn(name, F.size(F.filter(inner, lambda e: e < F.col(column)))).drop("_edges")
+    return df.join(F.broadcast(edges), "date").withColumn(name, F.size(F.filter(inner, lambda e: e < F.col(column)))).drop("_edges")
 
 
 def decile_report(predictions: DataFrame, by: str = "pred_bp", pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
@@ -149,7 +154,7 @@ def key_correlations(predictions: DataFrame, z: str = "z_sparsity", pred: str =
 
 def daily_cross_section(predictions: DataFrame, min_rows: int = 50, parts: int = 10, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
     """Per date of enough rows: n, ic, rank_ic, top less bottom bucket (quantile-cut) and the share of rising steps between buckets."""
-    rows = _both(predictions, pred, target).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("_n") >= min_rows)
+    rows = of_large_dates(_both(predictions, pred, target), min_rows)
     buckets = cut_by_date(rows, pred, parts=parts).groupBy("date", "decile").agg(F.avg(target).alias("mean"))
     along = Window.partitionBy("date").orderBy("decile")
     steps = buckets.withColumn("rise", (F.lead("mean").over(along) - F.col("mean") > TIE).cast("double"))
@@ -176,9 +181,9 @@ def global_against_daily(predictions: DataFrame, min_rows: int = 50, cost: float
 
 def daily_edge_deciles(predictions: DataFrame, min_rows: int = 100, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
     """Per decile: the mean over dates (of enough rows) of the date's mean target, deciles by the date's percentile edges."""
-    rows = _both(predictions, pred, target).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("_n") >= min_rows)
+    rows = of_large_dates(_both(predictions, pred, target), min_rows)
     edges = rows.groupBy("date").agg(F.percentile(pred, DECILE_SHARES).alias("_edges"))
-    cut = rows.join(edges, "date").select("date", pred, target, F.explode(_edge_deciles(F.col(pred), F.col("_edges"))).alias("decile"))
+    cut = rows.join(F.broadcast(edges), "date").select("date", pred, target, F.explode(_edge_deciles(F.col(pred), F.col("_edges"))).alias("decile"))
     return cut.groupBy("date", "decile").agg(F.avg(target).alias("m")).groupBy("decile").agg(F.count(F.lit(1)).alias("dates"), F.avg("m").alias("mean_target"))
 
 
@@ -187,9 +192,9 @@ def daily_decile_scores(predictions: DataFrame, min_rows: int = 100, pred: str =
 
     Deciles are cut by the date's percentile edges; an empty one counts as zero.
     """
-    rows = _both(predictions, pred, target).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("_n") >= min_rows)
+    rows = of_large_dates(_both(predictions, pred, target), min_rows)
     edges = rows.groupBy("date").agg(F.percentile(pred, DECILE_SHARES).alias("_edges"))
-    own = rows.join(edges, "date").withColumn("_own", _edge_deciles(F.col(pred), F.col("_edges")))
+    own = rows.join(F.broadcast(edges), "date").withColumn("_own", _edge_deciles(F.col(pred), F.col("_edges")))
     means = [F.coalesce(F.avg(F.when(F.array_contains("_own", d), F.col(target))), F.lit(0.0)).alias(f"_d{d}") for d in range(1, 11)]
     rises = reduce(lambda a, d: a + (F.col(f"_d{d}") < F.col(f"_d{d + 1}")).cast("int"), range(1, 10), F.lit(0))
     daily = own.groupBy("date").agg(*means).withColumn("_rises", rises)
@@ -267,10 +272,10 @@ def conditional_ic(predictions: DataFrame, thresholds: list[float], min_rows: in
 
 def side_means(predictions: DataFrame, min_rows: int = 100, pred: str = "pred_bp", target: str = "target_bp") -> DataFrame:
     """Per year: mean over dates of the mean target of the long (top), short (bottom) and middle deciles, by each date's percentile edges."""
-    rows = _both(predictions, pred, target).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("_n") >= min_rows)
+    rows = of_large_dates(_both(predictions, pred, target), min_rows)
     edges = rows.groupBy("date").agg(F.percentile(pred, [0.1, 0.9]).alias("_edges"))
     side = F.when(F.col(pred) >= F.get("_edges", F.lit(1)), F.lit("long")).when(F.col(pred) <= F.get("_edges", F.lit(0)), F.lit("short")).otherwise(F.lit("middle"))
-    daily = rows.join(edges, "date").groupBy("date", side.alias("side")).agg(F.avg(target).alias("m"))
+    daily = rows.join(F.broadcast(edges), "date").groupBy("date", side.alias("side")).agg(F.avg(target).alias("m"))
     return daily.groupBy(F.substring("date", 1, 4).alias("year"), "side").agg(F.count(F.lit(1)).alias("dates"), F.avg("m").alias("mean_target"))
 
 
