@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.test_market import TICK
-from tidemark.operators import clock, evaluate, quality, ticks
+from tidemark.operators import clock, evaluate, layout, quality, ticks
 from tidemark.sources import readers, tars, writers
 from tidemark.streaming.clock_stream import VolumeClock
 
@@ -103,3 +103,17 @@ def test_daily_statistics_order_no_date_in_one_task(spark):
     for date, day in table.groupby("date"):
         assert ranked[date].n == len(day)
         assert abs(ranked[date].rank_ic - day["pred_bp"].rank().corr(day["target_bp"].rank())) < 1e-12
+
+
+def test_large_sorted_layouts_get_more_files(spark, tmp_path, monkeypatch):
+    """Files follow the rows; what is unsorted is found within blocks of a file and where two blocks meet."""
+    monkeypatch.setattr(layout, "FILE_ROWS", 100)
+    monkeypatch.setattr(layout, "BLOCK_ROWS", 7)
+    path, broken = str(tmp_path / "sorted"), str(tmp_path / "broken")
+    rows = spark.createDataFrame(cents(4), TICK)
+    writers.write_sorted(rows, path, 2)
+    back = spark.read.parquet(path)
+    assert back.select("_metadata.file_path").distinct().count() > 5
+    assert tuple(layout.unsorted_rows(back).first()) == (0, rows.count())
+    spark.createDataFrame([(f"{i % 10}",) for i in range(100)], "symbol string").coalesce(1).write.parquet(broken)
+    assert tuple(layout.unsorted_rows(spark.read.parquet(broken)).first()) == (9, 100)

@@ -14,6 +14,14 @@ from tidemark.functions.ranks import counted_values
 from tidemark.sources.tars import store
 
 
+BLOCK_ROWS, FILE_ROWS = 250_000, 1_000_000
+
+
+def files_for(rows: int, least: int) -> int:
+    """So many files, and more where one would have over `FILE_ROWS` rows, as a task sorts a file."""
+    return max(least, -(-rows // FILE_ROWS))
+
+
 def sorted_layout(ticks: DataFrame, files: int, keys: tuple[str, ...] = ("symbol", "date", "seq")) -> DataFrame:
     """Rows range-partitioned by symbol and sorted within: written so, readers skip row groups by their symbols. A symbol with many rows is split by its later keys."""
     return ticks.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
@@ -29,9 +37,13 @@ def ordered_by_available(df: DataFrame) -> DataFrame:
 
 def unsorted_rows(table: DataFrame, key: str = "symbol") -> DataFrame:
     """(unsorted, rows) of a table read from files: rows whose key is under that of the row before in their file."""
-    rows = table.select("_metadata.file_path", "_metadata.row_index", key)
-    before = F.lag(key).over(Window.partitionBy("file_path").orderBy("row_index"))
-    return rows.withColumn("_b", before).agg(F.coalesce(F.sum((F.col(key) < F.col("_b")).cast("int")), F.lit(0)).alias("unsorted"), F.count(F.lit(1)).alias("rows"))
+    rows = table.select("_metadata.file_path", "_metadata.row_index", key).withColumn("_block", F.floor(F.col("row_index") / BLOCK_ROWS)).repartition(max(1, -(-table.count() // BLOCK_ROWS)), "file_path", "_block")
+    before = F.lag(key).over(Window.partitionBy("file_path", "_block").orderBy("row_index"))
+    falls = F.coalesce(F.sum((F.col(key) < F.col("_b")).cast("int")), F.lit(0))
+    blocks = rows.withColumn("_b", before).groupBy("file_path", "_block").agg(falls.alias("_falls"), F.count(F.lit(1)).alias("_n"), F.min_by(key, "row_index").alias("_first"), F.max_by(key, "row_index").alias("_last"))
+    ends = F.lag("_last").over(Window.partitionBy("file_path").orderBy("_block"))  # one row for each block
+    joints = F.coalesce((F.col("_first") < F.col("_end")).cast("int"), F.lit(0))
+    return blocks.withColumn("_end", ends).agg(F.coalesce(F.sum(F.col("_falls") + joints), F.lit(0)).alias("unsorted"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
 def new_partitions(source: DataFrame, done: DataFrame, key: str = "date") -> DataFrame:

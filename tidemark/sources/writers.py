@@ -11,16 +11,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.layout import new_partitions, ordered_by_available, sorted_layout
+from tidemark.operators.layout import files_for, new_partitions, ordered_by_available, sorted_layout
 from tidemark.operators.ticks import of_symbols
 from tidemark.sources.scratch import written
 from tidemark.sources.tars import files_below, registered, store
 
 
 def write_sorted(ticks: DataFrame, path: str, files: int, row_group_bytes: int = 16 << 20, done: DataFrame | None = None) -> None:
-    """The sorted layout as zstd Parquet; with `done`, only dates that it lacks are added."""
+    """The sorted layout as zstd Parquet, in `files` files or more where they would be large; with `done`, only dates that it lacks are added."""
     rows = ticks if done is None else new_partitions(ticks, done)
-    sorted_layout(rows, files).write.mode("append" if done is not None else "errorifexists").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
+    sorted_layout(rows, files_for(rows.count(), files)).write.mode("append" if done is not None else "errorifexists").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 def write_subset(ticks: DataFrame, symbols: list[str], path: str) -> None:
