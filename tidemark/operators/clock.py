@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.book import pack_book
 
+SIDES = ("bid_p", "bid_v", "ask_p", "ask_v")
 BAR_SCHEMA = "symbol string, bar_id long, date string, seq long, close double, delta_p double, vwap double, volume double, threshold double"
 
 
@@ -109,8 +110,10 @@ def volume_bars(ticks: DataFrame, macro: DataFrame) -> DataFrame:
 
 def with_book(bars: DataFrame, ticks: DataFrame, macro: DataFrame, levels: int = 10) -> DataFrame:
     """Bars with v_d and sigma_d of their day and the book of their closing tick."""
-    book = ticks.select("symbol", "seq", pack_book(levels).alias("lob"))
-    return bars.join(macro.select("symbol", "date", "v_d", "sigma_d"), ["symbol", "date"]).join(book, ["symbol", "seq"])
+    sides = [f"{side}{i}" for i in range(1, levels + 1) for side in SIDES]
+    book = ticks.select("symbol", "seq", *[F.col(c).cast("float").alias(c) for c in sides])  # flat and narrow while it is moved
+    found = bars.join(macro.select("symbol", "date", "v_d", "sigma_d"), ["symbol", "date"]).join(book, ["symbol", "seq"])
+    return found.withColumn("lob", pack_book(levels)).drop(*sides)
 
 
 def bucket_bars(bucketed: DataFrame) -> DataFrame:
