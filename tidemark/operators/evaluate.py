@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import counted_values, quantiles, with_average_rank, with_average_rank_by
-from tidemark.functions.stats import average_rank, safe_corr
+from tidemark.functions.stats import safe_corr
 
 DECILE_SHARES = [i / 10 for i in range(1, 10)]
 INFINITE = float("inf")
