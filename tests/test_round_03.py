@@ -1,14 +1,19 @@
 """Edges of roundings, sums in order and layouts of large tables."""
 
+import math
 import random
+import re
 import tarfile
 
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tests.test_market import TICK
+from tidemark.functions import book
 from tidemark.operators import clock, evaluate, layout, quality, ticks
+from tidemark.plans import common
 from tidemark.sources import readers, tars, writers
 from tidemark.streaming.clock_stream import VolumeClock
 
@@ -117,3 +122,48 @@ def test_large_sorted_layouts_get_more_files(spark, tmp_path, monkeypatch):
     assert tuple(layout.unsorted_rows(back).first()) == (0, rows.count())
     spark.createDataFrame([(f"{i % 10}",) for i in range(100)], "symbol string").coalesce(1).write.parquet(broken)
     assert tuple(layout.unsorted_rows(spark.read.parquet(broken)).first()) == (9, 100)
+
+
+def test_the_manifold_is_made_of_narrow_rows_by_compiled_code(spark, capsys):
+    """Rows lie in order without their book, no window is gathered into an array, no function over arrays is interpreted, and no generated method is too long (8000 bytes) for the JVM to compile."""
+    made = __spark_entry__.queries()["window_manifold"](spark, FOLDER)
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in text and "collect_list" not in text
+    assert "bid_p10" not in text.split("Sort [", 1)[1]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        __spark_entry__.queries()["window_manifold"](spark, FOLDER).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_the_flat_manifold_is_the_one_of_windows(spark):
+    """Two levels, windows of three rows, a remainder of two, missing prices and volumes: rows hold what the nested windows do."""
+    draw = random.Random(4)
+    rows = [
+        (s, i, None if i == 4 else draw.uniform(9, 11), draw.uniform(-5e3, 5e3), 300.0, 0.4, *[None if i == 7 and j == 5 else draw.uniform(1, 99) for j in range(8)]) for s in ("a", "b") for i in range(11 if s == "a" else 2)
+    ]
+    sides = ", ".join(f"{side}{i} double" for i in (1, 2) for side in clock.SIDES)
+    placed = clock.tumbling(spark.createDataFrame(random.Random(5).sample(rows, len(rows)), f"symbol string, seq int, close double, q_hat double, v_d double, sigma_d double, {sides}"), ["symbol"], "seq", 3, {"first": "close"})
+    names, keys, macro = [f"x{i}" for i in range(8)], ["symbol", "window", "bar"], ("v_d", "sigma_d")
+    got = {tuple(r[:4]): tuple(r[4:]) for r in clock.flat_manifold(placed, keys, names, 2, macro=macro).collect()}
+    bars = placed.select("symbol", "window", F.struct("seq", "close", "q_hat", *macro, book.pack_book(2).alias("lob")).alias("bar")).groupBy("symbol", "window").agg(F.sort_array(F.collect_list("bar")).alias("bars"))
+    want = {(r.symbol, r.window, i, j): tuple(x) for r in bars.select("symbol", "window", book.manifold(F.col("bars"), macro=macro).alias("m")).collect() for i, bar in enumerate(r.m) for j, x in enumerate(bar)}
+    assert got == want and set(got) == {("a", w, i, j) for w in range(3) for i in range(3) for j in range(2)}
+    assert all(x[4] == 0.0 for (_, _, i, _), x in got.items() if i == 0)
+
+
+def test_rounding_as_sql_does(spark):
+    """Halves, the double next to one, large values, infinities: equal to DuckDB, to the sign of zero."""
+    draw = random.Random(6)
+    found = [0.0, -0.0, 0.5e-7, -0.5e-7, 1.5e-7, 2.5e-7, 0.49999999999999994e-7, 0.30015, -0.00000005, 2.0**52, 2.0**52 / 1e7, 450359962.73704955, 1e300, -1.7e308, math.inf, -math.inf, math.nan]
+    found += [draw.randrange(-(10**9), 10**9) / 2 / 1e7 for _ in range(2000)] + [draw.uniform(-100, 100) for _ in range(2000)]
+    for digits in (7, 4):
+        got = [r.x for r in common.rounded_as_sql(spark.createDataFrame(list(enumerate(found)), "i int, x double"), digits).orderBy("i").collect()]
+        want = [x for (x,) in duckdb.sql(f"select round(x, {digits}) + 0.0 from (select unnest(range({len(found)})) as i, unnest({[str(x) for x in found]}::double[]) as x) order by i").fetchall()]
+        assert [(x, math.copysign(1, x)) for x in got if x == x] == [(x, math.copysign(1, x)) for x in want if x == x] and [x == x for x in got] == [x == x for x in want]
+    assert common.rounded_as_sql(spark.createDataFrame([(None,)], "x double")).first().x is None

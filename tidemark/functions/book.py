@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
@@ -85,22 +86,24 @@ def symlog(x: Column, most: float | None = 1e12) -> Column:
     return log_modulus(F.least(F.greatest(x, F.lit(-most)), F.lit(most)) if most else x)
 
 
-def manifold(bars: Column, levels: str = "lob", close: str = "close", quantity: str = "q_hat", macro: tuple[str, ...] = ()) -> Column:
-    """Per bar of a window and level of its book: deviation of the bid, log bid volume, deviation of the ask, log ask volume, log return against the
-    window's first bar and symlog quantity; with the fields of macro, their logs after these."""
-    first = F.get(bars, F.lit(0))[close]
+def level_features(level: Column) -> list[Column]:
+    """Deviation of the bid, log bid volume, deviation of the ask, log ask volume."""
+    bid, ask, bids, asks = (level[x].cast("double") for x in ("bid_p", "ask_p", "bid_v", "ask_v"))
+    mid = mid_price(bid, ask)
+    return [deviation_bp(bid, mid), log_volume(bids), deviation_bp(ask, mid), log_volume(asks)]
 
-    def of_bar(bar: Column) -> Column:
-        shared = [log_return(bar[close], first), symlog(bar[quantity]), *(log_volume(bar[m]) for m in macro)]
 
-        def of_level(level: Column) -> Column:
-            bid, ask, bids, asks = (level[x].cast("double") for x in ("bid_p", "ask_p", "bid_v", "ask_v"))
-            mid = mid_price(bid, ask)
-            return F.array(deviation_bp(bid, mid), log_volume(bids), deviation_bp(ask, mid), log_volume(asks), *shared)
+def bar_features(close: Column, first: Column, quantity: Column, macro: Iterable[Column] = ()) -> list[Column]:
+    """Log return against the window's first bar and symlog quantity; with macro, the logs of these after them."""
+    return [log_return(close, first), symlog(quantity), *(log_volume(m) for m in macro)]
 
-        return F.transform(bar[levels], of_level)
 
-    return F.transform(bars, of_bar)
+def manifold(bars: Column, levels: str = "lob", close: str = "close", quantity: str = "q_hat", macro: tuple[str, ...] = ()) -> Column:
+    """Per bar of a window and level of its book: level_features and bar_features. `clock.flat_manifold` gives the same as rows, without arrays of windows."""
+    first = F.get(bars, F.lit(0))[close]
+    shared = lambda bar: F.array(*bar_features(bar[close], first, bar[quantity], [bar[m] for m in macro]))
+    once = F.transform(bars, lambda bar: F.struct(bar[levels].alias("levels"), shared(bar).alias("shared")))
+    return F.transform(once, lambda bar: F.transform(bar["levels"], lambda level: F.concat(F.array(*level_features(level)), bar["shared"])))
 
 
 def implied_quantity(delta_p: Column, sigma: Column, volume: Column, friction: Column) -> Column:

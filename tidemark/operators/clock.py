@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.book import pack_book
+from tidemark.functions.book import bar_features, level_features, pack_book
 
 SIDES = ("bid_p", "bid_v", "ask_p", "ask_v")
 BAR_SCHEMA = "symbol string, bar_id long, date string, seq long, close double, delta_p double, vwap double, volume double, threshold double"
@@ -160,8 +161,27 @@ def window_keys(samples: DataFrame) -> DataFrame:
     return samples.withColumn("sample", F.row_number().over(Window.partitionBy("symbol").orderBy("start")) - 1)
 
 
-def tumbling(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
-    """Rows with their window of `size` rows within the keys; the remainder is dropped."""
-    own = Window.partitionBy(*keys)
-    place = F.floor((F.row_number().over(own.orderBy(order)) - 1) / size)
-    return rows.withColumn("window", place).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "window"))).filter(F.col("_n") == size).drop("_n")
+def tumbling(rows: DataFrame, keys: list[str], order: str, size: int, first: dict[str, str] | None = None) -> DataFrame:
+    """Rows with their window of `size` rows within the keys; the remainder is dropped. With first (name -> column), also the row's place in its window, as `bar`, and these
+    columns' values at the window's first row. All is found over one order of the rows: a window is whole if its end isn't past the number of rows."""
+    own = Window.partitionBy(*keys).orderBy(order)
+    everything = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = rows.withColumns({"_place": F.row_number().over(own) - 1, "_n": F.count(F.lit(1)).over(everything), **{f"_{name}_{i}": F.lag(c, i).over(own) for name, c in (first or {}).items() for i in range(1, size)}})
+    whole = placed.withColumn("window", F.floor(F.col("_place") / size)).filter((F.col("window") + 1) * size <= F.col("_n"))
+    if first is None:
+        return whole.drop("_place", "_n")
+    bar = F.col("_place") % size
+    at_first = {name: reduce(lambda found, i: found.when(bar == i, F.col(f"_{name}_{i}")), range(1, size), F.when(bar == 0, F.col(c))) for name, c in first.items()}
+    return whole.select(*rows.columns, "window", bar.alias("bar"), *[c.alias(name) for name, c in at_first.items()])
+
+
+def flat_manifold(bars: DataFrame, keys: list[str], names: list[str], levels: int = 10, close: str = "close", first: str = "first", quantity: str = "q_hat", macro: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each bar (its keys) and level of its book, with the features of `book.manifold` by these names. bars hold the level columns and their window's first close.
+
+    A bar's own features are taken before its levels are unfolded, a level's after that: plain columns are compiled, functions over arrays are not.
+    """
+    shared = bar_features(F.col(close), F.col(first), F.col(quantity), [F.col(m) for m in macro])
+    sides = [F.array(*[F.col(f"{side}{i}").cast("float") for i in range(1, levels + 1)]).alias(side) for side in SIDES]
+    unfolded = bars.select(*keys, *[x.alias(name) for name, x in zip(names[4:], shared, strict=True)], *sides).withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
+    level = F.struct(*[F.get(side, F.col("level")).alias(side) for side in SIDES])
+    return unfolded.select(*keys, "level", *[x.alias(name) for name, x in zip(names, level_features(level))], *names[4:])

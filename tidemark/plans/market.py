@@ -87,15 +87,19 @@ def _implied(t: DataFrame) -> DataFrame:
     return calibrate.with_implied_quantity(calibrate.with_friction(bars, calibrate.friction(t, 10.0))).select("symbol", "bar_id", "c", F.signum("q_hat").alias("side"), F.log1p(F.abs("q_hat")).alias("log_q"))
 
 
-def _manifold(t: DataFrame) -> DataFrame:
-    """Every feature of every bar and level of windows of five ticks of a day."""
+def _manifold(t: DataFrame, levels: int = 10) -> DataFrame:
+    """Every feature of every bar and level of windows of five ticks of a day. The windows are made of narrow ticks; their book comes after that."""
     day = Window.partitionBy("symbol", "date").orderBy("seq")
-    moves = t.withColumn("delta_p", F.coalesce(F.col("price") - F.lag("price").over(day), F.lit(0.0))).join(_macro(t).select("symbol", "date", "v_d", "sigma_d"), ["symbol", "date"])
-    ready = moves.select("symbol", "date", "seq", F.col("price").alias("close"), book.pack_book(10).alias("lob"), book.implied_quantity(F.col("delta_p"), F.col("sigma_d"), F.col("v_d"), F.lit(0.842)).alias("q_hat"), "v_d", "sigma_d")
-    bars = clock.tumbling(ready, ["symbol", "date"], "seq", 5).groupBy("symbol", "date", "window").agg(F.sort_array(F.collect_list(F.struct("seq", "close", "lob", "q_hat", "v_d", "sigma_d"))).alias("bars"))
-    levels = bars.select("symbol", "date", "window", F.posexplode(book.manifold(F.col("bars"), macro=("v_d", "sigma_d"))).alias("bar", "levels"))
-    flat = levels.select("symbol", "date", "window", "bar", F.posexplode("levels").alias("level", "x"))
-    return flat.select("symbol", "date", "window", "bar", "level", *[F.get("x", F.lit(i)).alias(name) for i, name in enumerate(MANIFOLD)])
+    daily = _macro(t).select("symbol", "date", "v_d", "sigma_d").hint("shuffle_hash")  # a row for a day's ticks
+    moves = t.drop("vol_tick", "bs_flag").join(daily, ["symbol", "date"]).withColumn("_before", F.lag("price").over(day))
+    placed = clock.tumbling(moves, ["symbol", "date"], "seq", 5, {"first": "price"})
+    delta_p = F.coalesce(F.col("price") - F.col("_before"), F.lit(0.0))
+    bars = fixtures.quoted(placed, levels).withColumn("q_hat", book.implied_quantity(delta_p, F.col("sigma_d"), F.col("v_d"), F.lit(0.842)))
+    return clock.flat_manifold(bars, ["symbol", "date", "window", "bar"], MANIFOLD, levels, close="price", macro=("v_d", "sigma_d"))
+
+
+def _window_manifold(spark: SparkSession, folder: str) -> DataFrame:
+    return common.rounded_as_sql(_manifold(fixtures.keyed_ticks(spark, folder)), DIGITS)
 
 
 OPERATORS = {
@@ -122,7 +126,7 @@ OPERATORS = {
     "volume_bars": lambda t: _off_edges(_volume_bars(t)),
     "volume_windows": lambda t: _off_edges(_volume_windows(t)),
 }
-QUERIES = {name: partial(_on_ticks, operator, 10 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": partial(_on_ticks, _manifold, 10), "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
+QUERIES = {name: partial(_on_ticks, operator, 10 if name == "volume_windows" else 1) for name, operator in OPERATORS.items()} | {"window_manifold": _window_manifold, "book_features": partial(_on_ticks, _features, 10), "bucket_bars": partial(_on_ticks, _bars, 1, digits=9)}
 
 _DAY = "d as (select symbol, date, sum(vol_tick) as volume, max(case when price > 0 then price end) as high, min(case when price > 0 then price end) as low, count(*) as ticks from t group by symbol, date)"
 _MACRO = """po as (select symbol, date, avg(volume) over (partition by symbol order by date rows between 2 preceding and current row) as m from d where volume > 0),

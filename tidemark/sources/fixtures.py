@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 LEVELS = 10
 ORDER_KEY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+BOOK_KEYS = ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
 
 _SYMBOL = """concat(case l_suppkey % 5 when 0 then '600' when 1 then '000' when 2 then '300' when 3 then case when l_suppkey % 2 = 1 then '688' else '689' end
  else case when l_suppkey % 2 = 1 then '302' else '159' end end, lpad(cast(l_suppkey % 1000 as varchar(10)), 3, '0'), case when l_suppkey % 5 in (0, 3) then '.SH' else '.SZ' end)"""
@@ -23,8 +24,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, folder: str, levels: int = LEVELS) -> DataFrame:
-    """symbol, date, seq, price, vol_tick, bs_flag and the quoted levels; seq is unique within a symbol."""
+def keyed_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """symbol, date, seq, price, vol_tick, bs_flag and the keys that the quoted levels are made of; seq is unique within a symbol."""
+    rows = table(spark, folder, "lineitem").selectExpr("*", f"{_SYMBOL} as symbol", "date_format(l_shipdate, 'yyyyMM01') as date", "l_extendedprice / l_quantity as price")
+    order = Window.partitionBy("symbol").orderBy(*ORDER_KEY)
+    return rows.withColumn("seq", F.row_number().over(order)).selectExpr(
+        "symbol", "date", "seq", "price", "case when l_linenumber = 7 then 0.0D else l_quantity end as vol_tick", "case when l_linenumber = 6 then null else l_returnflag end as bs_flag", *BOOK_KEYS
+    )
+
+
+def quoted(keyed: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """keyed_ticks with the quoted levels instead of their keys: after what needs narrow rows only."""
     book = [
         expr
         for i in range(1, levels + 1)
@@ -35,11 +45,12 @@ def ticks(spark: SparkSession, folder: str, levels: int = LEVELS) -> DataFrame:
             f"cast(100 * ((l_suppkey * 7 + l_orderkey + {i}) % 50) as double) as ask_v{i}",
         )
     ]
-    rows = table(spark, folder, "lineitem").selectExpr("*", f"{_SYMBOL} as symbol", "date_format(l_shipdate, 'yyyyMM01') as date", "l_extendedprice / l_quantity as price")
-    order = Window.partitionBy("symbol").orderBy(*ORDER_KEY)
-    return rows.withColumn("seq", F.row_number().over(order)).selectExpr(
-        "symbol", "date", "seq", "price", "case when l_linenumber = 7 then 0.0D else l_quantity end as vol_tick", "case when l_linenumber = 6 then null else l_returnflag end as bs_flag", *book
-    )
+    return keyed.selectExpr(*[f"`{c}`" for c in keyed.columns if c not in BOOK_KEYS], *book)
+
+
+def ticks(spark: SparkSession, folder: str, levels: int = LEVELS) -> DataFrame:
+    """keyed_ticks with the quoted levels."""
+    return quoted(keyed_ticks(spark, folder), levels)
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
