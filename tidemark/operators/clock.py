@@ -1,8 +1,8 @@
 """The volume clock: ticks to bars, and bars to windows with their forward target.
 
 The clock is sequential within a symbol: it carries what a bar has over its threshold into the next, and thresholds change by day. Only
-narrow columns go through the keyed kernel, in batches in order; the closing tick's book is joined back afterwards. The kernel takes one step
-a bar: cumulative sums of a batch say by a search where the next bar closes and what it holds.
+narrow columns go through the keyed kernel, in batches in order; the closing tick's book is joined back afterwards. The kernel takes one step a
+tick over plain floats: that is cheap beside moving the tick, however few ticks a bar or a batch has.
 """
 
 from __future__ import annotations
@@ -22,11 +22,6 @@ SIDES = ("bid_p", "bid_v", "ask_p", "ask_v")
 BAR_SCHEMA = "symbol string, bar_id long, date string, seq long, close double, delta_p double, vwap double, volume double, threshold double"
 
 
-def added(to: float, values: np.ndarray) -> np.ndarray:
-    """The running sum, value by value in this order."""
-    return np.cumsum(np.append(to, values))
-
-
 @dataclass
 class Clock:
     """State of one symbol's clock: volume that counts towards the next bar, and turnover, volume and first price since the last."""
@@ -37,42 +32,27 @@ class Clock:
     first: float = 0.0
     bars: int = 0
 
-    def take(self, price: np.ndarray, volume: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
-        """Takes ticks in order; gives the bars they close: at (the closing tick), delta_p, vwap and volume.
+    def closes(self, price: np.ndarray, volume: np.ndarray, threshold: np.ndarray) -> list[tuple[int, float, float, float]]:
+        """Takes ticks in order; gives the bars they close: place of the closing tick, delta_p, vwap and volume.
 
         A bar closes at the first tick at which what was gathered since reaches the threshold of its day. What it has over that is carried on, up to one threshold.
         A close without volume of its own, by what was carried alone, gives no bar. The first price of a bar is its first that isn't zero. Missing prices and volumes are zero.
         """
-        price, volume = np.nan_to_num(price), np.nan_to_num(volume)
-        traded, turned = np.append(0.0, np.cumsum(volume)), price * volume
-        falls = bool((volume < 0).any())  # then the sums don't rise, and a search by halves would miss a close
-        later = np.append(np.where(price != 0, np.arange(len(price)), len(price)), len(price))
-        priced = np.minimum.accumulate(later[::-1])[::-1]  # the next tick with a price, from each place on
-        start = at = 0  # the bar's first tick here; the first that may close it
-        found = []
-        for end in np.append(np.flatnonzero(np.diff(threshold)) + 1, len(price)) if len(price) else []:
-            limit = threshold[end - 1]
-            while at < end:
-                near = end - 1 if falls else min(at + int(np.searchsorted(traded[at + 1 : end + 1], limit - self.gathered + traded[at])) + 1, end - 1)
-                # the search may be off by a rounding; what counts is the running sum, tick by tick
-                sums = added(self.gathered, volume[at : near + 1])[1:]
-                closes = np.flatnonzero(sums >= limit)
-                if not len(closes):
-                    self.gathered, at = float(sums[-1]), near + 1
-                    continue
-                place = at + int(closes[0])
-                own, over = added(self.volume, volume[start : place + 1])[-1], sums[closes[0]] - limit
+        gathered, turnover, own, first, found = self.gathered, self.turnover, self.volume, self.first, []
+        for at, (p, v, limit) in enumerate(zip(np.nan_to_num(price).tolist(), np.nan_to_num(volume).tolist(), threshold.tolist())):
+            gathered, turnover, own, first = gathered + v, turnover + p * v, own + v, first or p
+            if gathered >= limit:
+                gathered -= limit
                 if own > 0:
-                    first = self.first or (price[priced[start]] if priced[start] <= place else price[place])
-                    found.append((place, price[place] - first, added(self.turnover, turned[start : place + 1])[-1] / own, own))
-                    over = min(over, limit)
-                self.gathered, self.turnover, self.volume, self.first = float(over), 0.0, 0.0, 0.0
-                start = at = place + 1
-        if start < len(price):
-            self.turnover, self.volume = float(added(self.turnover, turned[start:])[-1]), float(added(self.volume, volume[start:])[-1])
-            self.first = self.first or (float(price[priced[start]]) if priced[start] < len(price) else 0.0)
-        self.bars += len(found)
-        return pd.DataFrame(found, columns=["at", "delta_p", "vwap", "volume"]).astype({"at": "int64"})
+                    found.append((at, p - first, turnover / own, own))
+                    gathered = min(gathered, limit)
+                turnover = own = first = 0.0
+        self.gathered, self.turnover, self.volume, self.first, self.bars = gathered, turnover, own, first, self.bars + len(found)
+        return found
+
+    def take(self, price: np.ndarray, volume: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
+        """`closes` as a table: at, delta_p, vwap and volume."""
+        return pd.DataFrame(self.closes(price, volume, threshold), columns=["at", "delta_p", "vwap", "volume"]).astype({"at": "int64"})
 
     def push(self, price: float, volume: float, threshold: float) -> tuple[float, float, float] | None:
         """One tick: (price move, vwap, volume) if it closes a bar."""
@@ -83,10 +63,12 @@ class Clock:
 def run_clock(clock: Clock, rows: pd.DataFrame) -> pd.DataFrame:
     """Bars of one symbol's ticks in order of date and seq, from the clock's state on."""
     before = clock.bars
-    bars = clock.take(*(rows[c].to_numpy(float) for c in ("price", "vol_tick", "threshold")))
-    closing = rows.iloc[bars["at"].to_numpy()].reset_index(drop=True)
-    named = closing[["symbol", "date", "seq"]].assign(bar_id=np.arange(before, clock.bars), close=closing["price"].fillna(0.0), threshold=closing["threshold"])
-    return pd.concat([named, bars.drop(columns="at")], axis=1)[["symbol", "bar_id", "date", "seq", "close", "delta_p", "vwap", "volume", "threshold"]]
+    found = clock.closes(*(rows[c].to_numpy(float) for c in ("price", "vol_tick", "threshold")))
+    at = [f[0] for f in found]
+    closing = {c: rows[c].to_numpy()[at] for c in ("symbol", "date", "seq", "price", "threshold")}
+    own = {c: np.array([f[i] for f in found], float) for i, c in enumerate(("delta_p", "vwap", "volume"), 1)}
+    close = np.where(np.isnan(price := closing.pop("price").astype(float)), 0.0, price)
+    return pd.DataFrame(closing | own | {"bar_id": np.arange(before, clock.bars), "close": close})[["symbol", "bar_id", "date", "seq", "close", "delta_p", "vwap", "volume", "threshold"]]
 
 
 def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.clock import BAR_SCHEMA, Clock, added, run_clock
+from tidemark.operators.clock import BAR_SCHEMA, Clock
 
 OUT_SCHEMA = f"{BAR_SCHEMA}, late boolean"
 VERSION = 2
 CLOCK_STATE = "version int, values string"
+BARS = [("bar_id", "i8"), ("date", "O"), ("seq", "i8"), *[(c, "f8") for c in ("close", "delta_p", "vwap", "volume", "threshold", "v_d", "sigma_d")]]
+LATE = {"date": "date", "seq": "seq", "close": "price", "delta_p": None, "vwap": None, "volume": "vol_tick", "threshold": None}  # what a late tick has of a bar's columns
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -43,20 +45,39 @@ def upgraded(version: int, values: dict) -> dict:
     return values
 
 
+def in_turn(to: float, values: list[float]) -> float:
+    """The sum, value by value in this order, as batch and SQL add."""
+    for x in values:
+        to += x
+    return to
+
+
+def in_order(ticks: pd.DataFrame) -> np.ndarray:
+    """Ticks by date and seq as one array of named fields: a day of few ticks costs little there, and much as a table of pandas."""
+    date, seq = ticks["date"].to_numpy(object), ticks["seq"].to_numpy()
+    order = np.lexsort((seq, date.astype(str)))
+    rows = np.empty(len(ticks), [(c, "O" if c in ("symbol", "date") else "i8" if c == "seq" else "f8") for c in ticks.columns])
+    for c in ticks.columns:
+        rows[c] = ticks[c].to_numpy()[order]
+    return rows
+
+
 class VolumeClock(StatefulProcessor):
     """Bars, or windows of bars with their targets, of each symbol."""
 
     def __init__(self, macro: dict, window: dict | None = None, carried: tuple[str, ...] = ()):
         self.macro, self.window, self.carried = macro, window, list(carried)
+        self.bars = [*BARS, *[(c, "f8") for c in self.carried]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("clock", CLOCK_STATE)
 
     def _read(self) -> dict:
-        if not self.state.exists():
+        found = self.state.get()
+        if found is None:
             first = {"v_d": self.macro["first_volume"], "sigma_d": self.macro["first_range"], "threshold": self.macro["first_threshold"]}
             return first | {"gathered": 0.0, "turnover": 0.0, "volume": 0.0, "first": 0.0, "closed": 0, "date": None, "seq": None, "day_volume": 0.0, "high": None, "low": None, "volumes": [], "ranges": [], "bars": []}
-        version, values = self.state.get()
+        version, values = found
         return upgraded(version, json.loads(values))
 
     def _write(self, values: dict) -> None:
@@ -67,33 +88,31 @@ class VolumeClock(StatefulProcessor):
         if s["day_volume"] > 0:
             s["volumes"] = [*s["volumes"], s["day_volume"]][-self.macro["days"] :]
         s["ranges"] = [*s["ranges"], max(s["high"] - s["low"] if s["high"] is not None else 0.0, 1e-4)][-self.macro["days"] :]
-        mean = lambda values: float(added(0.0, np.array(values))[-1] / len(values))  # noqa: E731  # in order, as batch and SQL add
+        mean = lambda values: in_turn(0.0, values) / len(values)
         s["v_d"] = mean(s["volumes"]) if s["volumes"] else self.macro["first_volume"]
         s["sigma_d"] = mean(s["ranges"])
         s["threshold"] = max(s["v_d"] * self.macro["share"], self.macro["least"])
 
-    def _day(self, s: dict, clock: Clock, date: str, rows: pd.DataFrame) -> pd.DataFrame:
+    def _day(self, s: dict, clock: Clock, date: str, rows: np.ndarray) -> np.ndarray:
         """Takes a day's ticks, or its next ones; gives their bars with v_d, sigma_d and the carried columns of the closing tick."""
         if date != s["date"]:
             if s["date"] is not None:
                 self._close_day(s)
             s |= {"date": date, "day_volume": 0.0, "high": None, "low": None}
-        price = rows["price"].to_numpy(float)
-        priced = price[price > 0]
-        s["seq"], s["day_volume"] = int(rows["seq"].iloc[-1]), float(added(s["day_volume"], np.nan_to_num(rows["vol_tick"].to_numpy(float)))[-1])
-        if len(priced):
-            s["high"], s["low"] = float(max(priced.max(), s["high"] if s["high"] is not None else -np.inf)), float(min(priced.min(), s["low"] if s["low"] is not None else np.inf))
-        bars = run_clock(clock, rows.assign(threshold=s["threshold"]))
-        if self.carried and len(bars):
-            bars = bars.merge(rows[["seq", *self.carried]], on="seq")
-        return bars.assign(v_d=s["v_d"], sigma_d=s["sigma_d"])
-
-    def _windows(self, s: dict, symbol: str, bars: pd.DataFrame) -> list[dict]:
+        price, volume, seq = (np.asarray(rows[c], kind) for c, kind in (("price", float), ("vol_tick", float), ("seq", int)))
+        s["seq"], s["day_volume"] = int(seq[-1]), in_turn(s["day_volume"], np.nan_to_num(volume).tolist())
+        if priced := [p for p in price.tolist() if p > 0]:
+            s["high"], s["low"] = max([*priced, s["high"]] if s["high"] is not None else priced), min([*priced, s["low"]] if s["low"] is not None else priced)
+        close, carried, daily = np.where(np.isnan(price), 0.0, price), [np.asarray(rows[c], float) for c in self.carried], (s["threshold"], s["v_d"], s["sigma_d"])
+        first, found = clock.bars, clock.closes(price, volume, np.full(len(price), s["threshold"]))
+        return np.array([(first + k, date, seq[at], close[at], *of_bar, *daily, *[c[at] for c in carried]) for k, (at, *of_bar) in enumerate(found)], self.bars)
+
+    def _windows(self, s: dict, symbol: str, bars: np.ndarray) -> list[dict]:
         """The windows whose target bar is among the new bars; keeps the bars that later ones need."""
         length, stride, horizon = (self.window[k] for k in ("length", "stride", "horizon"))
-        held, out = s["bars"], []
-        for bar in bars[["bar_id", "date", "close", "vwap", "v_d", "sigma_d", *self.carried]].to_dict("records"):
-            held.append(bar)
+        held, out, names = s["bars"], [], ["bar_id", "date", "close", "vwap", "v_d", "sigma_d", *self.carried]
+        for values in zip(*[bars[c].tolist() for c in names]):
+            held.append(bar := dict(zip(names, values)))
             start = bar["bar_id"] - length - horizon
             if start >= 0 and start % stride == 0:
                 own = held[-length - horizon - 1 :]
@@ -104,23 +123,23 @@ class VolumeClock(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """A symbol's ticks of one trigger, which its number of files bounds."""
-        ticks = pd.concat(list(rows)).sort_values(["date", "seq"])
+        frames = list(rows)
+        ticks = in_order(frames[0] if len(frames) == 1 else pd.concat(frames))
         s = self._read()
         clock = Clock(s["gathered"], s["turnover"], s["volume"], s["first"], s["closed"])
-        late = np.zeros(len(ticks), bool)
-        if s["date"] is not None:
-            late = ((ticks["date"] < s["date"]) | ((ticks["date"] == s["date"]) & (ticks["seq"] < s["seq"]))).to_numpy()
-        bars = [self._day(s, clock, date, day) for date, day in ticks[~late].groupby("date", sort=True)]
-        found = pd.concat(bars) if bars else pd.DataFrame(columns=["bar_id", "date", "close", "vwap", "v_d", "sigma_d", *self.carried])
+        date, seq = ticks["date"], ticks["seq"]
+        late = 0 if s["date"] is None else int(np.count_nonzero((date < s["date"]) | ((date == s["date"]) & (seq < s["seq"]))))  # they come first
+        days = np.split(ticks[late:], np.flatnonzero(date[late + 1 :] != date[late:-1]) + 1) if late < len(ticks) else []
+        found = np.concatenate([np.empty(0, self.bars), *[self._day(s, clock, day["date"][0], day) for day in days]])
         windows = self._windows(s, key[0], found) if self.window else []
         self._write(s | {"gathered": clock.gathered, "turnover": clock.turnover, "volume": clock.volume, "first": clock.first, "closed": clock.bars})
-        if self.window:
+        if windows:
             yield pd.DataFrame(windows, columns=["symbol", "start", "date", "target_bp", "bars"])
+        if self.window or not late + len(found):
             return
-        diverted = ticks[late][["date", "seq", "price", "vol_tick"]].rename(columns={"price": "close", "vol_tick": "volume"}).assign(symbol=key[0], late=True)
-        names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
-        parts = [part.reindex(columns=names) for part in (found.assign(late=False), diverted) if len(part)]
-        yield (pd.concat(parts) if parts else pd.DataFrame(columns=names)).astype({"bar_id": "Int64", "seq": "Int64", "late": bool} | {c: float for c in ("close", "delta_p", "vwap", "volume", "threshold")})
+        columns = {c: np.concatenate([found[c], ticks[of][:late] if of else np.full(late, np.nan)]) for c, of in LATE.items()}
+        bar_id = pd.array([*found["bar_id"].tolist(), *[None] * late], "Int64")
+        yield pd.DataFrame({"symbol": key[0], "bar_id": bar_id, **columns, "late": np.arange(late + len(found)) >= len(found)})
 
     def close(self) -> None:
         pass
@@ -138,10 +157,10 @@ def _macro(days: int, share: float, least: float, first_threshold: float, first_
 
 
 def volume_bar_stream(ticks: DataFrame, days: int = 20, share: float = 0.02, least: float = 1000.0, first_threshold: float = 50_000.0, first_volume: float = 5_000_000.0, first_range: float = 0.5) -> DataFrame:
-    """Bars (and late ticks) of a stream of ticks: symbol, date, seq, price, vol_tick."""
+    """Bars (and late ticks) of a stream of ticks: symbol, date, seq, price, vol_tick. Ticks without symbol or date are left out, as in batch."""
     with_keyed_state(ticks.sparkSession)
     processor = VolumeClock(_macro(days, share, least, first_threshold, first_volume, first_range))
-    narrow = ticks.selectExpr("symbol", "date", "cast(seq as long) as seq", "price", "vol_tick")
+    narrow = ticks.filter("symbol is not null and date is not null").selectExpr("symbol", "date", "cast(seq as long) as seq", "cast(price as double) as price", "cast(vol_tick as double) as vol_tick")
     return narrow.groupBy("symbol").transformWithStateInPandas(processor, OUT_SCHEMA, "append", "none")
 
 
@@ -152,6 +171,6 @@ def volume_window_stream(
     """Windows of a stream's bars, each when its target bar has closed: symbol, start, date, target_bp and bars (bar_id, close, vwap, v_d, sigma_d and the carried columns of the closing tick, as doubles)."""
     with_keyed_state(ticks.sparkSession)
     clock = processor(_macro(days, share, least, first_threshold, first_volume, first_range), {"length": length, "stride": stride, "horizon": horizon}, carried)
-    narrow = ticks.selectExpr("symbol", "date", "cast(seq as long) as seq", "price", "vol_tick", *[f"cast(`{c}` as double) as `{c}`" for c in carried])
+    narrow = ticks.filter("symbol is not null and date is not null").selectExpr("symbol", "date", "cast(seq as long) as seq", "cast(price as double) as price", "cast(vol_tick as double) as vol_tick", *[f"cast(`{c}` as double) as `{c}`" for c in carried])
     fields = ", ".join(["bar_id: long", *[f"`{c}`: double" for c in ("close", "vwap", "v_d", "sigma_d", *carried)]])
     return narrow.groupBy("symbol").transformWithStateInPandas(clock, f"symbol string, start long, date string, target_bp double, bars array<struct<{fields}>>", "append", "none")
