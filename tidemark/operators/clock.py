@@ -7,7 +7,7 @@ tick over plain floats: that is cheap beside moving the tick, however few ticks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,14 +32,15 @@ class Clock:
     first: float = 0.0
     bars: int = 0
 
-    def closes(self, price: np.ndarray, volume: np.ndarray, threshold: np.ndarray) -> list[tuple[int, float, float, float]]:
+    def closes(self, price: Iterable[float], volume: Iterable[float], threshold: Iterable[float]) -> list[tuple[int, float, float, float]]:
         """Takes ticks in order; gives the bars they close: place of the closing tick, delta_p, vwap and volume.
 
         A bar closes at the first tick at which what was gathered since reaches the threshold of its day. What it has over that is carried on, up to one threshold.
         A close without volume of its own, by what was carried alone, gives no bar. The first price of a bar is its first that isn't zero. Missing prices and volumes are zero.
         """
         gathered, turnover, own, first, found = self.gathered, self.turnover, self.volume, self.first, []
-        for at, (p, v, limit) in enumerate(zip(np.nan_to_num(price).tolist(), np.nan_to_num(volume).tolist(), threshold.tolist())):
+        for at, (p, v, limit) in enumerate(zip(price, volume, threshold)):
+            p, v = p if p == p else 0.0, v if v == v else 0.0
             gathered, turnover, own, first = gathered + v, turnover + p * v, own + v, first or p
             if gathered >= limit:
                 gathered -= limit
@@ -52,7 +53,7 @@ class Clock:
 
     def take(self, price: np.ndarray, volume: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
         """`closes` as a table: at, delta_p, vwap and volume."""
-        return pd.DataFrame(self.closes(price, volume, threshold), columns=["at", "delta_p", "vwap", "volume"]).astype({"at": "int64"})
+        return pd.DataFrame(self.closes(price.tolist(), volume.tolist(), threshold.tolist()), columns=["at", "delta_p", "vwap", "volume"]).astype({"at": "int64"})
 
     def push(self, price: float, volume: float, threshold: float) -> tuple[float, float, float] | None:
         """One tick: (price move, vwap, volume) if it closes a bar."""
@@ -63,7 +64,7 @@ class Clock:
 def run_clock(clock: Clock, rows: pd.DataFrame) -> pd.DataFrame:
     """Bars of one symbol's ticks in order of date and seq, from the clock's state on."""
     before = clock.bars
-    found = clock.closes(*(rows[c].to_numpy(float) for c in ("price", "vol_tick", "threshold")))
+    found = clock.closes(*(rows[c].to_numpy(float).tolist() for c in ("price", "vol_tick", "threshold")))
     at = [f[0] for f in found]
     closing = {c: rows[c].to_numpy()[at] for c in ("symbol", "date", "seq", "price", "threshold")}
     own = {c: np.array([f[i] for f in found], float) for i, c in enumerate(("delta_p", "vwap", "volume"), 1)}

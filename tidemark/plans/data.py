@@ -190,7 +190,7 @@ def _replayed(spark: SparkSession, folder: str, stream) -> DataFrame:
     The runs have a session of their own, as a stream keeps the number of state partitions that it starts with.
     """
     own = spark.newSession()
-    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    own.conf.set("spark.sql.shuffle.partitions", max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))
     t = written(_events(spark, folder), "events")
     lake, out, state = (new_path(spark, n) for n in ("lake", "streamed", "state"))
     dated = t.join(F.broadcast(t.select("date").distinct().withColumn("run", F.ntile(RUNS).over(Window.orderBy("date")))), "date")  # a calendar

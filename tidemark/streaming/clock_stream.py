@@ -11,11 +11,11 @@ written in the present one. Version 1 held the ticks since the last bar one by o
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.clock import BAR_SCHEMA, Clock
@@ -24,7 +24,7 @@ OUT_SCHEMA = f"{BAR_SCHEMA}, late boolean"
 VERSION = 2
 CLOCK_STATE = "version int, values string"
 BARS = [("bar_id", "i8"), ("date", "O"), ("seq", "i8"), *[(c, "f8") for c in ("close", "delta_p", "vwap", "volume", "threshold", "v_d", "sigma_d")]]
-LATE = {"date": "date", "seq": "seq", "close": "price", "delta_p": None, "vwap": None, "volume": "vol_tick", "threshold": None}  # what a late tick has of a bar's columns
+TICKS = [("date", "O"), ("seq", "i8"), ("price", "f8"), ("vol_tick", "f8")]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -45,29 +45,19 @@ def upgraded(version: int, values: dict) -> dict:
     return values
 
 
-def in_turn(to: float, values: list[float]) -> float:
+def in_turn(to: float, values: Iterable[float]) -> float:
     """The sum, value by value in this order, as batch and SQL add."""
     for x in values:
         to += x
     return to
 
 
-def in_order(ticks: pd.DataFrame) -> np.ndarray:
-    """Ticks by date and seq as one array of named fields: a day of few ticks costs little there, and much as a table of pandas."""
-    date, seq = ticks["date"].to_numpy(object), ticks["seq"].to_numpy()
-    order = np.lexsort((seq, date.astype(str)))
-    rows = np.empty(len(ticks), [(c, "O" if c in ("symbol", "date") else "i8" if c == "seq" else "f8") for c in ticks.columns])
-    for c in ticks.columns:
-        rows[c] = ticks[c].to_numpy()[order]
-    return rows
-
-
 class VolumeClock(StatefulProcessor):
     """Bars, or windows of bars with their targets, of each symbol."""
 
     def __init__(self, macro: dict, window: dict | None = None, carried: tuple[str, ...] = ()):
         self.macro, self.window, self.carried = macro, window, list(carried)
-        self.bars = [*BARS, *[(c, "f8") for c in self.carried]]
+        self.ticks, self.bars = ([*fields, *[(c, "O") for c in self.carried]] for fields in (TICKS, BARS))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("clock", CLOCK_STATE)
@@ -99,13 +89,12 @@ class VolumeClock(StatefulProcessor):
             if s["date"] is not None:
                 self._close_day(s)
             s |= {"date": date, "day_volume": 0.0, "high": None, "low": None}
-        price, volume, seq = (np.asarray(rows[c], kind) for c, kind in (("price", float), ("vol_tick", float), ("seq", int)))
-        s["seq"], s["day_volume"] = int(seq[-1]), in_turn(s["day_volume"], np.nan_to_num(volume).tolist())
-        if priced := [p for p in price.tolist() if p > 0]:
+        price, volume, seq = (rows[c].tolist() for c in ("price", "vol_tick", "seq"))
+        s["seq"], s["day_volume"] = seq[-1], in_turn(s["day_volume"], (v for v in volume if v == v))
+        if priced := [p for p in price if p > 0]:
             s["high"], s["low"] = max([*priced, s["high"]] if s["high"] is not None else priced), min([*priced, s["low"]] if s["low"] is not None else priced)
-        close, carried, daily = np.where(np.isnan(price), 0.0, price), [np.asarray(rows[c], float) for c in self.carried], (s["threshold"], s["v_d"], s["sigma_d"])
-        first, found = clock.bars, clock.closes(price, volume, np.full(len(price), s["threshold"]))
-        return np.array([(first + k, date, seq[at], close[at], *of_bar, *daily, *[c[at] for c in carried]) for k, (at, *of_bar) in enumerate(found)], self.bars)
+        first, found, daily, carried = clock.bars, clock.closes(price, volume, repeat(s["threshold"])), (s["threshold"], s["v_d"], s["sigma_d"]), [rows[c].tolist() for c in self.carried]
+        return np.array([(first + k, date, seq[at], price[at] if price[at] == price[at] else 0.0, *of_bar, *daily, *[c[at] for c in carried]) for k, (at, *of_bar) in enumerate(found)], self.bars)
 
     def _windows(self, s: dict, symbol: str, bars: np.ndarray) -> list[dict]:
         """The windows whose target bar is among the new bars; keeps the bars that later ones need."""
@@ -121,10 +110,10 @@ class VolumeClock(StatefulProcessor):
             del held[: -length - horizon]
         return out
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """A symbol's ticks of one trigger, which its number of files bounds."""
-        frames = list(rows)
-        ticks = in_order(frames[0] if len(frames) == 1 else pd.concat(frames))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """A symbol's ticks of one trigger, which its number of files bounds. They are one array of named fields: a table of pandas for each symbol or day would cost more than all the rest."""
+        ticks = np.fromiter((row[1:] for row in rows), self.ticks)
+        ticks = ticks[np.lexsort((ticks["seq"], ticks["date"].astype(str)))]
         s = self._read()
         clock = Clock(s["gathered"], s["turnover"], s["volume"], s["first"], s["closed"])
         date, seq = ticks["date"], ticks["seq"]
@@ -133,13 +122,14 @@ class VolumeClock(StatefulProcessor):
         found = np.concatenate([np.empty(0, self.bars), *[self._day(s, clock, day["date"][0], day) for day in days]])
         windows = self._windows(s, key[0], found) if self.window else []
         self._write(s | {"gathered": clock.gathered, "turnover": clock.turnover, "volume": clock.volume, "first": clock.first, "closed": clock.bars})
-        if windows:
-            yield pd.DataFrame(windows, columns=["symbol", "start", "date", "target_bp", "bars"])
-        if self.window or not late + len(found):
+        if self.window:
+            yield from (Row(**window) for window in windows)
             return
-        columns = {c: np.concatenate([found[c], ticks[of][:late] if of else np.full(late, np.nan)]) for c, of in LATE.items()}
-        bar_id = pd.array([*found["bar_id"].tolist(), *[None] * late], "Int64")
-        yield pd.DataFrame({"symbol": key[0], "bar_id": bar_id, **columns, "late": np.arange(late + len(found)) >= len(found)})
+        bar = Row(*[c.split()[0] for c in OUT_SCHEMA.split(", ")])
+        for bar_id, date, seq, *values, _, _ in found.tolist():
+            yield bar(key[0], bar_id, date, seq, *values, False)
+        for date, seq, price, volume in ticks[:late].tolist():
+            yield bar(key[0], None, date, seq, price if price == price else None, None, None, volume if volume == volume else None, None, True)
 
     def close(self) -> None:
         pass
@@ -161,7 +151,7 @@ def volume_bar_stream(ticks: DataFrame, days: int = 20, share: float = 0.02, lea
     with_keyed_state(ticks.sparkSession)
     processor = VolumeClock(_macro(days, share, least, first_threshold, first_volume, first_range))
     narrow = ticks.filter("symbol is not null and date is not null").selectExpr("symbol", "date", "cast(seq as long) as seq", "cast(price as double) as price", "cast(vol_tick as double) as vol_tick")
-    return narrow.groupBy("symbol").transformWithStateInPandas(processor, OUT_SCHEMA, "append", "none")
+    return narrow.groupBy("symbol").transformWithState(processor, OUT_SCHEMA, "append", "none")
 
 
 def volume_window_stream(
@@ -173,4 +163,4 @@ def volume_window_stream(
     clock = processor(_macro(days, share, least, first_threshold, first_volume, first_range), {"length": length, "stride": stride, "horizon": horizon}, carried)
     narrow = ticks.filter("symbol is not null and date is not null").selectExpr("symbol", "date", "cast(seq as long) as seq", "cast(price as double) as price", "cast(vol_tick as double) as vol_tick", *[f"cast(`{c}` as double) as `{c}`" for c in carried])
     fields = ", ".join(["bar_id: long", *[f"`{c}`: double" for c in ("close", "vwap", "v_d", "sigma_d", *carried)]])
-    return narrow.groupBy("symbol").transformWithStateInPandas(clock, f"symbol string, start long, date string, target_bp double, bars array<struct<{fields}>>", "append", "none")
+    return narrow.groupBy("symbol").transformWithState(clock, f"symbol string, start long, date string, target_bp double, bars array<struct<{fields}>>", "append", "none")
