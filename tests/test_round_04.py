@@ -1,8 +1,13 @@
-"""Streams over days of few ticks."""
+"""Streams over days of few ticks, and mean prices on an edge of the rounding."""
 
+import datetime
+
+import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
+import __spark_entry__
 from tests.test_stream import one_by_one
 from tidemark.operators import clock
 from tidemark.streaming.clock_stream import VolumeClock
@@ -29,3 +34,17 @@ def test_a_day_of_the_stream_makes_no_table(monkeypatch):
         threshold += [s["threshold"]] * 2
     want = list(one_by_one(rows["price"], np.nan_to_num(rows["vol_tick"]), threshold))
     assert len(want) > 50 and [(b[2], *b[4:7]) for b in found] == want and [b[0] for b in found] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("name", ["event_bars"])
+def test_a_mean_price_on_an_edge(spark, tmp_path, name):
+    """The first bar's mean price is 10.87405445: as the decimal text says it goes up to 10.8740545, the SQL, which rounds the scaled double, says 10.8740544."""
+    value = [55.66, 104.34] + [150.0 + i for i in range(14)]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(minutes=i), 1, "view", v, "") for i, v in enumerate(value)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()]
+    assert len(want) >= 15 and sorted(got) == sorted(want)

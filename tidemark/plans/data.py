@@ -215,7 +215,7 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_bars(spark: SparkSession, folder: str) -> DataFrame:
     t = _events(spark, folder)
-    return common.rounded(clock.volume_bars(t, ticks.rolling_macro(ticks.daily_stats(t, in_order=True), **STREAM)), DIGITS)
+    return common.rounded_as_sql(clock.volume_bars(t, ticks.rolling_macro(ticks.daily_stats(t, in_order=True), **STREAM)), DIGITS)
 
 
 QUERIES = (
