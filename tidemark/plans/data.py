@@ -203,7 +203,7 @@ def _replayed(spark: SparkSession, folder: str, stream) -> DataFrame:
 
 def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
     """The bars of the streaming clock over the events."""
-    return common.rounded(_replayed(spark, folder, partial(volume_bar_stream, **STREAM)), DIGITS)
+    return common.rounded_as_sql(_replayed(spark, folder, partial(volume_bar_stream, **STREAM)), DIGITS)
 
 
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
