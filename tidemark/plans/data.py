@@ -210,7 +210,7 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Every bar of every window that the stream gives."""
     stream = partial(volume_window_stream, length=LENGTH, stride=STRIDE, horizon=HORIZON, **STREAM)
     found = _replayed(spark, folder, stream).select("symbol", "start", "date", "target_bp", F.explode("bars").alias("bar"))
-    return common.rounded(found.select("symbol", "start", "date", "target_bp", *[F.col(f"bar.{c}").alias(c) for c in ("bar_id", "close", "vwap", "v_d", "sigma_d")]), DIGITS)
+    return common.rounded_as_sql(found.select("symbol", "start", "date", "target_bp", *[F.col(f"bar.{c}").alias(c) for c in ("bar_id", "close", "vwap", "v_d", "sigma_d")]), DIGITS)
 
 
 def event_bars(spark: SparkSession, folder: str) -> DataFrame:
